@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,3 +36,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             size += n
         if start < len(lengths):
             yield batch.slice(start), [x or b"" for x in column.slice(start).to_pylist()]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder: unlike a checkpoint, later reads take only the columns that they need."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tables-")
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from symdiff.llm.common import table
+from symdiff.llm.minhash import near_dedup
 from symdiff.llm.packing import pack
 from symdiff.llm.secrets import scan_secrets
 
@@ -21,5 +22,9 @@ def op2_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing)}
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op6_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
