@@ -5,6 +5,7 @@ from __future__ import annotations
 from symdiff.llm.common import table
 from symdiff.llm.minhash import near_dedup
 from symdiff.llm.packing import pack
+from symdiff.llm.pivots import embedding_near_dedup
 from symdiff.llm.secrets import scan_secrets
 
 
@@ -26,5 +27,9 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op6_minhash_near_dedup)}
+def op10_embedding_near_dedup(spark, sf_dir):
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op6_minhash_near_dedup, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
