@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from symdiff.llm.common import table
+from symdiff.llm.langid import identify_language
 from symdiff.llm.minhash import near_dedup
 from symdiff.llm.packing import pack
 from symdiff.llm.pivots import embedding_near_dedup
@@ -27,9 +28,13 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op8_language_id(spark, sf_dir):
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op6_minhash_near_dedup, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
