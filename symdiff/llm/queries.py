@@ -8,6 +8,7 @@ from symdiff.llm.minhash import near_dedup
 from symdiff.llm.packing import pack
 from symdiff.llm.pivots import embedding_near_dedup
 from symdiff.llm.secrets import scan_secrets
+from symdiff.llm.toxicity import score_toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,6 +25,10 @@ def op2_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -36,5 +41,5 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op5_toxicity, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
