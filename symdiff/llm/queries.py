@@ -7,6 +7,7 @@ from symdiff.llm.langid import identify_language
 from symdiff.llm.minhash import near_dedup
 from symdiff.llm.packing import pack
 from symdiff.llm.pivots import embedding_near_dedup
+from symdiff.llm.quality import judge_quality
 from symdiff.llm.secrets import scan_secrets
 from symdiff.llm.toxicity import score_toxicity
 
@@ -25,6 +26,10 @@ def op2_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,5 +46,5 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op5_toxicity, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op5_toxicity, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
