@@ -10,6 +10,7 @@ from symdiff.llm.pivots import embedding_near_dedup
 from symdiff.llm.quality import judge_quality
 from symdiff.llm.secrets import scan_secrets
 from symdiff.llm.toxicity import score_toxicity
+from symdiff.llm.urls import filter_sql, filter_urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,6 +31,10 @@ def op3_quality_rules(spark, sf_dir):
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_filters(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +51,5 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op5_toxicity, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
+ORACLES: dict[str, str] = {"op4_url_filters": filter_sql()}
