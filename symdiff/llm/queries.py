@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from symdiff.llm.common import table
+from symdiff.llm.html import extract_text
 from symdiff.llm.langid import identify_language
 from symdiff.llm.minhash import near_dedup
 from symdiff.llm.packing import pack
@@ -43,6 +44,10 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op8_language_id, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op7_html_extraction, op8_language_id, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op4_url_filters": filter_sql()}
