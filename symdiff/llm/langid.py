@@ -18,6 +18,7 @@ sharpened by SHARPNESS (a softmax).
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +95,30 @@ def unit_vectors(batches, encoder: Encoder):
             yield batch.slice(at, 256), encoder.bundle([t.decode() for t in texts[at : at + 256]])
 
 
+def blocks(texts: list[str], rows: int = 256, chars: int = 1 << 20):
+    """The texts in blocks of bounded rows and, but for single texts, bounded size."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= rows or size + len(t) > chars):
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield texts[start:]
+
+
+def best(vectors: np.ndarray, prototypes: dict[str, np.ndarray]) -> list[tuple[str, float]]:
+    """Each vector's language and score."""
+    names, out = sorted(prototypes), [("und", 0.0)] * len(vectors)
+    some = np.flatnonzero(vectors.any(axis=1))
+    if names and len(some):
+        cosines = vectors[some] @ np.array([prototypes[n] for n in names], dtype=np.float32).T
+        odds = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
+        for i, k, s in zip(some, cosines.argmax(axis=1), 1 / odds.sum(axis=1), strict=True):
+            out[i] = (names[k], float(s))
+    return out
+
+
 def fit(training: DataFrame) -> dict[str, np.ndarray]:
     """Of training rows (id, text, lang): each language's prototype, a unit vector."""
     known = training.where("lang is not null and text is not null")
@@ -117,24 +142,31 @@ def fit(training: DataFrame) -> dict[str, np.ndarray]:
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """df (id, text, ...) -> (id, lang_pred, score)."""
-    names = sorted(prototypes)
 
     def work(batches):
         encoder = Encoder()
-        matrix = np.array([prototypes[n] for n in names], dtype=np.float32).reshape(len(names), DIMENSIONS)
         for batch, vectors in unit_vectors(batches, encoder):
-            some = vectors.any(axis=1) if names else np.zeros(len(vectors), dtype=bool)
-            langs, scores = np.full(len(vectors), "und", dtype=object), np.zeros(len(vectors))
-            if some.any():
-                cosines = vectors[some] @ matrix.T
-                odds = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
-                langs[some] = np.array(names, dtype=object)[cosines.argmax(axis=1)]
-                scores[some] = 1 / odds.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            found = best(vectors, prototypes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "lang_pred", "score"])
 
     return df.select("id", "text").mapInArrow(work, "id long, lang_pred string, score double")
 
 
+def with_language(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+    """df with the columns __lang and __score."""
+    encoder: list[Encoder] = []
+
+    @F.pandas_udf("struct<lang: string, score: double>")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        if not encoder:
+            encoder.append(Encoder())
+        out = [x for some in blocks(texts.fillna("").tolist()) for x in best(encoder[0].bundle(some), prototypes)]
+        return pd.DataFrame(out, columns=["lang", "score"])
+
+    judged = df.withColumn("__judged", judge(df[text_col].cast("string")))
+    return judged.withColumns({"__lang": F.col("__judged.lang"), "__score": F.col("__judged.score")}).drop("__judged")
+
+
 def held_out(id_col) -> F.Column:
     """crc32 of the id as text, mod 4, is 2; these rows are never learned from."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

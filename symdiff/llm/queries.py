@@ -10,6 +10,7 @@ from symdiff.llm.packing import pack
 from symdiff.llm.pivots import embedding_near_dedup
 from symdiff.llm.quality import judge_quality
 from symdiff.llm.secrets import scan_secrets
+from symdiff.llm.sentencepiece import encode_documents
 from symdiff.llm.toxicity import score_toxicity
 from symdiff.llm.urls import filter_sql, filter_urls
 
@@ -52,9 +53,13 @@ def op8_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op7_html_extraction, op8_language_id, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op7_html_extraction, op8_language_id, op9_sentencepiece, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op4_url_filters": filter_sql()}

@@ -26,6 +26,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,6 +247,19 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     return df.mapInArrow(work, "id long, score double, n_passages long, passages string")
 
 
+def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """df with the column __toxicity."""
+    scorer: list[Scorer] = []
+
+    @F.pandas_udf("double")
+    def judge(texts: pd.Series) -> pd.Series:
+        if not scorer:
+            scorer.append(Scorer(model))
+        return pd.Series([model.probability(scorer[0].passages(t or "")[1]) for t in texts], dtype=float)
+
+    return df.withColumn("__toxicity", judge(df[text_col].cast("string")))
+
+
 def plain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
 
