@@ -1,4 +1,4 @@
-"""What the training-data operators share: table reading, checkpoints and Arrow helpers."""
+"""What the training-data operators share: reading and writing tables, and Arrow helpers."""
 
 from __future__ import annotations
 
@@ -15,14 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch in slices of about `most` bytes of text, so that memory follows the slice and not the batch."""
     for batch in batches:
@@ -39,7 +31,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the checkpoint folder: unlike a checkpoint, later reads take only the columns that they need."""
+    """df as a table in the folder named by spark.checkpoint.dir, which all executors share, or in a temporary folder
+    only where that is unset. It cuts the lineage, survives lost executors, and later reads take the columns they need.
+
+    Unlike a checkpoint's, its plan carries no constraints over from the one that made it; in loops of joins these grow
+    until the driver's memory is full.
+    """
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tables-")
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"

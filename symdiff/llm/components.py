@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import cut_lineage
+from symdiff.llm.common import written
+
+
+def priority(column) -> F.Column:
+    """A fixed random order of ids. Stars whose hub comes first in it are contracted in one round."""
+    return F.struct(F.xxhash64(column, F.lit(0)).alias("h"), column.alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b); component is the component's smallest id.
 
-    Each round, every node joins its neighbour of least priority (priorities are hashes that change from round to round,
-    so no ordering of ids makes long chains), edges are renamed to the joined nodes, and loops and copies of edges go.
-    A constant share of the nodes goes each round. A hub's edges are aggregated before they are shuffled.
+    Each round, every node joins the first of its neighbours and itself by priority, edges are renamed to the joined
+    nodes, and loops and copies of edges go. The order is random, so no numbering of ids makes long chains. A hub's
+    edges are aggregated before they are shuffled.
     """
-    left = cut_lineage(edges.select("a", "b").where("a <> b").distinct())
+    left = written(edges.select("a", "b").where("a <> b").distinct())
     steps = []
     while not left.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), c.alias("v"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("least"))
-        step = cut_lineage(best.select(F.col("a").alias("id"), F.least("least", rank(F.col("a")))["v"].alias("to")))
+        best = both.groupBy("a").agg(F.min(priority(F.col("b"))).alias("least"))
+        step = written(best.select(F.col("a").alias("id"), F.least("least", priority(F.col("a")))["v"].alias("to")))
         ends = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
         ends = ends.join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
-        left = cut_lineage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         steps.append(step)
     if not steps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -33,4 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
         out = out.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
         out = out.select("id", F.coalesce("next", "to").alias("to"))
     least = out.groupBy("to").agg(F.min("id").alias("component"))
-    return cut_lineage(out.join(least, "to").select("id", "component"))
+    return written(out.join(least, "to").select("id", "component"))
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `found` (id, component) after more links (a, b)."""
+    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    every = found.unionByName(ids.join(found, "id", "left_anti").select("id", F.col("id").alias("component")))
+    named = links.join(every.select(F.col("id").alias("a"), F.col("component").alias("x")), "a")
+    named = named.join(every.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+    merged = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = every.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    return written(out.select("id", F.coalesce("to", "component").alias("component")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import cut_lineage, written
+from symdiff.llm.common import written
 from symdiff.llm.components import components
 from symdiff.llm.minhash import stream
 
@@ -137,7 +137,7 @@ def embedding_near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str
     apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b")))
     met = lists.join(other, "key").where((F.col("id") < F.col("id_b")) & (apart <= largest_difference(threshold)))
     pairs = met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-    links = cut_lineage(verified(pairs, vectors, threshold))
+    links = written(verified(pairs, vectors, threshold))
     both = links.select("a", F.col("cb").alias("n")).unionByName(links.select(F.col("b").alias("a"), F.col("ca").alias("n")))
     degrees = both.groupBy("a").agg(F.sum("n").alias("links"))
     of_class = classes.join(degrees.withColumnRenamed("a", "id"), "id", "left").join(components(links), "id", "left")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import cut_lineage, slices
+from symdiff.llm.common import slices, written
 
 PER_CLASS = 4096
 FOLDS = 5
@@ -173,7 +173,7 @@ def training_ids(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Of docs (id, text) and labels (id, toxic)."""
     sample = docs.where("text is not null").join(F.broadcast(training_ids(labels)), "id").select("id", "text", "toxic", "fold")
-    sample = cut_lineage(sample.dropDuplicates(["text"]))
+    sample = written(sample.dropDuplicates(["text"]))
 
     def count(batches):
         found: Counter = Counter()
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     names = [f"{x}{fold}" for x in "tc" for fold in range(FOLDS)]
     parts = sample.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in names))
-    counts = cut_lineage(parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in names)))
+    counts = written(parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in names)))
     first = counts.agg(*(F.sum(c).alias(c) for c in names)).first()
     total = [first[c] or 0 for c in names]
     if not all(total):
