@@ -37,7 +37,7 @@ PART = 1 << 20
 
 def letter_numbers() -> np.ndarray:
     """Of each code point: its letter's number in lower case, 0 if it isn't a letter."""
-    out = np.zeros(0x110000, dtype=np.int64)
+    out = np.zeros(0x110000, dtype=np.int16)
     for c in range(0x30000):
         if (x := chr(c)).isalpha():
             low = x.lower()
@@ -52,22 +52,16 @@ class Encoder:
         self.numbers = letter_numbers()
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Trigram codes and counts; empty if the text has no letter."""
-        codes = np.empty(0, dtype=np.int64)
-        counts = np.empty(0, dtype=np.int64)
-        for at in range(0, len(text), PART):
-            n = self.numbers[np.frombuffer(text[max(0, at - 2) : at + PART].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-            if not at:
-                n = np.concatenate(([0], n))
-            if at + PART >= len(text):
-                n = np.concatenate((n, [0]))
-            n = n[(n > 0) | np.concatenate(([True], n[:-1] > 0))]  # a gap is one place
-            if len(n) < 3:
-                continue
-            t = (n[:-2] * LETTERS + n[1:-1]) * LETTERS + n[2:]
-            some, times = np.unique(t, return_counts=True)
-            codes, counts = np.concatenate((codes, some)), np.concatenate((counts, times))
-        return codes, counts
+        """Trigram codes and counts (a long text's codes may come in several parts); empty if it has no letter."""
+        n = self.numbers[np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        n = n[(n > 0) | np.concatenate(([True], n[:-1] > 0))]  # a gap is one place
+        found = []
+        for at in range(0, len(n) - 2, PART):
+            x = n[at : at + PART + 2].astype(np.int64)
+            found.append(np.unique((x[:-2] * LETTERS + x[1:-1]) * LETTERS + x[2:], return_counts=True))
+        if not found:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return np.concatenate([c for c, _ in found]), np.concatenate([k for _, k in found])
 
     def bundle(self, texts: list[str]) -> np.ndarray:
         """A unit vector per text, zero for those without a letter."""

@@ -75,8 +75,8 @@ class WordTokenizer:
         split, letters, others = [], set(), set()
         for w in words:
             core = w.rstrip(MARKS)
-            if core.isalpha() and max(core) < "\u0250":
-                low, marks = core.lower(), w[len(core) :]
+            low, marks = core.lower(), w[len(core) :]
+            if core.isalpha() and low.isalpha() and max(core) < "\u0250":
                 split.append((w, low, marks))
                 letters.add(low)
                 others.add(marks)
