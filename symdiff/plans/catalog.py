@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symdiff.functions import hashing, json
+from symdiff.functions import field, hashing, json
 from symdiff.functions.unsigned import as_decimal, wrapping
 from symdiff.operators import analytics, filesync, fingerprint, gossip, iblt, multiparty, sets, strata
 from symdiff.plans.reconcile import reconcile
@@ -423,6 +423,23 @@ def multi_party_bits(spark, sf_dir):
     return multiparty.party_bits(memberships(spark, sf_dir), MULTI)
 
 
+@query(
+    """WITH k AS (SELECT p_partkey, p_partkey AS a, p_size::BIGINT AS b FROM part),
+    n AS (SELECT p_partkey, a, b, [(((a >> i) & 1) * 3 + ((b >> i) & 1)) % 5 FOR i IN range(32)] AS v FROM k)
+    SELECT p_partkey, list_sum(v)::BIGINT AS total, len(list_filter(v, lambda x: x <> 0 AND x <> 3)) = 0 AS one_key, (a | b) AS key, len(list_filter(v, lambda x: x <> 0)) = 0 AS empty, (a * 1000003) % 1000000007 AS residue FROM n"""
+)
+def field_arithmetic(spark, sf_dir):
+    """Three times one key plus another, bit by bit modulo 5."""
+    keys = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("b"))
+    v = field.added(field.multiplied(field.nits(F.col("p_partkey"), 32), 3, 5), field.nits(F.col("b"), 32), 5)
+    rows = keys.select("p_partkey", v.alias("v"))
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select(
+        "p_partkey", total.alias("total"), field.holds_only(F.col("v"), F.lit(3)).alias("one_key"), field.key_of(F.col("v")).alias("key"), field.is_empty(F.col("v")).alias("empty"),
+        field.scaled(F.col("p_partkey"), 1000003, 1_000_000_007).alias("residue"),
+    )
+
+
 NAME_BYTES = 40
 LANES_SQL = ", ".join(f"('0x' || substr(x, {8 * i + 1}, 8))::BIGINT AS l{i}" for i in range(NAME_BYTES // 4))
 
