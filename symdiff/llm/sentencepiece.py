@@ -31,7 +31,8 @@ from symdiff.llm.common import slices, written
 
 #: At least as long as the longest piece.
 CHUNK = 1 << 15
-CACHE = 1 << 19
+#: Words, and pairs of pieces, that a task remembers.
+CACHE = 3 << 17
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: A state where it doesn't matter which piece was last: a text's start or a sure cut.
@@ -62,7 +63,7 @@ class Bpe:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -79,10 +80,10 @@ class Bpe:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
     def compatible(self, a: int, b: int) -> bool:
-        got = self.fits.get((a, b))
+        got = self.fits.get(a << 20 | b)
         if got is None:
             x, y = self.texts[a], self.texts[b]
-            got = self.fits[a, b] = x[-1] + y[0] not in self.pairs or self.merged(x + y) == [x, y]
+            got = self.fits[a << 20 | b] = x[-1] + y[0] not in self.pairs or self.merged(x + y) == [x, y]
         return got
 
     def sure(self, text: str, at: int) -> bool:
@@ -103,7 +104,7 @@ class Bpe:
                     break
                 t = node.get("")
                 if t is not None and p + 1 not in out:
-                    if before != ANY and (fit := fits.get((before, t))) is not True and (fit is False or not self.compatible(before, t)):
+                    if before != ANY and (fit := fits.get(before << 20 | t)) is not True and (fit is False or not self.compatible(before, t)):
                         continue
                     out[p + 1] = t
             if q + 1 not in out and text[q] not in self.pieces:  # bytes, between two sure cuts
@@ -146,6 +147,8 @@ class Bpe:
         known = self.known
         if len(known) > CACHE:
             known.clear()
+        if len(self.fits) > CACHE:
+            self.fits.clear()
         words = WORD.findall(text)
         head = text[: len(text) - sum(map(len, words))]  # before the first space
         for w in {*words, head}.difference(known):
