@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import slices
+from symdiff.llm.common import slices, written
 
 DIMENSIONS = 1024
 #: Letters share this many vectors; code points of the usual alphabets have one each.
 LETTERS = 1024
 PER_LANGUAGE = 1024
+#: Training ids up to this many (some hundred languages) are sent to every executor instead of shuffling the texts.
+BROADCAST_IDS = 500_000
 SHARPNESS = 30.0
 SEED = 20
 #: Texts longer than this are counted in parts.
@@ -118,7 +120,8 @@ def fit(training: DataFrame) -> dict[str, np.ndarray]:
     known = training.where("lang is not null and text is not null")
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PER_LANGUAGE))
     chosen = known.groupBy("lang", place.alias("place")).agg(F.min_by("id", F.xxhash64("id", F.lit(2))).alias("id")).select("lang", "id")
-    sample = known.join(F.broadcast(chosen), ["lang", "id"], "left_semi")
+    chosen = written(chosen)
+    sample = known.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["lang", "id"], "left_semi")
 
     def work(batches):
         encoder, sums = Encoder(), {}
