@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python: whole texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's limits of Arrow batches to ours if they are higher; they hold for later plans too."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on and serve other stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch in slices of about `most` bytes of text, so that memory follows the slice and not the batch."""
     for batch in batches:
@@ -28,6 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             size += n
         if start < len(lengths):
             yield batch.slice(start), [x or b"" for x in column.slice(start).to_pylist()]
+    release()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -42,3 +66,20 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Memory:
+    """What was computed for at most about `most` keys: `new` holds all keys asked for last; when it is half full, it
+    becomes the old generation, of which only keys that are asked for again live on."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that have to be put into `new` now; the others are there."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        out = keys.difference(self.new)
+        again = {k: self.old[k] for k in out if k in self.old}
+        self.new.update(again)
+        return out.difference(again)

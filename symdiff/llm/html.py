@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from symdiff.llm.common import slices
+from symdiff.llm.common import in_small_batches, slices
 
 # Kinds of elements.
 RAW = frozenset("script style textarea title noscript template svg iframe select option object math xmp noframes".split())
@@ -226,5 +226,5 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "url", "text", "n_chars"]
             )
 
-    chosen = df.select(df[id_col].cast("long").alias("id"), df[url_col].cast("string").alias("url"), df[html_col].cast("string").alias("html"))
+    chosen = in_small_batches(df).select(df[id_col].cast("long").alias("id"), df[url_col].cast("string").alias("url"), df[html_col].cast("string").alias("html"))
     return chosen.mapInArrow(work, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

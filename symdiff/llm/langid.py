@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import slices, written
+from symdiff.llm.common import in_small_batches, slices, written
 
 DIMENSIONS = 1024
 #: Letters share this many vectors; code points of the usual alphabets have one each.
@@ -160,7 +160,7 @@ def with_language(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: st
         out = [x for some in blocks(texts.fillna("").tolist()) for x in best(encoder[0].bundle(some), prototypes)]
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    judged = df.withColumn("__judged", judge(df[text_col].cast("string")))
+    judged = in_small_batches(df).withColumn("__judged", judge(df[text_col].cast("string")))
     return judged.withColumns({"__lang": F.col("__judged.lang"), "__score": F.col("__judged.score")}).drop("__judged")
 
 
@@ -171,7 +171,7 @@ def held_out(id_col) -> F.Column:
 
 def plain(df: DataFrame, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
     columns = [df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text")]
-    return df.select(*columns, *([df[lang_col].cast("string").alias("lang")] if lang_col else []))
+    return in_small_batches(df).select(*columns, *([df[lang_col].cast("string").alias("lang")] if lang_col else []))
 
 
 def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

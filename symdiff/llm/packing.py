@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from symdiff.llm.common import slices
+from symdiff.llm.common import Memory, in_small_batches, slices
 
 LONGEST = 4096
 SHORTEST = 256
@@ -36,8 +36,10 @@ END_ID = 2
 #: Tokens in rests that wait in a partition's tiers before packing starts.
 BUFFER = 1 << 21
 STEP_TOKENS = 1 << 18
-#: Words whose ids are remembered by a task.
+#: Words whose ids a task remembers.
 CACHE = 1 << 19
+#: Bytes of text that are split into words at once.
+SLICE = 1 << 21
 
 
 #: ASCII marks that always start a token of their own after a letter (not the apostrophe of a contraction).
@@ -60,19 +62,14 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.parts = {"": b""}, {"": b""}
+        self.known = Memory(CACHE)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(x.ids, dtype="<u4")
 
     def learn(self, words: set[str]) -> None:
-        split, letters, others = [], set(), set()
+        split, letters, others, parts = [], set(), set(), {}
         for w in words:
             core = w.rstrip(MARKS)
             low, marks = core.lower(), w[len(core) :]
@@ -83,7 +80,7 @@ class WordTokenizer:
             else:
                 split.append((w, w, ""))
                 others.add(w)
-        todo = list(letters.difference(self.parts))
+        todo = list(letters)
         for at in range(0, len(todo), 512):
             some = todo[at : at + 512]
             (ids,) = self.ids([" ".join(some)])
@@ -93,22 +90,17 @@ class WordTokenizer:
                 continue
             data, start = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=True):
-                self.parts[w], start = data[start:end], end
-        todo = list(others.difference(self.parts))
+                parts[w], start = data[start:end], end
+        todo = list(others)
         for at in range(0, len(todo), 4096):
             some = todo[at : at + 4096]
-            self.parts.update((w, x.tobytes()) for w, x in zip(some, self.ids(some), strict=True))
-        for w, core, marks in split:
-            self.known[w] = self.parts[core] + self.parts[marks]
+            parts.update((w, x.tobytes()) for w, x in zip(some, self.ids(some), strict=True))
+        self.known.new.update((w, parts[core] + parts[marks]) for w, core, marks in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > CACHE:
-            self.forget()
-            missing = set().union(*split).difference(self.known)
-        self.learn(missing)
-        get = self.known.__getitem__
+        self.learn(self.known.missing(set().union(*split)))
+        get = self.known.new.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -226,7 +218,7 @@ def step_groups(rows: list[tuple], first_group: int) -> list[int]:
 
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group")])
 #: Rows that a partition keeps back to balance their step groups together.
-ROWS = 1 << 16
+ROWS = 1 << 14
 
 
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +237,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             rows = []
             return pa.RecordBatch.from_arrays([*columns, pa.array(group, pa.int64())], schema=SCHEMA)
 
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", SLICE):
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode([t.decode() for t in texts]), strict=True):
                 packer.add(doc_id, ids + end)
             rows += packer.drain()
@@ -256,6 +248,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if rows:
             yield out()
 
-    chosen = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
+    chosen = in_small_batches(df).select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     schema = ", ".join(f"{n} long" for n in SCHEMA.names)
     return chosen.mapInArrow(work, schema).withColumnRenamed("doc_id", id_col)

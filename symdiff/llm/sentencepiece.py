@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import slices, written
+from symdiff.llm.common import in_small_batches, slices, written
 
 #: At least as long as the longest piece.
 CHUNK = 1 << 15
@@ -334,7 +334,7 @@ def decode(df: DataFrame, model_path: str) -> DataFrame:
 
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_ids, ids_crc32 (of little-endian 32-bit ids), n_chars and sha256 of the decoded text."""
-    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
+    rows = in_small_batches(df).select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     out = decode(encode(rows, model_path), model_path)
     return out.select(
         F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import slices, written
+from symdiff.llm.common import Memory, in_small_batches, slices, written
 
 PER_CLASS = 4096
 FOLDS = 5
@@ -43,7 +43,7 @@ LEXICON = 20_000
 DRIFT = 0.25
 #: Least share of background words that are taken to score, so that a lexicon that never met one keeps a finite scale.
 RARE = 1e-5
-CACHE = 1 << 19
+CACHE = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -65,19 +65,14 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, Memory(CACHE)
 
     def scores(self, words: list[str]) -> list[float]:
         """Of each word; 0 for those that the lexicon doesn't have."""
-        known = self.known
-        missing = set(words).difference(known)
-        if len(known) + len(missing) > CACHE:
-            self.known = known = {}
-            missing = set(words)
         get = self.model.lexicon.get
-        for w in missing:
-            known[w] = max(get(t, 0.0) for t in tokens(w))
-        return [known[w] for w in words]
+        missing = self.known.missing(set(words))
+        self.known.new.update((w, max(get(t, 0.0) for t in tokens(w))) for w in missing)
+        return [self.known.new[w] for w in words]
 
     def passages(self, text: str) -> tuple[list[tuple[int, int, float]], float, int]:
         """Significant passages (first word, end word, score), the evidence, and the number of words."""
@@ -257,11 +252,11 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             scorer.append(Scorer(model))
         return pd.Series([model.probability(scorer[0].passages(t or "")[1]) for t in texts], dtype=float)
 
-    return df.withColumn("__toxicity", judge(df[text_col].cast("string")))
+    return in_small_batches(df).withColumn("__toxicity", judge(df[text_col].cast("string")))
 
 
 def plain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
+    return in_small_batches(df).select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symdiff.llm import html, langid, packing, quality, secrets, sentencepiece, toxicity, trigrams, urls
+from symdiff.llm import common, html, langid, packing, quality, secrets, sentencepiece, toxicity, trigrams, urls
 from symdiff.llm.minhash import near_dedup
 from symdiff.llm.pivots import embedding_near_dedup
 
@@ -113,6 +113,21 @@ def test_word_tokenizer_equals_whole_texts():
         assert got == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
 
 
+def test_memory_holds_what_is_asked_for_and_stays_small():
+    memory, r = common.Memory(100), random.Random(11)
+    for _ in range(300):
+        keys = {r.randrange(1000) for _ in range(20)}
+        missing = memory.missing(keys)  # may start a new generation
+        memory.new.update((k, -k) for k in missing)
+        assert all(memory.new[k] == -k for k in keys)
+        assert len(memory.new) + len(memory.old) <= 100 + 2 * 20
+
+
+def test_batches_are_made_small(spark):
+    common.in_small_batches(spark.range(1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
+
+
 def brute_spans(text):
     kinds = [
         ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
