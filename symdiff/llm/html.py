@@ -3,7 +3,8 @@
 A page is cut into text blocks at block-level tags. A block's features are its word count and link density, those of the
 block before and after it, and what its open elements say: whether one of them is a container of page furniture
 (by tag, role, class or id) and whether one is an article's. A decision tree, grown on the labelled table below, tells
-content from the rest; content blocks are joined in page order.
+content from the rest; content blocks are joined in page order. Blocks of an article outside furniture are content
+whatever is around them, but for short ones of nothing but links; furniture never is.
 
 Row-local and linear in a page's length: no shuffle, nothing is gathered.
 
@@ -177,6 +178,18 @@ TABLE = (
     (6, 0.0, 2, 0.0, 7, 0.0, 0, 0, 0), (5, 0.6, 40, 0.0, 50, 0.0, 0, 0, 0), (12, 0.5, 4, 0.5, 9, 0.4, 0, 0, 0), (10, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
 )
 
+# The table's labels carried over to all neighbours (words and links), so that no split rests on which ones a
+# row above happens to have: words, links, words after at least and at most, furniture, article, label.
+NEAR = ((0, 0.0), (1, 0.5), (2, 1.0), (12, 0.3), (25, 0.0), (45, 0.1), (300, 0.0))
+FILLED = (
+    *((w, x, 0, 999, 0, 1, 1) for w in (1, 4, 12, 60, 400) for x in (0.0, 0.3, 0.9)), *((w, 1.0, 0, 999, 0, 1, 1) for w in (12, 60, 400)),
+    *((w, 1.0, 0, 999, 0, 1, 0) for w in (1, 5)),
+    *((w, x, 0, 999, 1, a, 0) for w in (1, 5, 12, 60, 400) for x in (0.0, 0.3, 1.0) for a in (0, 1)),
+    *((w, x, 0, 999, 0, 0, 1) for w in (18, 60, 400) for x in (0.0, 0.2)), *((w, x, 0, 999, 0, 0, 0) for w in (1, 12, 60, 400) for x in (0.6, 1.0)),
+    *((w, x, 45, 999, 0, 0, 1) for w in (1, 5, 10) for x in (0.0, 0.2)), *((w, x, 0, 12, 0, 0, 0) for w in (1, 5, 12) for x in (0.0, 0.2)),
+)
+TABLE += tuple((w, x, *b, *a, f, article, label) for w, x, low, high, f, article, label in FILLED for b in NEAR for a in NEAR if low <= a[0] <= high)
+
 
 def gini(rows: list[tuple]) -> float:
     p = sum(r[-1] for r in rows) / len(rows)

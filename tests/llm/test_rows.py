@@ -233,6 +233,35 @@ def test_main_text():
     assert html.main_text("<article>" + "<b>" * 20000 + "deep") == "deep"
 
 
+def leaves(tree, path=()):
+    if isinstance(tree, int):
+        return [(dict(path), tree)]
+    feature, limit, low, high = tree
+    name = html.FEATURES[feature]
+    return leaves(low, (*path, ((name, limit, "low"), 1))) + leaves(high, (*path, ((name, limit, "high"), 1)))
+
+
+def test_article_blocks_are_content_whatever_is_around_them():
+    for path, label in leaves(html.TREE):
+        structure = {(name, side) for name, _, side in path}
+        if ("furniture", "high") in structure:
+            assert label == 0
+        elif ("article", "high") in structure:  # only short blocks of nothing but links are none
+            assert not {name for name, _, _ in path} & {"words before", "links before", "words after", "links after"}
+            assert label or any(name == "links" and limit > 0.9 and side == "high" for name, limit, side in path)
+    text = " ".join(["word"] * 300)
+    assert html.main_text(f"<article><h2>Two words</h2><p>{text}</p></article>") == f"Two words\n{text}"
+    assert html.main_text(f"<article><h2>One title</h2><p>some <a>linked text</a></p><p>{text}</p><p>The end.</p></article>").count("\n") == 3
+    assert html.main_text(f"<div><p>{text}</p><p>{'more ' * 20}</p></div>").startswith(text)
+
+
+def test_every_article_block_of_whole_pages_survives(spark):
+    for page in [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]:
+        blocks = html.blocks_of(page or "")
+        assert all(b.links > 0.9 or b.text in html.main_text(page).split("\n") for b in blocks if b.article and not b.furniture)
+        assert not any(html.classify(html.TREE, x) for b, x in zip(blocks, html.features(blocks), strict=True) if b.furniture)
+
+
 def test_languages_are_told_apart(spark):
     r = random.Random(6)
     words = {"aa": ["the", "and", "house", "with", "thing"], "bb": ["der", "und", "haus", "mit", "ding", "für"], "cc": ["ñor", "casa", "llama", "que", "año"]}
