@@ -6,8 +6,12 @@
 3. Signatures are cut into bands. In each bucket (documents that agree on a band) every member is paired with the
    bucket's hub only, a star: as many pairs as members, however large the bucket.
 4. Pairs are confirmed on the full shingle sets, which are made again for documents in shared buckets only.
-5. Confirmed pairs give components. Buckets that hold several components get further stars, between a new hub and the
-   members of other components, round after round, until a round over new hubs finds nothing to join.
+5. Confirmed pairs give components. Buckets that hold several components get further stars, between a new hub of the
+   bucket's own and the members of other components. A hub has then been compared with all it isn't linked with, and
+   leaves its bucket; a bucket whose rest is one component is settled.
+6. What is in no settled bucket after ROUNDS such rounds is joined exactly by its rare shingles: of two sets that reach
+   the threshold, the least of their shared shingles in any one order lies among the first few of both (prefix filter).
+   The order starts with rare shingles, so that what a family of documents has in common comes last.
 
 Defined results: ASCII letters are lower-cased, words are runs of anything but ASCII white space; a document of fewer
 words than a shingle has its whole sequence as one; without words or text it has none, is linked with nothing and is
@@ -33,8 +37,12 @@ BINS = 240
 MISS = 1e-8
 #: Ids up to this many are sent to every executor instead of shuffling the texts (8 bytes each).
 BROADCAST_IDS = 500_000
-#: Stars after the first in buckets that still hold several components.
+#: Stars after the first in buckets that still hold several components; the exact join settles the rest.
 ROUNDS = 4
+#: Counters of shingles, by their lower bits. They only order shingles: a shared counter makes a join larger, not wrong.
+PLACES = 1 << 18
+#: Documents of a rare shingle, or members of a bucket, that a join deals to one task.
+BLOCK = 512
 CACHE = 1 << 18
 SLICE = 1 << 21
 LOW48 = np.uint64((1 << 48) - 1)
@@ -180,6 +188,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "n", "m", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """Of each place: how many shingles of sets (hashes) fall into it."""
+
+    def work(batches):
+        counts = np.zeros(PLACES, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                np.add.at(counts, (unpacked(packed) % np.uint64(PLACES)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["place", "k"])
+
+    found = sets.select("hashes").mapInArrow(work, "place int, k long").groupBy("place").agg(F.sum("k").alias("k")).toArrow()
+    out = np.zeros(PLACES, dtype=np.int64)
+    out[found.column("place").to_numpy()] = found.column("k").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, id, c, n, at, inner) of the first shingles of sets (id, c, hashes), rare ones first.
+
+    Let x be the larger of two sets that reach the threshold t, y the smaller. They share at least t|x| and 2t/(1+t)|y|
+    shingles, so the first shared one is among the first |x| - t|x| + 1 of x and |y| - 2t/(1+t)|y| + 1 of y (inner).
+    """
+    counts = rarity(sets)
+
+    def work(batches):
+        for batch in batches:
+            ids, cs, packed = (batch.column(k).to_pylist() for k in range(3))
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for i, c, p in zip(ids, cs, packed, strict=True):
+                h = unpacked(p)
+                n = len(h)
+                first = n + (-percent * n) // 100 + 1
+                inner = n + (-2 * percent * n) // (100 + percent) + 1
+                order = np.lexsort((h, counts[(h % np.uint64(PLACES)).astype(np.int64)]))[:first]
+                at = np.arange(len(order))
+                for column, x in zip(columns, (h[order].view(np.int64), np.full(len(order), i), np.full(len(order), c), np.full(len(order), n), at, at < inner), strict=True):
+                    column.append(x)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["shingle", "id", "c", "n", "at", "inner"])
+
+    return sets.select("id", "c", "hashes").mapInArrow(work, "shingle long, id long, c long, n long, at long, inner boolean")
+
+
+def candidates(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components in rest (id, c) that may reach the threshold."""
+    rows = written(prefixes(sets.join(rest, "id").select("id", "c", "hashes"), percent))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("inner").alias("some")).where("low <> high and some")
+    rows = written(rows.join(shared.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "shingle"))
+    x = rows.select("shingle", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *(F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "at")))
+    y = rows.where("inner").select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "at")))
+    near = y.join(x, ["shingle", "part"]).where(
+        f"y_c <> x_c and (y_n < x_n or (y_n = x_n and y_id < x_id)) and 100 * y_n >= {percent} * x_n"
+        f" and {100 + percent} * least(x_n - x_at, y_n - y_at) >= {percent} * (x_n + y_n)"
+    )
+    return near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
 def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Of df (id, text): its features, and (digest, component) of the classes that are linked with another class."""
     seen = written(features(df, words, percent))
@@ -187,23 +253,29 @@ def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> tuple[D
     first = seen.where("digest is not null").join(classes, ["digest", "id"]).dropDuplicates(["digest"])
     rows = first.select("id", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(priority(F.col("id")))["v"].alias("hub")).where("size > 1")
-    buckets = written(rows.join(hubs.select("key", "hub"), "key"))
+    buckets = written(rows.join(hubs.select("key", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "key"))
     ids = written(buckets.select("id").distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = written(shingle_sets(df.join(ids, "id", "left_semi"), words).dropDuplicates(["id"]))
     pairs = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = components(confirmed(pairs, sets, percent))
-    for k in range(1, ROUNDS + 1):
-        named = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(k))).alias("hub")).where("low <> high")
-        hub_of = mixed_keys.select("key", "hub").join(found.withColumnRenamed("id", "hub").withColumnRenamed("component", "hc"), "hub", "left")
-        more = named.join(hub_of.select("key", "hub", F.coalesce("hc", "hub").alias("hc")), "key").where("c <> hc")
-        more = confirmed(more.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
-        more = written(more)
-        if more.isEmpty():
+    left = buckets
+    for k in range(1, ROUNDS + 2):
+        named = left.where("id <> hub").select("key", "parts", "id").join(found, "id", "left").select("key", "parts", "id", F.coalesce("component", "id").alias("c"))
+        hub = F.min_by(F.struct("id", "c"), F.xxhash64("id", "key", F.lit(k)))
+        keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("parts").alias("parts"), hub.alias("h")).where("low <> high")
+        keys = keys.select("key", F.col("h.id").alias("hub"), F.col("h.c").alias("hc"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        left = written(named.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(keys, ["key", "part"]).drop("part"))
+        if left.isEmpty():
             break
-        found = extended(found, more)
+        if k <= ROUNDS:
+            pairs = left.where("c <> hc").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        else:
+            pairs = candidates(left.select("id", "c").distinct(), sets, percent)
+        more = written(confirmed(pairs, sets, percent))
+        if not more.isEmpty():
+            found = extended(found, more)
     return seen, first.select("digest", "id").join(found, "id").select("digest", "component")
 
 

@@ -67,6 +67,29 @@ def test_near_duplicates_match_all_pairs(spark, words, percent):
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("vocabulary", [10**9, 60])
+def test_template_families_match_all_pairs(spark, monkeypatch, vocabulary):
+    """One form of 100 words with four fields each: documents lie below the threshold, but for those that share two."""
+    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)
+    r = random.Random(7)
+    form = [f"form{k}" for k in range(96)]
+    fields = [[r.randrange(vocabulary) for _ in range(4)] for _ in range(300)]
+    for k in range(0, 40, 2):
+        fields[k + 1][:2] = fields[k][:2]
+    docs = []
+    for i in r.sample(range(300), 300):
+        text = list(form)
+        for at, x in zip((80, 60, 40, 20), fields[i], strict=True):
+            text.insert(at, f"field{at}x{x}")
+        docs.append((len(docs), " ".join(text)))
+    sets = {i: shingles(t, 3) for i, t in docs}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = smallest(sets, links)
+    got = minhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85).collect()
+    assert len(set(want.values())) > 50 and len(links) >= 20
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
 def test_bands_keep_misses_rare():
     for percent in (70, 80, 85, 90):
         rows = minhash.band_rows(percent)
