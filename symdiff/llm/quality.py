@@ -5,8 +5,9 @@ and the raw corpus (all documents). A document's mean log ratio of its n-grams'
 matter) is compared with a fixed threshold: the LOST share of the scores of trusted documents that the target was not
 counted from lies below it. Whoever is at least at the threshold is kept; nothing is drawn at random.
 
-The counts of all documents are pre-aggregated before they are shuffled, one row per bucket; these BUCKETS rows are all
-that reaches the driver, and go back as one array constant. Scoring is row-local.
+Every labelled-good document is used, by hash of its id: half make the target, half the threshold. The counts of all
+documents are pre-aggregated before they are shuffled, one row per bucket; these BUCKETS rows are all that reaches the
+driver, and go back as one array constant. Scoring is row-local.
 
 Defined results: words are runs of anything but ASCII white space; a null or empty text has no words and is not kept; a
 row with a null id is judged like any other but trusted by no label; without trusted documents every score is 0 and the
@@ -19,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symdiff.llm.common import written
+
 BUCKETS = 1 << 14
 #: Share of the trusted documents that may lie below the threshold.
 LOST = 0.002
@@ -26,8 +29,8 @@ LOST = 0.002
 SMOOTHING = 1.0
 WINDOW = 5
 
-#: At most so many trusted documents, by hash of the id: half make the target multinomial, half the threshold.
-TRUSTED = 1 << 14
+#: Trusted ids up to this many are sent to every executor instead of shuffling the texts (8 bytes each).
+BROADCAST_IDS = 500_000
 
 # The base rules' symbols, limits and white space.
 SYMBOLS = "#*$%&|<>"
@@ -98,15 +101,14 @@ def base_rules(df: DataFrame) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(id, half) of at most TRUSTED documents that labels (id, quality) call good; the greatest label of an id counts."""
-    good = labels.where("id is not null and quality > 0")
-    place = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(TRUSTED))
-    return good.groupBy(place.alias("place")).agg(F.min_by("id", F.xxhash64("id", F.lit(7))).alias("id")).select("id").distinct().withColumn("half", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(2)))
+    """(id, half) of all documents that labels (id, quality) call good; the greatest label of an id counts."""
+    good = written(labels.where("id is not null and quality > 0").select("id").distinct().withColumn("half", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(2))))
+    return F.broadcast(good) if good.count() <= BROADCAST_IDS else good
 
 
 def ratios(df: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket. df (id, text): all documents; trusted (id): the trusted ones among them."""
-    marked = df.join(F.broadcast(trusted.select("id", F.lit(1).alias("good"))), "id", "left")
+    marked = df.join(trusted.select("id", F.lit(1).alias("good")), "id", "left")
     grams = marked.select("good", F.explode(buckets_of(words_of(F.col("text")))).alias("bucket"))
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
     target, raw = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
@@ -130,7 +132,7 @@ def judge_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     trusted = trusted_ids(labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("quality")))
     weights = ratios(rows, trusted.where("half = 0"))
-    own = rows.join(F.broadcast(trusted.where("half = 1")), "id", "left_semi").select(likelihood_ratio(words_of(F.col("text")), weights).alias("score"))
+    own = rows.join(trusted.where("half = 1"), "id", "left_semi").select(likelihood_ratio(words_of(F.col("text")), weights).alias("score"))
     threshold = own.agg(F.percentile("score", F.lit(LOST))).first()[0]
     judged = base_rules(rows).withColumn("score", likelihood_ratio(F.col("words"), weights)).drop("words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))

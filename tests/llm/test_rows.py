@@ -201,6 +201,23 @@ def test_quality_tells_junk_from_prose(spark):
     assert len(kept ^ {i for i in range(400) if i % 4}) <= 8
 
 
+def test_quality_counts_every_trusted_document(spark, monkeypatch):
+    n = 20_000
+    marks = spark.range(n).select(F.col("id"), F.lit(1).alias("quality"))
+    for most in (500_000, 10):  # sent to executors, or shuffled
+        monkeypatch.setattr(quality, "BROADCAST_IDS", most, raising=False)
+        trusted = quality.trusted_ids(marks.unionByName(marks).unionByName(spark.sql("select 1L id, 0 quality union all select 99999L, 0")))
+        assert trusted.count() == trusted.select("id").distinct().count() == n
+        target = trusted.where("half = 0")
+        assert 0.45 * n < target.count() < 0.55 * n
+        docs = spark.range(2 * n).select("id", F.when(F.col("id") < n, "good").otherwise("bad").alias("text"))
+        got = quality.ratios(docs, target)
+        good, bad = (spark.range(1).select(quality.buckets_of(F.array(F.lit(w)))[0]).first()[0] for w in ("good", "bad"))
+        total, raw = target.count() + quality.BUCKETS, 2 * n + quality.BUCKETS
+        assert abs(got[good] - (np.log((target.count() + 1) / total) - np.log((n + 1) / raw))) < 1e-9
+        assert abs(got[bad] - (np.log(1 / total) - np.log((n + 1) / raw))) < 1e-9
+
+
 def test_url_rules(spark):
     cases = {
         None: ("", "", None, "allow"),
