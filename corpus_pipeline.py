@@ -16,10 +16,10 @@ from symdiff.llm.queries import tokenizer_file
 from symdiff.llm.secrets import redact_secrets
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: those without a letter, or null."""
+    """Documents of no known language go: those without a letter, null, or unlike every language learned."""
     rows = langid.plain(docs, "doc_id", "text", "lang")
-    prototypes = langid.fit(rows.where(~langid.held_out(F.col("id")) & F.col("id").isNotNull()))
-    return langid.with_language(docs, prototypes).where("__lang <> 'und'").drop("__lang", "__score")
+    model = langid.fit(rows.where(~langid.held_out(F.col("id")) & F.col("id").isNotNull()))
+    return langid.with_language(docs, model).where("__known").drop("__lang", "__score", "__known")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

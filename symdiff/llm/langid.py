@@ -9,14 +9,20 @@ Prototypes are fitted on a bounded sample of labelled documents (PER_LANGUAGE of
 by a pre-aggregated min); the languages' sums are all that reaches the driver. Every document is predicted from its
 whole text, row by row: no shuffle.
 
+A text is of a known language if its best cosine reaches a floor, MARGIN times the least best cosine of the sample's texts
+of about its length (powers of two of trigrams). Where fewer than LEAST_TEXTS are so long, shorter ones count too; texts
+shorter than those have no floor.
+
 Defined results: a text without a letter, empty or null, is `und` with score 0; ties go to the language that sorts
 first; a table without labelled texts predicts `und` everywhere; repeated rows are each predicted; a row with a null id
 is not held out; other columns are not read. The score is the share of the best cosine among the positive cosines,
-sharpened by SHARPNESS (a softmax).
+sharpened by SHARPNESS (a softmax). `und` is no known language.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +39,9 @@ PER_LANGUAGE = 1024
 BROADCAST_IDS = 500_000
 SHARPNESS = 30.0
 SEED = 20
+#: Of the least cosine of training texts, and texts that it takes.
+MARGIN = 0.5
+LEAST_TEXTS = 32
 #: Texts longer than this are counted in parts.
 PART = 1 << 20
 
@@ -65,8 +74,8 @@ class Encoder:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         return np.concatenate([c for c, _ in found]), np.concatenate([k for _, k in found])
 
-    def bundle(self, texts: list[str]) -> np.ndarray:
-        """A unit vector per text, zero for those without a letter."""
+    def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A unit vector per text, zero for those without a letter, and the length class of each."""
         counted = [self.counts(t) for t in texts]
         every, where = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(c for c, _ in counted)]), return_inverse=True)
         out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
@@ -81,14 +90,14 @@ class Encoder:
             np.add.at(weights, (owner[mine], where[mine] - at), times[mine])
             out += weights[:, : len(e)] @ grams.astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1)
+        return out / np.where(norm > 0, norm, 1), np.array([int(n.sum()).bit_length() for _, n in counted], dtype=np.int64)
 
 
 def unit_vectors(batches, encoder: Encoder):
-    """(batch, unit vectors of its texts), in blocks of texts."""
+    """(batch, unit vectors of its texts, length classes), in blocks of texts."""
     for batch, texts in slices(batches, "text", 1 << 20):
         for at in range(0, len(texts), 256):
-            yield batch.slice(at, 256), encoder.bundle([t.decode() for t in texts[at : at + 256]])
+            yield batch.slice(at, 256), *encoder.bundle([t.decode() for t in texts[at : at + 256]])
 
 
 def blocks(texts: list[str], rows: int = 256, chars: int = 1 << 20):
@@ -103,29 +112,61 @@ def blocks(texts: list[str], rows: int = 256, chars: int = 1 << 20):
         yield texts[start:]
 
 
-def best(vectors: np.ndarray, prototypes: dict[str, np.ndarray]) -> list[tuple[str, float]]:
-    """Each vector's language and score."""
-    names, out = sorted(prototypes), [("und", 0.0)] * len(vectors)
+@dataclass
+class Model:
+    prototypes: dict[str, np.ndarray]
+    floors: np.ndarray  # by length class
+
+
+def best(vectors: np.ndarray, classes: np.ndarray, model: Model) -> list[tuple[str, float, bool]]:
+    """Each vector's language, score and whether it is of a known language."""
+    names, out = sorted(model.prototypes), [("und", 0.0, False)] * len(vectors)
     some = np.flatnonzero(vectors.any(axis=1))
     if names and len(some):
-        cosines = vectors[some] @ np.array([prototypes[n] for n in names], dtype=np.float32).T
+        cosines = vectors[some] @ np.array([model.prototypes[n] for n in names], dtype=np.float32).T
         odds = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
-        for i, k, s in zip(some, cosines.argmax(axis=1), 1 / odds.sum(axis=1), strict=True):
-            out[i] = (names[k], float(s))
+        known = cosines.max(axis=1) >= model.floors[classes[some]]
+        for i, k, s, x in zip(some, cosines.argmax(axis=1), 1 / odds.sum(axis=1), known, strict=True):
+            out[i] = (names[k], float(s), bool(x))
+    return out
+
+
+def floors(sample: DataFrame, prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    """The least cosine of a known language, by length class; sample (text)."""
+    out = np.full(64, -np.inf)
+    if not prototypes:
+        return out
+    every = np.array(list(prototypes.values()))
+
+    def work(batches):
+        encoder = Encoder()
+        for batch, vectors, classes in unit_vectors(batches, encoder):
+            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array((vectors @ every.T).max(axis=1).astype(np.float64))], ["class", "cosine"])
+
+    rows = sample.select("text").mapInArrow(work, "class long, cosine double").where("class > 0").groupBy("class").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).collect()
+    found = {r["class"]: r for r in rows}
+    for k in range(64):
+        n, least = 0, np.inf
+        for r in (found[x] for x in range(k, 0, -1) if x in found):
+            n, least = n + r["n"], min(least, r["least"])
+            if n >= LEAST_TEXTS:
+                out[k] = MARGIN * least
+                break
     return out
 
 
-def fit(training: DataFrame) -> dict[str, np.ndarray]:
-    """Of training rows (id, text, lang): each language's prototype, a unit vector."""
+def fit(training: DataFrame) -> Model:
+    """Of training rows (id, text, lang): each language's prototype, a unit vector, and the floors."""
     known = training.where("lang is not null and text is not null")
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PER_LANGUAGE))
     chosen = known.groupBy("lang", place.alias("place")).agg(F.min_by("id", F.xxhash64("id", F.lit(2))).alias("id")).select("lang", "id")
     chosen = written(chosen)
     sample = known.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["lang", "id"], "left_semi")
+    sample = written(sample.select("lang", "text"))
 
     def work(batches):
         encoder, sums = Encoder(), {}
-        for batch, vectors in unit_vectors(batches, encoder):
+        for batch, vectors, _ in unit_vectors(batches, encoder):
             for lang, v in zip(batch.column(batch.schema.get_field_index("lang")).to_pylist(), vectors, strict=True):
                 sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["lang", "sums"])
@@ -134,34 +175,36 @@ def fit(training: DataFrame) -> dict[str, np.ndarray]:
     summed = parts.select("lang", F.posexplode("sums").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
     rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("s")).collect()
     out = {r.lang: np.array([x.v for x in r.s]) for r in rows}
-    return {lang: (v / np.linalg.norm(v)).astype(np.float32) for lang, v in sorted(out.items()) if np.linalg.norm(v) > 0}
+    prototypes = {lang: (v / np.linalg.norm(v)).astype(np.float32) for lang, v in sorted(out.items()) if np.linalg.norm(v) > 0}
+    return Model(prototypes, floors(sample, prototypes))
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """df (id, text, ...) -> (id, lang_pred, score)."""
+def predict(df: DataFrame, model: Model) -> DataFrame:
+    """df (id, text, ...) -> (id, lang_pred, score, known)."""
 
     def work(batches):
         encoder = Encoder()
-        for batch, vectors in unit_vectors(batches, encoder):
-            found = best(vectors, prototypes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "lang_pred", "score"])
+        for batch, vectors, classes in unit_vectors(batches, encoder):
+            found = best(vectors, classes, model)
+            langs, scores, known = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], ["id", "lang_pred", "score", "known"])
 
-    return df.select("id", "text").mapInArrow(work, "id long, lang_pred string, score double")
+    return df.select("id", "text").mapInArrow(work, "id long, lang_pred string, score double, known boolean")
 
 
-def with_language(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """df with the columns __lang and __score."""
+def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """df with the columns __lang, __score and __known."""
     encoder: list[Encoder] = []
 
-    @F.pandas_udf("struct<lang: string, score: double>")
+    @F.pandas_udf("struct<lang: string, score: double, known: boolean>")
     def judge(texts: pd.Series) -> pd.DataFrame:
         if not encoder:
             encoder.append(Encoder())
-        out = [x for some in blocks(texts.fillna("").tolist()) for x in best(encoder[0].bundle(some), prototypes)]
-        return pd.DataFrame(out, columns=["lang", "score"])
+        out = [x for some in blocks(texts.fillna("").tolist()) for x in best(*encoder[0].bundle(some), model)]
+        return pd.DataFrame(out, columns=["lang", "score", "known"])
 
     judged = in_small_batches(df).withColumn("__judged", judge(df[text_col].cast("string")))
-    return judged.withColumns({"__lang": F.col("__judged.lang"), "__score": F.col("__judged.score")}).drop("__judged")
+    return judged.withColumns({"__lang": F.col("__judged.lang"), "__score": F.col("__judged.score"), "__known": F.col("__judged.known")}).drop("__judged")
 
 
 def held_out(id_col) -> F.Column:
@@ -175,8 +218,8 @@ def plain(df: DataFrame, id_col: str, text_col: str, lang_col: str | None = None
 
 
 def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of df: id, held_out, lang_pred, score."""
+    """One row per row of df: id, held_out, lang_pred, score, known."""
     rows = plain(df, id_col, text_col, lang_col)
-    prototypes = fit(rows.where(~held_out(F.col("id")) & F.col("id").isNotNull()))
-    out = predict(rows, prototypes)
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+    model = fit(rows.where(~held_out(F.col("id")) & F.col("id").isNotNull()))
+    out = predict(rows, model)
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "known")

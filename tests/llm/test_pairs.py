@@ -176,3 +176,16 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert ids[4] == ids[3]
     run = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32")
     assert collections.Counter(map(tuple, run.collect())) == collections.Counter(map(tuple, kept[4].select("doc_id", "start", "length", "ids_crc32").collect())) or {r.doc_id for r in run.collect()} == ids[4]
+
+
+def test_pipeline_drops_texts_of_no_known_language(spark):
+    r = random.Random(8)
+    words = "the and house with thing paper stone river".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.choice([2, 10, 60]))), "en") for i in range(400)]
+    odd = ["Привет мир это обычный русский текст про дом и улицу " * 5, "0x7f 3c e2 88 12 9a ff 00 1c 5b " * 10, "x " + "12 34 56 " * 40 + "q 7", "12345"]
+    odd += ["zxqv kwjp qqzz vvkk xxjq zzwk " * 10]
+    docs = spark.createDataFrame(rows + [(1000 + k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert {i for i, _, _ in rows} <= kept and not kept & {1000, 1001, 1003, 1004}
+    judged = {x.doc_id: x for x in corpus_pipeline.langid.identify_language(docs).collect()}
+    assert {i for i, x in judged.items() if x.known} == kept and judged[1000].lang_pred == "en"
