@@ -22,6 +22,7 @@ sharpened by SHARPNESS (a softmax). `und` is no known language.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -46,10 +47,11 @@ LEAST_TEXTS = 32
 PART = 1 << 20
 
 
+@cache
 def letter_numbers() -> np.ndarray:
     """Of each code point: its letter's number in lower case, 0 if it isn't a letter."""
     out = np.zeros(0x110000, dtype=np.int16)
-    for c in range(0x30000):
+    for c in range(0x110000):
         if (x := chr(c)).isalpha():
             low = x.lower()
             out[c] = 1 + ord(low if len(low) == 1 else x) % (LETTERS - 1)

@@ -306,6 +306,14 @@ def test_undetermined_texts(spark):
     assert got[1] == ("und", 0.0) and got[2] == ("und", 0.0)
 
 
+def test_letters_of_all_planes_are_letters(spark):
+    numbers = langid.letter_numbers()
+    assert all((numbers[c] > 0) == chr(c).isalpha() for c in range(0x110000))
+    rows = [(1, "\U00030000\U00030001 \U00031350", "en"), (3, "hello there", "en")]
+    got = {r.doc_id: r for r in langid.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1].lang_pred == "en" and got[1].score > 0
+
+
 def brute_segments(scores):
     """Ruzzo and Tompa's definition, by recursion on the best segment."""
 
