@@ -1,21 +1,25 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Lexicon: words and word beginnings (PREFIXES characters, which stand for their inflections) get the log-odds of toxic
-against other training documents, with an informative Dirichlet prior (all training documents, weighted as the toxic
-ones); those that are LEAST_Z standard deviations and LEAST_ODDS above zero are kept. A word of a text scores its
-greatest log-odds, or -DRIFT when it has none.
+against other training documents, with an informative Dirichlet prior: a token's weight is its share of all training
+text, the whole prior weighs PRIOR times the smaller class. A token as frequent in both classes has log-odds 0, one
+that only toxic texts hold at least ln(1 + 1 / PRIOR), whatever the classes' sizes. Tokens LEAST_Z standard deviations and
+LEAST_ODDS above zero are kept. A word of a text scores its greatest log-odds, or -DRIFT when it has none.
 
 Passages: the maximal scoring segments of a text's word scores, found in one pass (linear time). Calibration: under the
 word score distribution of other documents, a random text's best segment follows an extreme-value law with the rate
 `scale`; a passage counts by scale * score - ln(number of words), if that is above zero. A document's sum of these, on a
-logarithmic scale, goes through a logistic curve, fitted on training documents scored with lexicons that were learned without them (FOLDS).
+logarithmic scale, goes through a logistic curve, fitted on training documents scored with lexicons that were learned
+without them (FOLDS). There, each class weighs as much as it has labels, however many of them the sample holds.
 
 Training rows are a bounded sample of the labelled ones (PER_CLASS of each class, by hash of the id, found by a
-pre-aggregated min). Every document is scored over its whole text, row by row: no shuffle.
+pre-aggregated min). Every document is scored over its whole text, row by row: no shuffle. The driver gets the lexicon, a
+histogram of scores and a number for each training document.
 
 Defined results: a null or empty text has no passages and the curve's score for none; without labels of both classes
 nothing is toxic (score 0); a row with a null id is scored, not held out and never learned from; if a label table
-repeats an id, the greatest label counts; repeated rows are each scored; other columns are not read.
+repeats an id, the greatest label counts, and so for equal texts of the sample; repeated rows are each scored; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ from symdiff.llm.common import Memory, in_small_batches, slices, written
 PER_CLASS = 4096
 FOLDS = 5
 PREFIXES = range(3, 7)
+#: Weight of the prior, in parts of the smaller class's tokens.
+PRIOR = 0.25
 LEAST_Z = 3.0
-LEAST_ODDS = 2.0
+LEAST_ODDS = math.log(2)
 #: At most so many entries, the most significant ones, reach the driver and the executors.
 LEXICON = 20_000
 DRIFT = 0.25
@@ -86,40 +92,44 @@ class Scorer:
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, score): every positive score is one, and neighbours are joined while
-    that gains; the words between count -DRIFT each."""
+    that gains; the words between count -DRIFT each.
+
+    An open segment knows the last one before it that starts lower. The search for a lower start follows these links;
+    when there is none, no open segment can grow any more, and all are closed.
+    """
     hits = np.flatnonzero(scores > 0)
     if not len(hits):
         return []
     upto = np.concatenate(([0.0], np.cumsum(np.where(scores > 0, scores, -DRIFT))))
-    stack: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum at the end
-    for i in hits.tolist():
-        first, end, low, high = i, i + 1, upto[i], upto[i + 1]
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
-                stack.append((first, end, low, high))
-                break
-            first, low = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(a, b, float(h - lo)) for a, b, lo, h in stack]
+    closed: list[tuple[int, int, float]] = []
+    opened: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum at the end, link
+    for first, low, high in zip(hits.tolist(), upto[hits].tolist(), upto[hits + 1].tolist(), strict=True):
+        end, j = first + 1, len(opened) - 1
+        while j >= 0 and opened[j][2] >= low:
+            j = opened[j][4]
+        while j >= 0 and opened[j][3] < high:
+            first, _, low, _, before = opened[j]
+            del opened[j:]
+            j = before
+        if j < 0:
+            closed += [(a, b, y - x) for a, b, x, y, _ in opened]
+            opened.clear()
+        opened.append((first, end, low, high, j))
+    return closed + [(a, b, y - x) for a, b, x, y, _ in opened]
+
+
+def log_odds(t, c, toxic: float, other: float, log=math.log, root=math.sqrt):
+    """(log-odds, their number of standard deviations) of a token's counts among all tokens' counts toxic and other."""
+    weight = PRIOR * min(toxic, other)
+    prior = (t + c) * (weight / (toxic + other))
+    odds = log((t + prior) / (toxic + weight - t - prior)) - log((c + prior) / (other + weight - c - prior))
+    return odds, odds / root(1 / (t + prior) + 1 / (c + prior))
 
 
 def learn(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[str, float]:
     """The lexicon of token counts (toxic, other); toxic, other: all tokens' counts."""
-    out = {}
-    for token, (t, c) in counts.items():
-        odds, z = log_odds(t, c, toxic, other)
-        if z >= LEAST_Z and odds >= LEAST_ODDS:
-            out[token] = odds
-    return out
-
-
-def log_odds(t: float, c: float, toxic: float, other: float) -> tuple[float, float]:
-    prior = toxic * (t + c) / (toxic + other)
-    odds = math.log((t + prior) / (2 * toxic - t - prior)) - math.log((c + prior) / (other + toxic - c - prior))
-    return odds, odds / math.sqrt(1 / (t + prior) + 1 / (c + prior))
+    judged = {token: log_odds(t, c, toxic, other) for token, (t, c) in counts.items()}
+    return {token: odds for token, (odds, z) in judged.items() if z >= LEAST_Z and odds >= LEAST_ODDS}
 
 
 def rate(values: Counter, words: int) -> float:
@@ -139,14 +149,15 @@ def rate(values: Counter, words: int) -> float:
     return low
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, with a weak pull to zero on both."""
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope by Newton's method, with a weak pull to zero on both; only the weights' proportions matter."""
+    weights = weights * (len(weights) / weights.sum())
     scale = max(1.0, float(x.max(initial=0.0)))
     a, w = np.stack([np.ones(len(x)), x / scale], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + 1e-3 * w
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        gradient = a.T @ (weights * (p - y)) + 1e-3 * w
+        hessian = (a * (weights * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w -= np.clip(step, -5, 5)
     return float(w[0]), float(max(0.0, w[1]) / scale)
@@ -158,22 +169,23 @@ def held_out(id_col) -> F.Column:
 
 
 def training_ids(labels: DataFrame) -> DataFrame:
-    """(id, toxic, fold), at most PER_CLASS of each class."""
+    """(id, toxic, fold, weight), at most PER_CLASS of each class; weight: the labels of its class a row stands for."""
     known = labels.where("id is not null and toxic is not null").where(~held_out(F.col("id")))
     place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PER_CLASS))
-    chosen = known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic"), place.alias("place")).agg(F.min_by("id", F.xxhash64("id", F.lit(4))).alias("id"))
-    return chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).select("id", "toxic", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).alias("fold"))
+    chosen = known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic"), place.alias("place")).agg(F.min_by("id", F.xxhash64("id", F.lit(4))).alias("id"), F.count("*").alias("weight"))
+    return chosen.groupBy("id").agg(F.max("toxic").alias("toxic"), F.max_by("weight", "toxic").alias("weight")).select("id", "toxic", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).alias("fold"), "weight")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Of docs (id, text) and labels (id, toxic)."""
-    sample = docs.where("text is not null").join(F.broadcast(training_ids(labels)), "id").select("id", "text", "toxic", "fold")
-    sample = written(sample.dropDuplicates(["text"]))
+    sample = docs.where("text is not null").join(F.broadcast(training_ids(labels)), "id")
+    sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("fold").alias("fold"), F.sum("weight").alias("weight"))
+    sample = written(sample.select("text", "toxic", "fold", "weight"))
 
     def count(batches):
         found: Counter = Counter()
         for batch, texts in slices(batches, "text"):
-            for text, toxic, fold in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, toxic, fold in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found.update((t, toxic, fold) for t in {t for w in set(WORD.findall(text.decode())) for t in tokens(w)})
         keys = list(found)
         kinds = [(toxic, fold) for toxic in (1, 0) for fold in range(FOLDS)]
@@ -190,8 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not all(total):
         return Model()
     t, c = (sum(F.col(f"{x}{fold}") for fold in range(FOLDS)) for x in "tc")
-    often = counts.where((t >= 3) & (t * sum(total[FOLDS:]) > c * sum(total[:FOLDS])))
-    rows = often.orderBy((t / (c + 1)).desc(), t.desc(), "token").limit(LEXICON).collect()
+    odds, z = log_odds(t, c, sum(total[:FOLDS]), sum(total[FOLDS:]), F.log, F.sqrt)
+    rows = counts.select("*", z.alias("z")).where((odds >= LEAST_ODDS) & (z >= LEAST_Z - 1)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
 
     def without(fold: int) -> dict[str, float]:
         use = [k for k in range(FOLDS) if k != fold]
@@ -200,24 +212,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     lexicons = [without(fold) for fold in range(FOLDS)]
 
-    def look(batches):
-        """Of each training document: what the lexicon learned without its fold gives."""
+    def scored(batches):
+        """(batch, the word scores of each of its texts) by what the lexicon learned without its fold gives."""
         scorers = [Scorer(Model(x)) for x in lexicons]
         for batch, texts in slices(batches, "text"):
-            toxic, fold = batch.column(2), batch.column(3).to_pylist()
-            words = [WORD.findall(t.decode()) for t in texts]
-            scores = [scorers[f].scores(ws) for f, ws in zip(fold, words, strict=True)]
-            best = [[s for *_, s in segments(np.array(x))] for x in scores]
-            yield pa.RecordBatch.from_arrays(
-                [toxic, pa.array(list(map(len, words)), pa.int64()), pa.array(best, pa.list_(pa.float64())), pa.array([[s for s in x if s > 0] for x in scores], pa.list_(pa.float64()))],
-                ["toxic", "n", "best", "hits"],
-            )
+            yield batch, [scorers[f].scores(WORD.findall(t.decode())) for f, t in zip(batch.column(2).to_pylist(), texts, strict=True)]
+
+    def background(batches):
+        """A histogram of other documents' word scores; the score 0 stands for all their words."""
+        found: Counter = Counter()
+        for batch, scores in scored(batches):
+            for toxic, x in zip(batch.column(1).to_pylist(), scores, strict=True):
+                if not toxic:
+                    found.update(round(s, 1) for s in x if s > 0)
+                    found[0.0] += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], ["score", "n"])
+
+    seen = {r.score: r.n for r in sample.mapInArrow(background, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()}
+    scale = rate(Counter({s: n for s, n in seen.items() if s}), seen.get(0.0, 0))
+
+    def look(batches):
+        for batch, scores in scored(batches):
+            evidence = [sum(max(0.0, scale * s - math.log(len(x) + 1)) for *_, s in segments(np.array(x))) for x in scores]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(evidence, pa.float64())], ["toxic", "weight", "evidence"])
 
-    seen = sample.mapInArrow(look, "toxic int, n long, best array<double>, hits array<double>").collect()
-    background: Counter = Counter(round(s, 1) for r in seen if not r.toxic for s in r.hits)
-    scale = rate(background, sum(r.n for r in seen if not r.toxic))
-    evidence = np.array([sum(max(0.0, scale * s - math.log(r.n + 1)) for s in r.best) for r in seen])
-    return Model(without(-1), scale, *logistic(np.log1p(evidence), np.array([float(r.toxic) for r in seen])))
+    points = sample.mapInArrow(look, "toxic int, weight long, evidence double").toPandas()
+    curve = logistic(np.log1p(points.evidence.to_numpy()), points.toxic.to_numpy(dtype=float), points.weight.to_numpy(dtype=float))
+    return Model(without(-1), scale, *curve)
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -339,25 +340,51 @@ def test_segments_match_the_definition():
         assert [(a, b, round(x, 6)) for a, b, x in got] == [(a, b, round(x, 6)) for a, b, x in want]
 
 
-def test_toxic_documents_are_found(spark):
+def test_segments_take_linear_time():
+    for hit in (0.3, 40.0):
+        scores = np.zeros(400_000)
+        scores[::4] = hit
+        began = time.process_time()
+        found = toxicity.segments(scores)
+        assert time.process_time() - began < 5
+        assert len(found) == (100_000 if hit < 1 else 1)
+
+
+@pytest.mark.parametrize(("n", "toxic_in", "of"), [(600, 1, 5), (600, 1, 2), (600, 1, 9), (600, 8, 9), (11_000, 1, 2)])
+def test_toxic_documents_are_found(spark, n, toxic_in, of):
+    """Whatever the classes' sizes, above the sample's bound too."""
     r = random.Random(8)
     words, bad = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], ["nasty", "awful", "grumph"]
-    rows, marks = [], []
-    for i in range(600):
+    is_toxic = [i % of < toxic_in for i in range(n)]
+    rows = []
+    for i in range(n):
         text = [r.choice(words) for _ in range(r.randint(20, 80))]
-        if i % 5 == 0:
+        if is_toxic[i]:
             for _ in range(4):
                 text.insert(r.randrange(len(text)), r.choice(bad) + r.choice(["", "er", "ish"]))
         rows.append((i, " ".join(text)))
-        marks.append((i, int(i % 5 == 0)))
+    if n > 10_000:
+        assert min(sum(is_toxic), n - sum(is_toxic)) > 1.2 * toxicity.PER_CLASS
+    marks = [(i, int(x)) for i, x in enumerate(is_toxic)]
     out = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
     held = [x for x in out if x.held_out]
-    assert {x.doc_id for x in held} == {i for i in range(600) if crc32(str(i).encode()) % 5 == 0}
-    assert sum(x.predicted == (x.doc_id % 5 == 0) for x in held) >= 0.97 * len(held)
+    assert {x.doc_id for x in held} == {i for i in range(n) if crc32(str(i).encode()) % 5 == 0}
+    assert sum(x.predicted == is_toxic[x.doc_id] for x in held) >= 0.97 * len(held)
     assert all(0 <= x.score <= 1 and (x.score >= 0.5) == bool(x.predicted) for x in out)
     assert any(x.n_passages for x in out if x.predicted)
 
 
+def test_toxicity_does_not_depend_on_the_order_of_equal_texts(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice("red blue green nasty".split() if i % 3 else "red blue green".split()) for _ in range(12)), int(i % 3 > 0)) for i in range(240)]
+    rows += [(1000 + i, rows[i % 7][1], i % 2) for i in range(60)]
+    found = []
+    for some in (rows, rows[::-1], r.sample(rows, len(rows))):
+        df = spark.createDataFrame(some, "doc_id long, text string, toxic int")
+        found.append({x.doc_id: round(x.score, 9) for x in toxicity.score_toxicity(df, df).collect()})
+    assert found[0] == found[1] == found[2]
+
+
 def test_sentencepiece_equals_the_library(spark):
     import sentencepiece as library
 
