@@ -18,12 +18,14 @@ empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -36,10 +38,10 @@ END_ID = 2
 #: Tokens in rests that wait in a partition's tiers before packing starts.
 BUFFER = 1 << 21
 STEP_TOKENS = 1 << 18
-#: Words whose ids a task remembers.
+#: Letters of words whose ids a task remembers.
 CACHE = 1 << 19
 #: Bytes of text that are split into words at once.
-SLICE = 1 << 21
+SLICE = 1 << 22
 
 
 #: ASCII marks that always start a token of their own after a letter (not the apostrophe of a contraction).
@@ -50,11 +52,15 @@ WORD_END = "</w>"
 class WordTokenizer:
     """Ids as little-endian 32-bit bytes, for tokenizers of lower-cased words with word ends that drop white space.
 
-    What stands between spaces or line feeds never shares a token with its neighbours, so each such word is encoded once
-    and remembered. A word is letters and marks after them, whose tokens don't meet either; letters of many words are
-    encoded in one call and told apart by their word ends. Whatever looks otherwise is encoded by itself.
+    What stands between spaces or line feeds never shares a token with its neighbours, so each distinct word of a slice
+    is looked up once and its ids are dealt to where it stands. A word is letters and marks after them, whose tokens
+    don't meet either, so these are remembered apart; letters of many words are encoded in one call and told apart by
+    their word ends. Whatever looks otherwise is encoded by itself.
     """
 
+    #: Lower-case letters up to U+024F and marks; or something else, which leaves both groups empty.
+    WORD = re.compile(rf"^([a-zß-öø-\u024f]*)([{re.escape(MARKS)}]*)$|^.*$", re.M)
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -62,46 +68,48 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.known = Memory(CACHE)
+        self.letters, self.others = Memory(CACHE), Memory(CACHE // 4)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(x.ids, dtype="<u4")
 
-    def learn(self, words: set[str]) -> None:
-        split, letters, others, parts = [], set(), set(), {}
-        for w in words:
-            core = w.rstrip(MARKS)
-            low, marks = core.lower(), w[len(core) :]
-            if core.isalpha() and low.isalpha() and max(core) < "\u0250":
-                split.append((w, low, marks))
-                letters.add(low)
-                others.add(marks)
-            else:
-                split.append((w, w, ""))
-                others.add(w)
-        todo = list(letters)
+    def learn(self, letters: set[str], others: set[str]) -> None:
+        todo, known = list(self.letters.missing(letters)), self.letters.new
+        single: list[str] = []
         for at in range(0, len(todo), 512):
             some = todo[at : at + 512]
             (ids,) = self.ids([" ".join(some)])
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) != len(some):
-                others.update(some)
+                single += some
                 continue
             data, start = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=True):
-                parts[w], start = data[start:end], end
-        todo = list(others)
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            parts.update((w, x.tobytes()) for w, x in zip(some, self.ids(some), strict=True))
-        self.known.new.update((w, parts[core] + parts[marks]) for w, core, marks in split)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(self.known.missing(set().union(*split)))
-        get = self.known.new.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+                known[w], start = data[start:end], end
+        for words, into in ((single, known), (list(self.others.missing(others)), self.others.new)):
+            for at in range(0, len(words), 4096):
+                some = words[at : at + 4096]
+                into.update((w, x.tobytes()) for w, x in zip(some, self.ids(some), strict=True))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Of words without line feeds."""
+        split = self.WORD.findall("\n".join(words).lower()) if words else []
+        alone = [w for w, (core, marks) in zip(words, split, strict=True) if not core and not marks]
+        self.learn({core for core, _ in split if core}, {marks for _, marks in split}.union(alone))
+        letters, others = self.letters.new, self.others.new
+        return [letters[core] + others[marks] if core and marks else letters[core] if core else others[marks or w] for w, (core, marks) in zip(words, split, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pa.compute.replace_substring(pa.compute.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        split = pa.compute.split_pattern(texts, " ")
+        words = pa.compute.dictionary_encode(split.flatten())
+        found = pa.array(self.ids_of(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        _, offsets, data = found.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        at = np.frombuffer(offsets, dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(at, at[1:], strict=False)]
 
 
 class Packer:
@@ -237,8 +245,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             rows = []
             return pa.RecordBatch.from_arrays([*columns, pa.array(group, pa.int64())], schema=SCHEMA)
 
-        for batch, texts in slices(batches, "text", SLICE):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode([t.decode() for t in texts]), strict=True):
+        for batch, _ in slices(batches, "text", SLICE):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1)), strict=True):
                 packer.add(doc_id, ids + end)
             rows += packer.drain()
             if len(rows) >= ROWS:

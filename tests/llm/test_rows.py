@@ -8,6 +8,7 @@ import time
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,15 +104,29 @@ def test_packing_cuts_and_fills(spark):
     loads = collections.Counter()
     for x in {(r.sequence_id, r.window, r.step_group) for r in rows}:
         loads[x[2]] += x[1]
-    assert len(loads) >= 1
+    assert sum(loads.values()) == sum(r.length for r in rows)
+
+
+def test_step_groups_are_balanced(monkeypatch):
+    monkeypatch.setattr(packing, "STEP_TOKENS", 1 << 15)
+    r = random.Random(4)
+    rows = [(None, 0, 0, 0, 0, sequence, 0, 1 << r.randint(0, 12)) for sequence in range(900)] * 2
+    groups = packing.step_groups(rows, 7)
+    loads = collections.Counter()
+    for sequence, window, group in {(x[5], x[7], g) for x, g in zip(rows, groups, strict=True)}:
+        loads[group] += window
+    assert min(loads) == 7 and len(loads) > 10 and max(loads.values()) - min(loads.values()) <= 4096
+    assert len({(x[5], g) for x, g in zip(rows, groups, strict=True)}) == 900
 
 
 def test_word_tokenizer_equals_whole_texts():
     t, r = packing.WordTokenizer(WORD_MODEL), random.Random(2)
     parts = ["a", "The", "é", "e\u0301", "ß", "İ", "Σ", "ΑΣ", "'s", "don't", ".", ",", "!!", "12", "漢", " ", "  ", "\n", "\t", "\u00a0", "<|endoftext|>", "%$#", "x_y", "😀", "\u2028"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(1500)]
-    for text, got in zip(texts, t.encode(texts), strict=True):
+    for text, got in zip(texts, t.encode(pa.array(texts)), strict=True):
         assert got == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+    assert t.encode(pa.array([None, "", texts[0]], pa.string())[0:2]) == [b"", b""] and t.encode(pa.array(["x", *texts[:9]])[3:5]) == t.encode(pa.array(texts[2:4]))
+    assert t.encode(pa.array([], pa.string())) == []
 
 
 def test_memory_holds_what_is_asked_for_and_stays_small():
