@@ -4,12 +4,18 @@ A page is cut into text blocks at block-level tags. A block's features are its w
 block before and after it, and what its open elements say: whether one of them is a container of page furniture
 (by tag, role, class or id) and whether one is an article's. A decision tree, grown on the labelled table below, tells
 content from the rest; content blocks are joined in page order. Blocks of an article outside furniture are content
-whatever is around them, but for short ones of nothing but links; furniture never is.
+whatever is around them, but for lists of short links; furniture never is. On a page without an article element, all
+paragraphs and headings outside furniture count as an article's.
+
+A class name is one word (`sidebar`) or compound (`site-sidebar`). Compound names that tell of a state (`has-sidebar`,
+`comments-open`) say nothing; of an element that is an article by its tag or by a word of one (`content has-menu`), only one-word
+names count.
 
 Row-local and linear in a page's length: no shuffle, nothing is gathered.
 
 Defined results: null or empty html and pages without content give an empty text of 0 characters; broken markup is read
-as far as it goes, an unclosed script, style or comment lasts to the end of the page; repeated rows are each extracted;
+as far as it goes, an unclosed script, style, comment or tag lasts to the end of the page, other elements that are left out
+only to their end tags, if there are any; repeated rows are each extracted;
 rows with a null id keep it; an empty table gives an empty table; other columns are not read.
 """
 
@@ -26,9 +32,15 @@ from pyspark.sql import DataFrame
 from symdiff.llm.common import in_small_batches, slices
 
 # Kinds of elements.
-RAW = frozenset("script style textarea title noscript template svg iframe select option object math xmp noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noframes".split())
+LEFT_OUT = frozenset("noscript template svg select datalist canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr object q ruby rb rp rt s samp small span strike
+    strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle
+    semantics annotation""".split()
+)
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
 # Words of classes, ids and roles.
@@ -41,10 +53,15 @@ FURNITURE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 ARTICLE_WORDS = frozenset("article post entry story content main".split())
+STATE_WORDS = frozenset("has have no not without with is are open opened closed enabled disabled allowed off on hide hidden free".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:-->|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b(?!\s*[=-])|(display\s*:\s*none)""", re.I)
 WORDS = re.compile(r"[a-z]+")
+#: What begins a tag or comment.
+BEGUN = re.compile(r"<[a-zA-Z/!?]")
+#: The attributes of an anchor that links to nothing.
+ANCHOR = re.compile(r"(?i)\A(?!.*\bhref\b).*\b(?:name|id)\s*=", re.S)
 
 
 @dataclass
@@ -54,19 +71,28 @@ class Block:
     links: float
     furniture: bool
     article: bool
+    paragraph: bool
 
 
 def kind_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """(furniture, article) of an element."""
     furniture, article = tag in FURNITURE_TAGS or (tag == "header" and not in_article), tag in ARTICLE_TAGS
-    if attributes and tag not in ("html", "body"):
-        for m in ATTRIBUTE.finditer(attributes):
-            if m[5] or m[6]:
-                furniture = True
-                continue
-            found = set(WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-            furniture |= bool(found & FURNITURE_WORDS) or (bool(found & HEADER_WORDS) and not in_article)
-            article |= bool(found & ARTICLE_WORDS)
+    if not attributes or tag in ("html", "body"):
+        return furniture, article and not furniture
+    by_name = FURNITURE_WORDS if in_article else FURNITURE_WORDS | HEADER_WORDS
+    names: list[list[str]] = []
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[5] or m[6]:
+            furniture = True
+        else:
+            names += [WORDS.findall(x) for x in html.unescape(m[2] or m[3] or m[4] or "").lower().split()]
+    certain = article or any(len(x) == 1 and x[0] in ARTICLE_WORDS for x in names)
+    for x in names:
+        if len(x) == 1:
+            furniture |= x[0] in by_name
+        elif not certain and not STATE_WORDS.intersection(x):
+            furniture |= not by_name.isdisjoint(x)
+        article |= not ARTICLE_WORDS.isdisjoint(x)
     return furniture, article and not furniture
 
 
@@ -76,8 +102,9 @@ def blocks_of(page: str) -> list[Block]:
     opened: Counter = Counter()
     parts: list[str] = []
     linked = 0
-    link = False
-    at, end = 0, len(page)
+    link: int | None = None  # how many block elements were open where the open link began
+    at, stop, end = 0, page.rfind(">") + 1, len(page)  # behind the last > there is no whole tag
+    unclosed: set[str] = set()  # elements of which no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -85,39 +112,46 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            _, furniture, article = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, n, min(1.0, linked / n), furniture, article))
+            name, furniture, article = stack[-1] if stack else ("", False, False)
+            out.append(Block(text, n, min(1.0, linked / n), furniture, article, name in PARAGRAPHS))
         linked = 0
 
     def close(name: str) -> None:
+        nonlocal link
         while stack:
             top = stack.pop()[0]
             opened[top] -= 1
             if top == name:
-                return
+                break
+        if link is not None and link > len(stack):  # a link ends with the block that it began in
+            link = None
 
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if link:
+        if link is not None:
             linked += len(text.split())
 
-    while at < end:
-        m = TOKEN.search(page, at)
+    while at < stop:
+        m = TOKEN.search(page, at, stop)
         if not m:
-            add(page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = end if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
         closing, name = (m[1], m[2]) if m[2] else (m[4], m[5])
         if not name:
             continue
         name = name.lower()
-        if name in RAW:
-            if not closing and not m[0].endswith("/>"):
+        if name in RAW or name in LEFT_OUT:
+            if not closing and not m[0].endswith("/>") and name not in unclosed:
                 done = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
-                at = done.end() if done else end
+                if done:
+                    at = done.end()
+                elif name in RAW:
+                    at = end
+                else:
+                    unclosed.add(name)
             continue
         if name in VOID:
             if name == "hr":
@@ -127,10 +161,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in INLINE:
             if name == "a":
-                link = not closing
+                link = None if closing or ANCHOR.search((m[3] if m[2] else m[6]) or "") else len(stack)
             continue
         flush()
-        link = False
         if closing:
             if opened[name] > 0:
                 close(name)
@@ -143,7 +176,13 @@ def blocks_of(page: str) -> list[Block]:
         f, a = kind_of(name, m[3] if m[2] else m[6], article)
         stack.append((name, furniture or f, article or a))
         opened[name] += 1
+    if at < end:
+        begun = BEGUN.search(page, at)
+        add(page[at : begun.start()] if begun else page[at:])
     flush()
+    if not any(b.article and not b.furniture for b in out):
+        for b in out:
+            b.article = b.paragraph and not b.furniture
     return out
 
 
@@ -151,7 +190,7 @@ FEATURES = ("words", "links", "words before", "links before", "words after", "li
 
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
-    none = Block("", 0, 0.0, False, False)
+    none = Block("", 0, 0.0, False, False, False)
     padded = [none, *blocks, none]
     return [(b.words, b.links, p.words, p.links, n.words, n.links, float(b.furniture), float(b.article)) for p, b, n in zip(padded, blocks, padded[2:], strict=False)]
 
@@ -162,7 +201,7 @@ TABLE = (
     (80, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1), (9, 0.0, 12, 1.0, 80, 0.0, 0, 1, 1), (2, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (45, 0.1, 30, 0.0, 6, 0.0, 0, 1, 1),
     (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (120, 0.05, 0, 0.0, 8, 0.2, 0, 1, 1), (1, 0.0, 3, 0.5, 7, 0.3, 0, 1, 1), (14, 0.3, 50, 0.0, 40, 0.0, 0, 1, 1),
     (30, 0.0, 10, 0.0, 10, 0.1, 0, 1, 1), (6, 0.0, 6, 0.0, 6, 0.0, 0, 1, 1), (25, 0.2, 25, 0.2, 3, 1.0, 0, 1, 1), (3, 0.4, 60, 0.0, 60, 0.0, 0, 1, 1),
-    # links alone, in an article
+    # links alone, in an article: next to others or not
     (2, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0), (5, 1.0, 6, 1.0, 4, 1.0, 0, 1, 0), (12, 0.9, 30, 0.0, 12, 0.9, 0, 1, 1), (3, 0.8, 5, 0.0, 20, 0.0, 0, 1, 1),
     # page furniture, of any length
     (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (9, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0), (60, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0), (25, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0),
@@ -183,12 +222,12 @@ TABLE = (
 NEAR = ((0, 0.0), (1, 0.5), (2, 1.0), (12, 0.3), (25, 0.0), (45, 0.1), (300, 0.0))
 FILLED = (
     *((w, x, 0, 999, 0, 1, 1) for w in (1, 4, 12, 60, 400) for x in (0.0, 0.3, 0.9)), *((w, 1.0, 0, 999, 0, 1, 1) for w in (12, 60, 400)),
-    *((w, 1.0, 0, 999, 0, 1, 0) for w in (1, 5)),
     *((w, x, 0, 999, 1, a, 0) for w in (1, 5, 12, 60, 400) for x in (0.0, 0.3, 1.0) for a in (0, 1)),
     *((w, x, 0, 999, 0, 0, 1) for w in (18, 60, 400) for x in (0.0, 0.2)), *((w, x, 0, 999, 0, 0, 0) for w in (1, 12, 60, 400) for x in (0.6, 1.0)),
     *((w, x, 45, 999, 0, 0, 1) for w in (1, 5, 10) for x in (0.0, 0.2)), *((w, x, 0, 12, 0, 0, 0) for w in (1, 5, 12) for x in (0.0, 0.2)),
 )
 TABLE += tuple((w, x, *b, *a, f, article, label) for w, x, low, high, f, article, label in FILLED for b in NEAR for a in NEAR if low <= a[0] <= high)
+TABLE += tuple((w, 1.0, *b, *a, 0, 1, int(max(b[1], a[1]) < 1)) for w in (1, 5) for b in NEAR for a in NEAR)
 
 
 def gini(rows: list[tuple]) -> float:

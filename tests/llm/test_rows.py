@@ -279,9 +279,12 @@ def test_article_blocks_are_content_whatever_is_around_them():
         structure = {(name, side) for name, _, side in path}
         if ("furniture", "high") in structure:
             assert label == 0
-        elif ("article", "high") in structure:  # only short blocks of nothing but links are none
-            assert not {name for name, _, _ in path} & {"words before", "links before", "words after", "links after"}
-            assert label or any(name == "links" and limit > 0.9 and side == "high" for name, limit, side in path)
+        elif ("article", "high") in structure:  # only short blocks of nothing but links, next to other such ones, are none
+            if not any(name == "links" and limit > 0.9 and side == "high" for name, limit, side in path):
+                assert label and not {name for name, _, _ in path} & {"words before", "links before", "words after", "links after"}
+            elif not label:
+                assert any(name == "words" and limit < 12 and side == "low" for name, limit, side in path)
+                assert structure & {("links before", "high"), ("links after", "high")}
     text = " ".join(["word"] * 300)
     assert html.main_text(f"<article><h2>Two words</h2><p>{text}</p></article>") == f"Two words\n{text}"
     assert html.main_text(f"<article><h2>One title</h2><p>some <a>linked text</a></p><p>{text}</p><p>The end.</p></article>").count("\n") == 3
@@ -295,6 +298,61 @@ def test_every_article_block_of_whole_pages_survives(spark):
         assert not any(html.classify(html.TREE, x) for b, x in zip(blocks, html.features(blocks), strict=True) if b.furniture)
 
 
+def test_class_names_and_broken_elements():
+    text = " ".join(["word"] * 60)
+    for page, want in (
+        (f'<div class="content has-sidebar"><h1>T</h1><p>{text}</p></div>', f"T\n{text}"),
+        (f'<article class="post comments-open"><p>{text}</p></article>', text),
+        ("<main><p>a b c</p><div class='post-comments'><p>bad</p></div><div class=comment>bad</div></main>", "a b c"),
+        ('<div class="site no-sidebar"><div class="site-header">bad</div><div class="main"><p>good</p></div><div class="widget-area"><p>bad</p></div></div>', "good"),
+        ("<datalist><option value=a></datalist><article><p>Hello there.</p></article>", "Hello there."),
+        ("<article><select><option>a<option>b</select><p>yes</p><svg><p>also</p></article>", "yes\nalso"),
+        ("<article><p>one <math><mi>x</mi><mo>=</mo><mn>1</mn></math> two</p><object data=x><p>fall back</p></object></article>", "one x=1 two\nfall back"),
+        ("<body><a href=x><div>menu</div></a><a href=y><div>menu two</div></a><article><p>Text here.</p></article>", "Text here."),
+        ("<article><p><a href=x>A link that is never closed<p>more text<div>still</div></article>", "A link that is never closed\nmore text\nstill"),
+        ("<article><h2><a href=x>Linked title</a></h2><p>Short.</p><p><a href=y>See more</a></p><p>End.</p></article>", "Linked title\nShort.\nSee more\nEnd."),
+        ("<article><p>x</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></article>", "x"),
+        ("<body><h1>Title</h1><p>Short text.</p><p>Another.</p><div>Copyright</div></body>", "Title\nShort text.\nAnother."),
+    ):
+        assert html.main_text(page) == want, page
+
+
+def test_generated_layouts():
+    """Pages of which each block is known to be the article's or not."""
+    r = random.Random(21)
+    words = lambda n: " ".join(r.choice("alpha beta gamma delta &amp; &eacute;t&eacute; x&lt;y".split()) for _ in range(n))
+    plain = lambda t: " ".join(t.replace("&lt;", "<").replace("&eacute;", "\u00e9").replace("&amp;", "&").split())
+    furniture = [
+        "<nav><ul><li><a href=/a>{}</a><li><a href=/b>Two</a></ul></nav>", "<aside><p>{}</p></aside>", "<footer><div>{}</div></footer>", '<div class="ad-banner">{}</div>', "<div id='cookie-notice'><p>{}</p></div>",
+        "<form><label>{}</label><input><button>Go</button></form>", "<script>var x = '<p>{}</p>';</script>", "<style>p:after {{ content: '{}' }}</style>", "<section class='comments'><h3>Comments</h3><p>{}</p></section>",
+        "<div role=navigation>{}</div>", "<div hidden>{}</div>", "<!-- <p>{}</p> -->", "<div class=sidebar><div><p>{}</p></div></div>", "<div class='share buttons'>{}</div>", "<select><option>{}</select>", "<div style='display: none'>{}</div>",
+    ]
+    opened = [("<article>", "</article>"), ("<main id=main>", "</main>"), ("<div class='entry-content'>", "</div>"), ("<div id=content class='has-sidebar wide'>", "</div>"), ("<article class='post has-comments'><div>", "</div></article>")]
+    for _ in range(400):
+        first, last = r.choice(opened)
+        page, want = ["<!DOCTYPE html><html><head><title>T</title></head><body class='with-menu'><header>Site name</header>"], []
+        page += [r.choice(furniture).format(words(r.choice([1, 5, 40]))) for _ in range(r.randint(0, 3))] + [first]
+        for _ in range(r.randint(1, 8)):
+            if r.random() < 0.3:
+                page.append(r.choice(furniture).format(words(r.choice([1, 5, 40]))))
+                continue
+            t = words(r.choice([1, 2, 3, 8, 20, 90]))
+            want.append(plain(t))
+            page.append(r.choice(["<p>{}</p>", "<h2>{}</h2>", "<p>{}", "<div><b>{}</b></div>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>", "<blockquote>{}</blockquote>", "<pre> {}\n</pre>"]).format(t.replace(" ", r.choice([" ", "\n", "\t "]), 1)))
+        page += [last] + [r.choice(furniture).format(words(r.choice([1, 5, 40]))) for _ in range(r.randint(0, 3))]
+        page = r.choice(["", "\n"]).join(page) + "</body></html>"
+        assert html.main_text(page) == "\n".join(want), page
+
+
+def test_very_long_pages():
+    text = " ".join(["word"] * 400_000)
+    assert html.main_text(f"<article><p>{text}</p>{'<p>a</p>' * 50_000}</article>").count("\n") == 50_000
+    began = time.process_time()
+    assert html.main_text("<svg>" * 30_000 + "<p>x</p>") == "x" and html.main_text("<article>a < b" + "<a " * 100_000) == "a < b"
+    assert html.main_text("<article>x" + "<!-- " * 100_000 + "> y") == "x" and html.main_text("<article>" + "<a title='" * 100_000 + "> y") == "y"
+    assert time.process_time() - began < 5
+
+
 def test_languages_are_told_apart(spark):
     r = random.Random(6)
     words = {"aa": ["the", "and", "house", "with", "thing"], "bb": ["der", "und", "haus", "mit", "ding", "für"], "cc": ["ñor", "casa", "llama", "que", "año"]}
