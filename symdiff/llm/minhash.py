@@ -2,7 +2,7 @@
 
 1. Each document's distinct word shingles are hashed once; the range of hashes is cut into BINS, a bin's signature is its
    least hash, an empty bin borrows from a filled one that a fixed random sequence of bins finds (optimal densification).
-2. Documents with the same shingle set are one class, whose smallest id stands for it.
+2. Documents with the same shingle set are one class, which its digest stands for; ids come back at the end only.
 3. Signatures are cut into bands. In each bucket (documents that agree on a band) every member is paired with the
    bucket's hub only, a star: as many pairs as members, however large the bucket.
 4. Pairs are confirmed on the full shingle sets, which are made again for documents in shared buckets only.
@@ -16,7 +16,8 @@
 Defined results: ASCII letters are lower-cased, words are runs of anything but ASCII white space; a document of fewer
 words than a shingle has its whole sequence as one; without words or text it has none, is linked with nothing and is
 kept; a row with a null id is linked with nothing, its component is null and it is kept; repeated rows are each judged
-by their own text; an empty table gives an empty table; other columns are not read.
+by their own text, rows of one id with different texts too, whatever their order; an empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ from symdiff.llm.components import components, extended, priority
 BINS = 240
 #: Chance that a pair just at the threshold shares no band.
 MISS = 1e-8
-#: Ids up to this many are sent to every executor instead of shuffling the texts (8 bytes each).
+#: Ids up to this many are sent to every executor instead of shuffling the texts (8 bytes each), and classes of many rows (24).
 BROADCAST_IDS = 500_000
 #: Stars after the first in buckets that still hold several components; the exact join settles the rest.
 ROUNDS = 4
 #: Counters of shingles, by their lower bits. They only order shingles: a shared counter makes a join larger, not wrong.
 PLACES = 1 << 18
-#: Documents of a rare shingle, or members of a bucket, that a join deals to one task.
+#: Documents of a rare shingle or members of a bucket that a join deals to one task; classes of more rows are large ones.
 BLOCK = 512
 CACHE = 1 << 18
 SLICE = 1 << 21
@@ -126,6 +127,10 @@ class Bands:
         return mixed((s * self.factors).sum(axis=1, dtype=np.uint64) ^ self.salt).view(np.int64)
 
 
+def digest_of(hashes: np.ndarray) -> bytes:
+    return blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def features(df: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, n, digest, bands); digest and bands are null for documents without shingles or id."""
 
@@ -134,7 +139,7 @@ def features(df: DataFrame, words: int, percent: int) -> DataFrame:
         for batch, texts in slices(batches, "text", SLICE):
             ids, sets = batch.column(0), shingler.sets(texts)
             used = [len(h) > 0 and i is not None for h, i in zip(sets, ids.to_pylist(), strict=True)]
-            digests = [blake2b(h.tobytes(), digest_size=16).digest() if u else None for h, u in zip(sets, used, strict=True)]
+            digests = [digest_of(h) if u else None for h, u in zip(sets, used, strict=True)]
             keys = [bands.keys(h) if u else None for h, u in zip(sets, used, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(h) for h in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -145,16 +150,16 @@ def features(df: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame, words: int) -> DataFrame:
-    """(id, n, hashes): the sets as sorted 48-bit hashes in 64-bit cells without the upper two bytes."""
+    """(id, n, hashes) of texts, id being the digest: the sets as sorted 48-bit hashes in 64-bit cells without the upper two bytes."""
 
     def work(batches):
         shingler = Shingler(words)
         for batch, texts in slices(batches, "text", SLICE):
-            sets = shingler.sets(texts)
+            sets = [h for h in shingler.sets(texts) if len(h)]
             packed = [np.unique(h & LOW48).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(packed, pa.binary())], ["id", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(packed, pa.binary())], ["id", "n", "hashes"])
 
-    return df.mapInArrow(work, "id long, n long, hashes binary")
+    return df.select("text").mapInArrow(work, "id binary, n long, hashes binary")
 
 
 def unpacked(packed: bytes) -> np.ndarray:
@@ -180,12 +185,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = int((shared[1:] == shared[:-1]).sum())
                 if 100 * both >= percent * (n[i] + m[i] - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([b[i] for i in keep], pa.binary())], ["a", "b"])
 
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("hashes").alias("y"))
     left = sets.select(F.col("id").alias("a"), "n", F.col("hashes").alias("x"))
     near = pairs.join(right, "b").join(left, "a")
-    return near.select("a", "b", "n", "m", "x", "y").mapInArrow(work, "a long, b long")
+    return near.select("a", "b", "n", "m", "x", "y").mapInArrow(work, "a binary, b binary")
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -215,21 +220,23 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            ids, cs, packed = (batch.column(k).to_pylist() for k in range(3))
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for i, c, p in zip(ids, cs, packed, strict=True):
+            own, columns = [], [[] for _ in range(4)]
+            for k, p in enumerate(batch.column(2).to_pylist()):
                 h = unpacked(p)
                 n = len(h)
                 first = n + (-percent * n) // 100 + 1
                 inner = n + (-2 * percent * n) // (100 + percent) + 1
                 order = np.lexsort((h, counts[(h % np.uint64(PLACES)).astype(np.int64)]))[:first]
                 at = np.arange(len(order))
-                for column, x in zip(columns, (h[order].view(np.int64), np.full(len(order), i), np.full(len(order), c), np.full(len(order), n), at, at < inner), strict=True):
+                own.append(np.full(len(order), k))
+                for column, x in zip(columns, (h[order].view(np.int64), np.full(len(order), n), at, at < inner), strict=True):
                     column.append(x)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["shingle", "id", "c", "n", "at", "inner"])
+            if own:
+                shingle, n, at, inner = (pa.array(np.concatenate(x)) for x in columns)
+                own = pa.array(np.concatenate(own))
+                yield pa.RecordBatch.from_arrays([shingle, batch.column(0).take(own), batch.column(1).take(own), n, at, inner], ["shingle", "id", "c", "n", "at", "inner"])
 
-    return sets.select("id", "c", "hashes").mapInArrow(work, "shingle long, id long, c long, n long, at long, inner boolean")
+    return sets.select("id", "c", "hashes").mapInArrow(work, "shingle long, id binary, c binary, n long, at long, inner boolean")
 
 
 def candidates(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,15 +253,16 @@ def candidates(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
-def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Of df (id, text): its features, and (digest, component) of the classes that are linked with another class."""
+def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of df (id, text): its features; (digest, id, rows) of the classes, id being the smallest; and (digest, component) of
+    those that are linked with another class, component being the smallest id of them all."""
     seen = written(features(df, words, percent))
-    classes = seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"))
-    first = seen.where("digest is not null").join(classes, ["digest", "id"]).dropDuplicates(["digest"])
-    rows = first.select("id", F.explode("bands").alias("key"))
+    # equal digests have equal bands; copies are brought together before they are shuffled
+    classes = written(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("bands").alias("bands")))
+    rows = classes.select(F.col("digest").alias("id"), F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(priority(F.col("id")))["v"].alias("hub")).where("size > 1")
     buckets = written(rows.join(hubs.select("key", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "key"))
-    ids = written(buckets.select("id").distinct())
+    ids = written(buckets.select(F.col("id").alias("digest")).distinct().join(classes, "digest").select("id").distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = written(shingle_sets(df.join(ids, "id", "left_semi"), words).dropDuplicates(["id"]))
@@ -276,15 +284,23 @@ def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> tuple[D
         more = written(confirmed(pairs, sets, percent))
         if not more.isEmpty():
             found = extended(found, more)
-    return seen, first.select("digest", "id").join(found, "id").select("digest", "component")
+    classes = classes.select("digest", "id", "rows")
+    named = found.select(F.col("id").alias("digest"), F.col("component").alias("c")).join(classes, "digest").select("digest", "c", "id")
+    least = named.groupBy("c").agg(F.min("id").alias("component"))
+    return seen.select("id", "n", "digest"), classes, written(named.join(least, "c").select("digest", "component"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept."""
     plain = in_small_batches(df).select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
-    seen, linked = near_components(plain, words, percent)
-    classes = seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
-    classes = classes.join(linked, "digest", "left").select("digest", F.coalesce("component", "least").alias("component_id"))
-    out = seen.select("id", "n", "digest").join(classes, "digest", "left")
+    seen, classes, linked = near_components(plain, words, percent)
+    found = classes.join(linked, "digest", "left").where("rows > 1 or component is not null").select("digest", "rows", F.coalesce("component", "id").alias("component_id"))
+    found = written(found)
+    # the largest classes go to every executor, so no task gets all rows of one; smaller ones are joined
+    large = F.broadcast(written(found.where(F.col("rows") > BLOCK).orderBy(F.desc("rows")).limit(BROADCAST_IDS).select("digest", F.col("component_id").alias("large_id"))))
+    at_once = seen.where("digest is not null").join(large, "digest", "left")
+    joined = at_once.where("large_id is null").select("id", "n", "digest").join(found.select("digest", "component_id"), "digest", "left")
+    out = joined.select("id", "n", "component_id").unionByName(at_once.where("large_id is not null").select("id", "n", F.col("large_id").alias("component_id")))
+    out = out.unionByName(seen.where("digest is null").select("id", "n", F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col("id"))).alias("kept"))
