@@ -259,9 +259,14 @@ def near_components(df: DataFrame, words: int = 5, percent: int = 80) -> tuple[D
     seen = written(features(df, words, percent))
     # equal digests have equal bands; copies are brought together before they are shuffled
     classes = written(seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("bands").alias("bands")))
-    rows = classes.select(F.col("digest").alias("id"), F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(priority(F.col("id")))["v"].alias("hub")).where("size > 1")
-    buckets = written(rows.join(hubs.select("key", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "key"))
+    # buckets are found by a short hash of the digest, the one that orders stars; equal ones only make buckets larger
+    short = priority(F.col("digest"))["h"].alias("short")
+    names = classes.select(short, F.col("digest").alias("id"))
+    rows = classes.select(short, F.explode("bands").alias("key"))
+    hubs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("short").alias("first")).where("size > 1")
+    hubs = hubs.join(names.groupBy(F.col("short").alias("first")).agg(F.min("id").alias("hub")), "first")
+    buckets = rows.join(hubs.select("key", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "key")
+    buckets = written(buckets.join(names, "short").select("key", "id", "hub", "parts"))
     ids = written(buckets.select(F.col("id").alias("digest")).distinct().join(classes, "digest").select("id").distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
