@@ -211,6 +211,19 @@ def murmur64a_bytes(matrix: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> r)
 
 
+def murmur32_bytes(matrix: np.ndarray, seed: int = 0) -> np.ndarray:
+    rows, n = matrix.shape
+    m, u = np.uint32(M32), np.uint32
+    h = np.full(rows, (seed ^ n) & MASK32, dtype=u)
+    for at in range(0, n - n % 4, 4):
+        k = words(matrix, at) * m
+        h = (h * m) ^ ((k ^ (k >> u(R32))) * m)
+    if n % 4:
+        h = (h ^ words(matrix, n - n % 4)) * m
+    h = (h ^ (h >> u(13))) * m
+    return h ^ (h >> u(15))
+
+
 @lru_cache(maxsize=4)
 def mersenne_tables(seed: int, chunks: int) -> np.ndarray:
     """chunks x 65536 outputs of the 64-bit Mersenne twister."""
@@ -239,6 +252,17 @@ def tabulation(keys: np.ndarray, seed: int = 0) -> np.ndarray:
     return out
 
 
+def tabulation_bytes(matrix: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Of byte strings of an even length, in 16-bit chunks from the first bytes on."""
+    rows, n = matrix.shape
+    if n % 2:
+        raise ValueError("tabulation takes an even number of bytes")
+    tables, out = mersenne_tables(seed, max(4, n // 2)), np.zeros(rows, dtype=np.uint64)
+    for i in range(n // 2):
+        out ^= tables[i][words(matrix, 2 * i, 2)]
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def bob_hash(data: pd.Series) -> pd.Series:
     return by_length(data, lambda x: lookup3(x)[0].astype(np.int64))
@@ -260,6 +284,16 @@ def murmur64a_binary(data: pd.Series) -> pd.Series:
     return by_length(data, lambda x: murmur64a_bytes(x).view(np.int64))
 
 
+@F.pandas_udf(T.LongType())
+def murmur32_binary(data: pd.Series) -> pd.Series:
+    return by_length(data, lambda x: murmur32_bytes(x).astype(np.int64))
+
+
+@F.pandas_udf(T.LongType())
+def tabulation_binary(data: pd.Series) -> pd.Series:
+    return by_length(data, lambda x: tabulation_bytes(x).view(np.int64))
+
+
 @F.pandas_udf(T.LongType())
 def tabulation_hash(keys: pd.Series) -> pd.Series:
     return pd.Series(tabulation(keys.to_numpy(np.int64).view(np.uint64)).view(np.int64))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,32 @@ def resized(array: Column, n: int) -> Column:
 
 def write(value: Column, pretty: bool = False) -> Column:
     return F.to_json(value, {"pretty": "true"} if pretty else {})
+
+
+# The order of types.
+TYPES = ("VOID", "BIGINT", "DECIMAL", "DOUBLE", "STRING", "BOOLEAN", "ARRAY", "OBJECT")
+
+
+def compared(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: by type first (all numbers are one), then by value; arrays and objects by size, then by their text."""
+
+    def rank(v: Column) -> Column:
+        name, out = kind(v), F.lit(len(TYPES))
+        for i, t in enumerate(TYPES):
+            out = F.when(name.startswith(t), 1 if t in ("BIGINT", "DECIMAL", "DOUBLE") else i).otherwise(out)
+        return out
+
+    sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    number = sign(F.try_variant_get(a, "$", "double"), F.try_variant_get(b, "$", "double"))
+    flag = sign(F.try_variant_get(a, "$", "boolean"), F.try_variant_get(b, "$", "boolean"))
+    text, size_of = lambda v: F.to_json(v), lambda v: size(F.to_json(v))
+    word = sign(F.try_variant_get(a, "$", "string"), F.try_variant_get(b, "$", "string"))
+    whole = F.when(size_of(a) == size_of(b), sign(text(a), text(b))).otherwise(sign(size_of(a), size_of(b)))
+    same = F.when(rank(a) == 0, 0).when(rank(a) == 1, number).when(rank(a) == 4, word).when(rank(a) == 5, flag).otherwise(whole)
+    return F.when(rank(a) == rank(b), same).otherwise(sign(rank(a), rank(b)))
+
+
+def entries(df: DataFrame, value: str, *keep: str) -> DataFrame:
+    """(keep..., pos, key, value): the members of objects by name, the elements of arrays by place."""
+    rows = df.select(*keep, F.col(value).alias("__value"))
+    return rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("__value").outer())).select(*keep, "pos", "key", "value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symdiff.functions.hashing import SEEDS, low_bits, murmur64a, murmur64a_numpy, trailing_zeroes
 from symdiff.functions.unsigned import wrapping
-from symdiff.operators import iblt
+from symdiff.operators import iblt, strata
 
 
 def group_means(df: DataFrame, group: str, setting: str, metric: str, low: float, high: float) -> DataFrame:
@@ -78,3 +78,17 @@ def fill_ratios(spark: SparkSession, cells: int, k: int, sizes: list[int], trial
 
     each = grid.mapInPandas(work, "keys long, trial long, percent double")
     return each.groupBy("keys").agg(F.avg("percent").alias("percent_peeled")).withColumn("fill_ratio", F.col("keys") / F.lit(float(cells)))
+
+
+def report(runs: DataFrame, what: str, setting: str, **metrics: str) -> DataFrame:
+    """(what, setting, runs, metric...): of runs (what, setting, ...), each metric's mean, a row for each point of the report's curves."""
+    return runs.groupBy(what, setting).agg(F.count("*").alias("runs"), *(F.avg(column).alias(name) for name, column in metrics.items()))
+
+
+def strata_accuracy(spark: SparkSession, sizes: list[int]) -> DataFrame:
+    """(actual, estimate, ratio): estimators of sets that share nothing, of each size."""
+    rows = []
+    for n in sizes:
+        a, b = (spark.range(n).select((F.col("id") * 2 + side).alias("key")) for side in (0, 1))
+        rows.append((2 * n, strata.estimate(a, b)))
+    return spark.createDataFrame([(n, e, e / n) for n, e in rows], "actual long, estimate long, ratio double")

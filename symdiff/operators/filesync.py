@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,32 +76,75 @@ def decompressed(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.decompress(x))
 
 
-def sync_bytes(plan: DataFrame, texts: DataFrame, ref_bits: int = 16) -> DataFrame:
-    """(doc_id, literal_bytes, reference_bits, plan_bytes, compressed_bytes): the cost of the plan and of the whole file."""
+def sync_bytes(plan: DataFrame, ref_bits: int = 16) -> DataFrame:
+    """(doc_id, literal_bytes, reference_bits, plan_bytes): what the plan costs."""
     costs = plan.groupBy("doc_id").agg(
         F.sum(F.when(~F.col("exists"), F.col("len")).otherwise(0)).alias("literal_bytes"), (F.count_if("exists") * ref_bits + F.count("*") * 2).alias("reference_bits")
     )
-    whole = texts.select("doc_id", F.octet_length(compressed(F.encode("text", "utf-8"))).cast("long").alias("compressed_bytes"))
-    return costs.join(whole, "doc_id").select("doc_id", "literal_bytes", "reference_bits", (F.col("literal_bytes") + F.ceil(F.col("reference_bits") / 8)).alias("plan_bytes"), "compressed_bytes")
+    return costs.withColumn("plan_bytes", (F.col("literal_bytes") + F.ceil(F.col("reference_bits") / 8)).cast("long"))
 
 
 # Corruption models
 
 
-def corrupted_positions(lengths: DataFrame, probability: float, seed: int = 0) -> DataFrame:
-    """(doc_id, pos): positions (from 0) of files (doc_id, n) that change, each with the probability."""
-    every = lengths.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
-    return every.where(chance(seed, F.col("doc_id"), F.col("pos")) < probability)
+# Odd multipliers and shifts of the hash that draws positions.
+DRAW = (2654435761, 2246822519, 3266489917), (15, 739982445), (12, 695872825), 15
 
 
-def corrupted_blocks(lengths: DataFrame, changes: int, size: int, seed: int = 0) -> DataFrame:
+def drawn(doc_id: int, n: int, probability: float, seed: int) -> np.ndarray:
+    """The positions of a file of n bytes that change: where a 32-bit hash of file, position and seed is small enough."""
+    (a, b, c), first, second, last = DRAW
+    x = (np.arange(n, dtype=np.uint64) * np.uint64(a) + np.uint64((doc_id * b + seed * c) & 0xFFFFFFFF)) & np.uint64(0xFFFFFFFF)
+    for shift, times in (first, second):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(times)) & np.uint64(0xFFFFFFFF)
+    return np.flatnonzero((x ^ (x >> np.uint64(last))) < int(probability * (1 << 32)))
+
+
+def similar_files(files: DataFrame, probability: float, seed: int = 0) -> DataFrame:
+    """(doc_id, n_changed, content) of files (doc_id, text): each byte goes one up with the probability."""
+
+    def work(batches):
+        for batch in batches:
+            counts, contents = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(text, dtype=np.uint8).copy()
+                at = drawn(doc_id, len(data), probability, seed)
+                data[at] += np.uint8(1)
+                counts.append(len(at))
+                contents.append(data.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(contents, pa.binary())], ["doc_id", "n_changed", "content"])
+
+    rows = files.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("data"))
+    return rows.mapInArrow(work, "doc_id long, n_changed long, content binary")
+
+
+def corrupted_blocks(lengths: DataFrame, changes: int, size: int, seed: int = 0, *others: str) -> DataFrame:
     """(doc_id, starts): starts of changed blocks of `size` bytes; a start inside a block that is being changed is skipped."""
     room = F.greatest(F.col("n") - size, F.lit(1).cast("long"))
     drawn = F.array(*(F.floor(chance(seed + k, F.col("doc_id")) * room).cast("long") for k in range(changes)))
     keep = lambda a, s: F.when((F.size(a) == 0) | (s >= F.element_at(a, -1) + size), F.concat(a, F.array(s))).otherwise(a)
     first = F.slice(F.array_sort(F.array_distinct(drawn)), 1, 1)
     starts = F.aggregate(F.slice(F.array_sort(F.array_distinct(drawn)), 2, changes), first, keep)
-    return lengths.where(F.col("n") > 0).select("doc_id", starts.alias("starts"))
+    return lengths.where(F.col("n") > 0).select("doc_id", *others, starts.alias("starts"))
+
+
+def block_changed_files(files: DataFrame, changes: int, size: int, seed: int = 0) -> DataFrame:
+    """(doc_id, n_blocks, content) of files (doc_id, text): each byte of the changed blocks goes one up."""
+    rows = files.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("data"))
+    starts = corrupted_blocks(rows.select("doc_id", F.octet_length("data").cast("long").alias("n"), "data"), changes, size, seed, "data")
+
+    def work(batches):
+        for batch in batches:
+            contents = []
+            for where, raw in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(raw, dtype=np.uint8).copy()
+                for s in where:
+                    data[s : s + size] += np.uint8(1)
+                contents.append(data.tobytes())
+            counts = [len(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(contents, pa.binary())], ["doc_id", "n_blocks", "content"])
+
+    return starts.select("doc_id", "data", "starts").mapInArrow(work, "doc_id long, n_blocks long, content binary")
 
 
 # Directories
@@ -110,6 +155,20 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.where(~F.col("path").startswith(".")).select("path", F.sha1(F.encode("path", "utf-8")).alias("name_sha1"), F.sha1("content").alias("content_sha1"))
 
 
+def manifest_keys(listed: DataFrame) -> DataFrame:
+    """(path, key): a file's name and content hashes in 40 bytes."""
+    return listed.select("path", F.concat(F.unhex("name_sha1"), F.unhex("content_sha1")).alias("key"))
+
+
+def name_and_content(key: Column) -> tuple[Column, Column]:
+    return F.substring(key, 1, 20), F.substring(key, 21, 20)
+
+
+def directory_cells(estimate: int) -> tuple[int, int]:
+    """(cells, hashes) of the table for a directory's differences."""
+    return 2 * estimate, 3 if estimate < 200 else 4
+
+
 def directory_plan(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """(path, action, target): what the other side has to do to become like mine.
 

@@ -77,6 +77,31 @@ def party_bits(memberships: DataFrame, spec: iblt.Spec) -> DataFrame:
         return placed.groupBy("at.sub", "at.cell").agg(F.bit_xor("bit").alias("party_bits"))
 
 
+def at_party(bits: Column, party: int) -> Column:
+    """A single bucket's bit 0 as the bit of a party."""
+    return F.shiftleft(bits.bitwiseAND(F.lit(1)), party)
+
+
+def to_wire(table: DataFrame, *groups: str) -> DataFrame:
+    """One row per table: its sums in the order of cells."""
+    rows = F.array_sort(F.collect_list(F.struct("sub", "cell", "kind", "nit", "v")))
+    return table.groupBy(*groups).agg(rows.alias("sums"))
+
+
+def from_wire(wire: DataFrame, *groups: str) -> DataFrame:
+    return wire.select(*groups, F.explode("sums").alias("s")).select(*groups, "s.*")
+
+
+def extended_to_wire(bits: DataFrame, parties: int) -> DataFrame:
+    """(sub, cell, has_key ARRAY<BOOLEAN>) of party_bits: an entry for each party."""
+    return bits.select("sub", "cell", F.transform(F.sequence(F.lit(0), F.lit(parties - 1)), lambda i: F.getbit("party_bits", i) == 1).alias("has_key"))
+
+
+def extended_from_wire(wire: DataFrame) -> DataFrame:
+    power = lambda x, i: F.when(x, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long"))
+    return wire.select("sub", "cell", F.aggregate(F.transform("has_key", power), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("party_bits"))
+
+
 def peeled(sub: np.ndarray, cell: np.ndarray, column: np.ndarray, v: np.ndarray, spec: iblt.Spec, modulus: int, key_bits: int) -> tuple[dict[int, int], bool]:
     """({key: coefficient}, whether nothing is left); column: a sum's place, count first, then key bits, then hash bits."""
     width = 1 + key_bits + HASH_BITS

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.functions.hashing import murmur64a, trailing_zeroes
+from symdiff.functions.hashing import murmur64a, murmur64a_binary, trailing_zeroes
 from symdiff.functions.unsigned import wrapping
 from symdiff.operators import iblt
 
@@ -21,6 +21,21 @@ def assigned(keys: DataFrame) -> DataFrame:
         return hashed.withColumn("stratum", F.least(trailing_zeroes(F.col("key"), STRATA), F.lit(STRATA - 1)))
 
 
+def assigned_bytes(keys: DataFrame) -> DataFrame:
+    """(stratum, key) of byte strings (key BINARY): the inserted key is the whole string's hash."""
+    hashed = keys.select(*(c for c in keys.columns if c != "key"), murmur64a_binary("key").alias("key"))
+    return hashed.withColumn("stratum", F.least(trailing_zeroes(F.col("key"), STRATA), F.lit(STRATA - 1)))
+
+
+def to_wire(cells: DataFrame) -> DataFrame:
+    """One row: an estimator as the list of its strata's tables."""
+    return iblt.to_wire(cells, "stratum").agg(F.array_sort(F.collect_list(F.struct("stratum", "sub", "cell", *iblt.SUMS))).alias("strata"))
+
+
+def from_wire(wire: DataFrame) -> DataFrame:
+    return iblt.from_wire(wire.select(F.explode("strata").alias("s")).select("s.*"), "stratum")
+
+
 def build(keys: DataFrame) -> DataFrame:
     """Of keys (key) or (key, sign): the cells of all strata."""
     return iblt.build(assigned(keys), STRATUM, "stratum")
@@ -53,6 +68,12 @@ def estimate_difference(difference: DataFrame) -> int:
 
 
 def estimate(a: DataFrame, b: DataFrame) -> int:
-    """Of |A without B| + |B without A| for key sets, under one aggregation."""
+    """Of |A without B| + |B without A| for key sets, of numbers or byte strings, under one aggregation."""
     keys = a.select("key", F.lit(1).alias("sign")).unionByName(b.select("key", F.lit(-1).alias("sign")))
-    return estimate_difference(build(keys))
+    return estimate_difference(iblt.build(assigned_bytes(keys), STRATUM, "stratum") if dict(keys.dtypes)["key"] == "binary" else build(keys))
+
+
+def theta_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n): the same number from theta sketches, exact up to their size (4,096 keys); they can't give the keys back."""
+    only = lambda x, y: x.agg(F.theta_sketch_agg("key").alias("x")).crossJoin(y.agg(F.theta_sketch_agg("key").alias("y"))).select(F.theta_sketch_estimate(F.theta_difference("x", "y")).alias("n"))
+    return only(a, b).unionByName(only(b, a)).agg(F.sum("n").alias("n"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from symdiff.functions import field, hashing, json
 from symdiff.functions.unsigned import as_decimal, wrapping
-from symdiff.operators import analytics, filesync, fingerprint, gossip, iblt, multiparty, sets, strata
-from symdiff.plans.reconcile import reconcile
+from symdiff.operators import analytics, filesync, fingerprint, gossip, iblt, multiparty, protocol, sets, strata, strings
+from symdiff.plans.reconcile import reconcile, reconcile_directories
 from symdiff.plans.tables import settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,6 +182,24 @@ def strata_exact_diff(spark, sf_dir):
     return strata.assigned(sets.symmetric_difference(*two_sets(spark, sf_dir))).groupBy("stratum").agg(F.count("*").alias("n_diff"))
 
 
+@query(f"SELECT least({NTZ_SQL}, 63) AS stratum, count(*)::BIGINT AS n FROM {HASHED_KEYS_SQL} GROUP BY ALL")
+def strata_wire_roundtrip(spark, sf_dir):
+    """The keys that each stratum's first sub-table counts, after the estimator was written and read."""
+    cells = strata.from_wire(strata.to_wire(strata.build(customers(spark, sf_dir, URGENT))))
+    return cells.where("sub = 0").groupBy("stratum").agg(F.sum("cnt").alias("n")).where("n > 0")
+
+
+@query(f"SELECT count(*) AS n FROM ({BOTH_SQL})")
+def theta_difference(spark, sf_dir):
+    """By theta sketches, which are exact for sets of this size."""
+    return strata.theta_difference(*two_sets(spark, sf_dir)).select(F.round("n").cast("long").alias("n"))
+
+
+@query()
+def strata_accuracy(spark, sf_dir):
+    return analytics.strata_accuracy(spark, [10, 100, 1000, 10_000, 100_000])
+
+
 @query()
 def strata_estimate(spark, sf_dir):
     rows = []
@@ -249,7 +267,31 @@ def superfast_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", hashing.superfast_hash(F.encode("p_name", "utf-8")).alias("h"))
 
 
+NUMBER_OF_BYTES = lambda at, n, whole: " + ".join(f"CASE WHEN {n} > {at + i} THEN ('0x' || substr(x, {2 * (at + i) + 1}, 2))::UHUGEINT * {1 << 8 * i}::UHUGEINT ELSE 0::UHUGEINT END" for i in range(whole))
+#: Of texts of 4 to 15 bytes.
+MURMUR_TEXT_SQL = f"""
+WITH d AS (SELECT p_partkey, hex(encode(p_name)) AS x, octet_length(encode(p_name)) AS n FROM part),
+w AS (SELECT p_partkey, n, {NUMBER_OF_BYTES(0, "n", 8)} AS a, {NUMBER_OF_BYTES(8, "n", 7)} AS b FROM d),
+k1 AS (SELECT *, (a * {hashing.M64}::UHUGEINT) % 18446744073709551616::UHUGEINT AS k, (n::UHUGEINT * {hashing.M64}::UHUGEINT) % 18446744073709551616::UHUGEINT AS h0 FROM w),
+k2 AS (SELECT *, (xor(k, k >> 47) * {hashing.M64}::UHUGEINT) % 18446744073709551616::UHUGEINT AS kk FROM k1),
+h1 AS (SELECT *, CASE WHEN n >= 8 THEN (xor(h0, kk) * {hashing.M64}::UHUGEINT) % 18446744073709551616::UHUGEINT ELSE h0 END AS h FROM k2),
+h2 AS (SELECT p_partkey, CASE WHEN n % 8 = 0 THEN h ELSE (xor(h, CASE WHEN n >= 8 THEN b ELSE a END) * {hashing.M64}::UHUGEINT) % 18446744073709551616::UHUGEINT END AS h FROM h1),
+h3 AS (SELECT p_partkey, (xor(h, h >> 47) * {hashing.M64}::UHUGEINT) % 18446744073709551616::UHUGEINT AS h FROM h2)
+SELECT p_partkey, xor(h, h >> 47)::DECIMAL(20,0) AS h FROM h3
+"""
+
+
 @query()
+def murmur2_32_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", hashing.murmur32_binary(F.encode("p_name", "utf-8")).alias("h"))
+
+
+@query()
+def tabulation_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", as_decimal(hashing.tabulation_binary(F.encode(F.rpad("p_name", 32, " "), "utf-8"))).alias("h"))
+
+
+@query(MURMUR_TEXT_SQL)
 def murmur64a_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", as_decimal(hashing.murmur64a_binary(F.encode("p_name", "utf-8"))).alias("h"))
 
@@ -423,6 +465,37 @@ def multi_party_bits(spark, sf_dir):
     return multiparty.party_bits(memberships(spark, sf_dir), MULTI)
 
 
+@query(nits_sql("1"))
+def multi_wire_roundtrip(spark, sf_dir):
+    sums = multiparty.build(memberships(spark, sf_dir), MULTI, PARTIES).withColumn("one", F.lit(1))
+    return multiparty.from_wire(multiparty.to_wire(sums, "one"), "one").drop("one")
+
+
+@query(ORACLES["multi_party_bits"])
+def multi_extended_wire_roundtrip(spark, sf_dir):
+    """Each party's own bucket bits, moved to its place, added up, written and read."""
+    m = memberships(spark, sf_dir)
+    bits = None
+    for party in range(PARTIES):
+        own = multiparty.party_bits(m.where(F.col("party") == party).withColumn("party", F.lit(0)), MULTI)
+        own = own.select("sub", "cell", multiparty.at_party(F.col("party_bits"), party).alias("party_bits"))
+        bits = own if bits is None else bits.unionByName(own)
+    bits = bits.groupBy("sub", "cell").agg(F.bit_xor("party_bits").alias("party_bits"))
+    return multiparty.extended_from_wire(multiparty.extended_to_wire(bits, PARTIES))
+
+
+SHORT_SQL, LONG_SQL = (f"SELECT DISTINCT sha1(text) AS key FROM documents WHERE n_chars {x}" for x in ("< 1500", "> 1200"))
+
+
+@query(f"SELECT 'A' AS side, key FROM (({SHORT_SQL}) EXCEPT ({LONG_SQL})) UNION ALL SELECT 'B' AS side, key FROM (({LONG_SQL}) EXCEPT ({SHORT_SQL}))")
+def string_decode(spark, sf_dir):
+    """The different ones of two sets of 40-byte strings."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    keys = lambda rows: rows.select(F.encode(F.sha1(F.encode("text", "utf-8")), "utf-8").alias("key")).distinct()
+    found = strings.reconcile(keys(docs.where("n_chars < 1500")), keys(docs.where("n_chars > 1200")), 40, 400)
+    return found.select("side", F.decode("key", "utf-8").alias("key"))
+
+
 @query(
     """WITH k AS (SELECT p_partkey, p_partkey AS a, p_size::BIGINT AS b FROM part),
     n AS (SELECT p_partkey, a, b, [(((a >> i) & 1) * 3 + ((b >> i) & 1)) % 5 FOR i IN range(32)] AS v FROM k)
@@ -458,7 +531,6 @@ def string_key_xor(spark, sf_dir):
 # Fingerprints
 
 AVERAGE = 50
-WINDOW = 2 * AVERAGE - 1
 BYTES_SQL = "SELECT doc_id, octet_length(encode(text)) AS n, unnest(regexp_extract_all(hex(encode(text)), '(..)')) AS x, generate_subscripts(regexp_extract_all(hex(encode(text)), '(..)'), 1) AS pos FROM {source}"
 TERMS_SQL = " + ".join(f"coalesce(lag(b, {j}) OVER w, 0) * {pow(fingerprint.BASE, j, 1 << 32)}" for j in range(fingerprint.TERMS))
 
@@ -468,9 +540,10 @@ def hashes_sql(source: str = "documents") -> str:
     FROM ({BYTES_SQL.format(source=source)})) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""
 
 
-def winnow_sql(source: str = "documents") -> str:
-    return f"""SELECT DISTINCT doc_id, 2147483647 - (c & 2147483647) AS pos, c >> 31 AS h FROM (SELECT doc_id, min((h << 31) + 2147483647 - pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS {WINDOW - 1} PRECEDING) AS c
-    FROM ({hashes_sql(source)}) WHERE pos <= n - {WINDOW} - 1)"""
+def winnow_sql(source: str = "documents", average: int = AVERAGE) -> str:
+    window = 2 * average - 1
+    return f"""SELECT DISTINCT doc_id, 2147483647 - (c & 2147483647) AS pos, c >> 31 AS h FROM (SELECT doc_id, min((h << 31) + 2147483647 - pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS {window - 1} PRECEDING) AS c
+    FROM ({hashes_sql(source)}) WHERE pos <= n - {window} - 1)"""
 
 
 @query(f"SELECT doc_id, count(*) AS n, sum(h)::BIGINT AS hash_sum, bit_xor(h) AS hash_xor, min(h) AS hash_min, max(h) AS hash_max FROM ({hashes_sql()}) GROUP BY doc_id")
@@ -566,10 +639,90 @@ def file_sync_plan(spark, sf_dir):
     return filesync.sync_plan(fingerprint.digests(old, AVERAGE, OVERLAP), fingerprint.digests(new, AVERAGE, OVERLAP))
 
 
-@query()
+@query(
+    f"""SELECT doc_id, sum(CASE WHEN "exists" THEN 0 ELSE len END)::BIGINT AS literal_bytes, (16 * count(*) FILTER ("exists") + 2 * count(*))::BIGINT AS reference_bits,
+    (sum(CASE WHEN "exists" THEN 0 ELSE len END) + ceil((16 * count(*) FILTER ("exists") + 2 * count(*)) / 8.0))::BIGINT AS plan_bytes FROM ({ORACLES["file_sync_plan"]}) GROUP BY doc_id"""
+)
 def file_sync_bytes(spark, sf_dir):
     old, new = versions(spark, sf_dir)
-    return filesync.sync_bytes(filesync.sync_plan(fingerprint.digests(old, AVERAGE, OVERLAP), fingerprint.digests(new, AVERAGE, OVERLAP)), new)
+    return filesync.sync_bytes(filesync.sync_plan(fingerprint.digests(old, AVERAGE, OVERLAP), fingerprint.digests(new, AVERAGE, OVERLAP)))
+
+
+# The protocol, with the block size of files of less than 490,000 bytes and the overlap that goes with it
+
+OVERLAP_SQL = f"(CASE WHEN n // {filesync.LEAST_BLOCK} >= 256 THEN 2 ELSE 1 END)"
+
+
+def named_blocks_sql(source: str = "documents") -> str:
+    """(doc_id, block_no, start, len, key, head, block): bytes in hex."""
+    return f"""(WITH f AS ({winnow_sql(source, filesync.LEAST_BLOCK)}), d AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text))::BIGINT AS n FROM {source}),
+    e AS (SELECT doc_id, pos AS stop FROM f UNION SELECT doc_id, n FROM d WHERE n > 0), s AS (SELECT doc_id, stop, coalesce(lag(stop) OVER w, 0) AS start, row_number() OVER w - 1 AS block_no FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY stop)),
+    c AS (SELECT s.doc_id, block_no, start, stop - start AS len, substr(x, 2 * start + 1, 2 * (stop - start + {OVERLAP_SQL})) AS covered, substr(x, 2 * start + 1, 2 * (stop - start)) AS block, {OVERLAP_SQL} AS overlap FROM s JOIN d ON s.doc_id = d.doc_id)
+    SELECT doc_id, block_no, start, len, ('0x' || substr(md5(covered || ':' || len), 1, 15))::BIGINT AS key, substr(covered, 1, 2 * overlap) AS head, block FROM c)"""
+
+
+def synchronised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, differences, what decoding took) of the two versions."""
+    files = settled(protocol.paired(*versions(spark, sf_dir)))
+    return files, *protocol.differences(settled(protocol.signed_keys(files)))
+
+
+@query(
+    f"""WITH o AS (SELECT DISTINCT doc_id, key FROM {named_blocks_sql()}), n AS (SELECT DISTINCT doc_id, key FROM {named_blocks_sql(EDITED_SQL)})
+    SELECT doc_id, 'A' AS side, key FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT doc_id, 'B' AS side, key FROM (SELECT * FROM o EXCEPT SELECT * FROM n)"""
+)
+def file_sync_decode(spark, sf_dir):
+    """Each file's different keys, by estimators and tables of all files."""
+    return synchronised(spark, sf_dir)[1].select("doc_id", "side", "key")
+
+
+ROUND2_SQL = f"""
+WITH o AS (SELECT DISTINCT doc_id, key FROM {named_blocks_sql()}), b AS (SELECT * FROM {named_blocks_sql(EDITED_SQL)}), n AS (SELECT doc_id, key, arg_min(head, block_no) AS head FROM b GROUP BY ALL),
+k AS (SELECT o.doc_id, o.key, head, n.key IS NOT NULL AS shared, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.key) - 1 AS place FROM o LEFT JOIN n ON o.doc_id = n.doc_id AND o.key = n.key),
+g AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id, head ORDER BY key) - 1 AS near FROM k WHERE shared),
+j AS (SELECT b.*, place, place IS NOT NULL AS known FROM b LEFT JOIN k ON b.doc_id = k.doc_id AND b.key = k.key),
+l AS (SELECT *, coalesce(lag(known) OVER (PARTITION BY doc_id ORDER BY block_no), false) AS before FROM j),
+m AS (SELECT l.*, CASE WHEN before THEN near ELSE place END AS ref FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.key = g.key),
+said AS (SELECT doc_id, string_agg(CASE WHEN known THEN '1' ELSE '0' END, '' ORDER BY block_no) AS chunk_exists, string_agg(CASE WHEN known THEN ref::VARCHAR END, ',' ORDER BY block_no) AS existing,
+    string_agg(CASE WHEN known THEN NULL ELSE block END, '' ORDER BY block_no) AS new FROM m GROUP BY doc_id),
+heard AS (SELECT doc_id, string_agg(CASE WHEN shared THEN '1' ELSE '0' END, '' ORDER BY key) AS hash_exists FROM k GROUP BY doc_id)
+SELECT e.doc_id, coalesce(chunk_exists, '') AS chunk_exists, coalesce(hash_exists, '') AS hash_exists, coalesce(existing, '') AS existing, md5(coalesce(new, '')) AS new_md5, sha1(text) AS sha1
+FROM {EDITED_SQL} e LEFT JOIN said ON e.doc_id = said.doc_id LEFT JOIN heard ON e.doc_id = heard.doc_id
+"""
+
+
+@query(ROUND2_SQL)
+def file_sync_round2(spark, sf_dir):
+    """What the sender says of each file, as text."""
+    bits = lambda c: F.array_join(F.transform(c, lambda x: F.when(x, "1").otherwise("0")), "")
+    files, found, _ = synchronised(spark, sf_dir)
+    return protocol.round2(files, found).select(
+        "doc_id", bits("chunk_exists").alias("chunk_exists"), bits("hash_exists").alias("hash_exists"), F.array_join(F.transform("existing_chunk_encoding", lambda x: x.cast("string")), ",").alias("existing"),
+        F.md5(F.encode(F.array_join(F.transform("new_chunk_info", lambda x: F.hex(x)), ""), "utf-8")).alias("new_md5"), F.lower(F.hex("sha1")).alias("sha1"),
+    )
+
+
+@query(f"SELECT doc_id, sha1(text) AS sha1, true AS ok FROM {EDITED_SQL}")
+def file_sync_rebuilt(spark, sf_dir):
+    """Each file's new version, as the receiver puts it together."""
+    files, found, _ = synchronised(spark, sf_dir)
+    return protocol.rebuilt(files, protocol.round2(files, found)).select("doc_id", F.sha1("content").alias("sha1"), "ok")
+
+
+@query(
+    f"""SELECT doc_id, (length(chunk_exists) + length(hash_exists) + 32 * CASE WHEN existing = '' THEN 0 ELSE len(string_split(existing, ',')) END + 8 * new_bytes)::BIGINT AS round2_bits
+    FROM ({ROUND2_SQL.replace("md5(coalesce(new, '')) AS new_md5", "length(coalesce(new, '')) // 2 AS new_bytes")})"""
+)
+def file_sync_round2_bits(spark, sf_dir):
+    files, found, _ = synchronised(spark, sf_dir)
+    return protocol.round2(files, found).select("doc_id", protocol.round2_bits().alias("round2_bits"))
+
+
+@query()
+def file_sync_totals(spark, sf_dir):
+    """The protocol's bits against compressed whole files; sizes of estimators, of tables and by zlib aren't SQL's."""
+    files, found, spent = synchronised(spark, sf_dir)
+    return protocol.totals(files, protocol.round2(files, found), spent)
 
 
 @query(f"SELECT doc_id, sha1(text) AS sha1 FROM {EDITED_SQL} WHERE text <> ''")
@@ -591,19 +744,36 @@ def block_size_rule(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", block.alias("block"), filesync.overlap_of(n, block).alias("overlap"))
 
 
+BYTES_HEX_SQL = "SELECT doc_id, generate_subscripts(regexp_extract_all(hex(encode(text)), '(..)'), 1) - 1 AS pos, ('0x' || unnest(regexp_extract_all(hex(encode(text)), '(..)')))::INT AS b FROM documents"
+(DRAW_A, DRAW_B, DRAW_C), *DRAW_STEPS, DRAW_LAST = filesync.DRAW
+DRAWN_SQL = f"((pos::HUGEINT * {DRAW_A} + (doc_id::HUGEINT * {DRAW_B} + {11 * DRAW_C}) % 4294967296) % 4294967296)"
+for _shift, _times in DRAW_STEPS:
+    DRAWN_SQL = f"((xor({DRAWN_SQL}, {DRAWN_SQL} >> {_shift}) * {_times}) % 4294967296)"
+ONE_UP_SQL = "printf('%02X', (b + CASE WHEN hit THEN 1 ELSE 0 END) % 256)"
+
+
 @query(
-    f"""SELECT doc_id, count(*) AS n_changed FROM (SELECT doc_id, unnest(range(octet_length(encode(text)))) AS pos FROM documents)
-    WHERE {portable_sql("doc_id || chr(47) || pos", 11)} / 1152921504606846976.0::DOUBLE < 0.001 GROUP BY doc_id"""
+    f"""WITH x AS (SELECT doc_id, pos, b, {DRAWN_SQL} AS x FROM ({BYTES_HEX_SQL})), h AS (SELECT *, xor(x, x >> {DRAW_LAST}) < {int(0.001 * (1 << 32))} AS hit FROM x)
+    SELECT doc_id, count(*) FILTER (hit) AS n_changed, md5(string_agg({ONE_UP_SQL}, '' ORDER BY pos)) AS content_md5 FROM h GROUP BY doc_id"""
 )
 def corrupt_random(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
-    return filesync.corrupted_positions(lengths, 0.001, 11).groupBy("doc_id").agg(F.count("*").alias("n_changed"))
+    changed = filesync.similar_files(table(spark, sf_dir, "documents"), 0.001, 11)
+    return changed.select("doc_id", "n_changed", F.md5(F.encode(F.hex("content"), "utf-8")).alias("content_md5"))
 
 
-@query()
+DRAWN_STARTS_SQL = ", ".join(f"floor({portable_sql('doc_id', 13 + k)} / 1152921504606846976.0::DOUBLE * greatest(n - 5, 1))::BIGINT" for k in range(5))
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents WHERE text <> ''), s AS (SELECT DISTINCT doc_id, unnest([{DRAWN_STARTS_SQL}]) AS start FROM d),
+    kept AS (SELECT doc_id, min(start) AS start FROM s GROUP BY doc_id UNION ALL SELECT k.doc_id, (SELECT min(s.start) FROM s WHERE s.doc_id = k.doc_id AND s.start >= k.start + 5) AS start FROM kept k WHERE k.start IS NOT NULL),
+    h AS (SELECT b.doc_id, pos, b, count(k.start) > 0 AS hit FROM ({BYTES_HEX_SQL}) b LEFT JOIN kept k ON b.doc_id = k.doc_id AND pos >= k.start AND pos < k.start + 5 GROUP BY ALL),
+    c AS (SELECT doc_id, count(start) AS n_blocks FROM kept GROUP BY doc_id)
+    SELECT h.doc_id, any_value(n_blocks) AS n_blocks, md5(string_agg({ONE_UP_SQL}, '' ORDER BY pos)) AS content_md5 FROM h JOIN c ON h.doc_id = c.doc_id GROUP BY h.doc_id"""
+)
 def corrupt_blocks(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
-    return filesync.corrupted_blocks(lengths, 5, 5, 13).select("doc_id", F.size("starts").cast("long").alias("n_blocks"), (F.size("starts") * 5).cast("long").alias("n_changed"))
+    changed = filesync.block_changed_files(table(spark, sf_dir, "documents"), 5, 5, 13)
+    return changed.select("doc_id", "n_blocks", F.md5(F.encode(F.hex("content"), "utf-8")).alias("content_md5"))
 
 
 # The other side's directory: nets renamed, orgs in French modified, coms in German missing, and others' pages of its own
@@ -618,13 +788,26 @@ UNION ALL SELECT url || '.extra', html || '?' FROM pages WHERE url LIKE '%.com/f
     UNION ALL SELECT path, 'new', NULL FROM a WHERE path NOT IN (SELECT path FROM b) AND path NOT IN (SELECT target FROM o WHERE action = 'rename')"""
 )
 def dir_diff_plan(spark, sf_dir):
+    return filesync.directory_plan(*manifests(spark, sf_dir))
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT url AS path, sha1(html) AS c FROM pages), b AS (SELECT DISTINCT path, sha1(content) AS c FROM ({THEIRS_SQL}))
+    SELECT 'A' AS side, path FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'B' AS side, path FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+)
+def dir_difference(spark, sf_dir):
+    """The entries that only one side has, by sketches of the manifests."""
+    return reconcile_directories(*manifests(spark, sf_dir))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = table(spark, sf_dir, "pages")
     mine = pages.select(F.col("url").alias("path"), F.encode("html", "utf-8").alias("content"))
     changed = F.when(F.col("url").like("%.org/fr%"), F.concat("html", F.lit("!"))).otherwise(F.col("html"))
     moved = F.when(F.col("url").like("%.net/%"), F.concat("url", F.lit(".old"))).otherwise(F.col("url"))
     theirs = pages.where(~F.col("url").like("%.com/de%")).select(moved.alias("path"), F.encode(changed, "utf-8").alias("content"))
     extra = pages.where(F.col("url").like("%.com/fr%")).select(F.concat("url", F.lit(".extra")).alias("path"), F.encode(F.concat("html", F.lit("?")), "utf-8").alias("content"))
-    return filesync.directory_plan(filesync.manifest(mine), filesync.manifest(theirs.unionByName(extra)))
+    return filesync.manifest(mine), filesync.manifest(theirs.unionByName(extra))
 
 
 # Gossip: nations are nodes
@@ -704,6 +887,13 @@ def histogram_bins(spark, sf_dir):
     return analytics.histogram(table(spark, sf_dir, "events"), "user_id", F.col("value") / 25, [0, 1, 2, 3, 4])
 
 
+@query("SELECT event_type, floor(value / 10)::BIGINT AS setting, count(*) AS runs, round(avg(value), 6) AS cost, round(avg((props->>'$.k')::BIGINT), 6) AS k FROM events GROUP BY ALL")
+def report_rows(spark, sf_dir):
+    rows = runs(spark, sf_dir).withColumn("k", json.get(json.parse(F.col("props")), "$.k", "long"))
+    found = analytics.report(rows, "event_type", "setting", cost="value", k="k")
+    return found.withColumns({"cost": F.round("cost", 6), "k": F.round("k", 6)})
+
+
 @query("SELECT r_name AS config, unnest(range(10, 201 + 100 * r_regionkey, 10)) AS block_size FROM region")
 def sweep_grid(spark, sf_dir):
     configs = table(spark, sf_dir, "region").select(F.col("r_name").alias("config"), "r_regionkey")
@@ -718,6 +908,23 @@ def json_extract(spark, sf_dir):
     )
 
 
+@query("SELECT event_id, unnest(json_keys(props)) AS key, (props->>'$.k')::BIGINT AS value FROM events")
+def json_iterate(spark, sf_dir):
+    """The members of each object (they have one, k)."""
+    rows = table(spark, sf_dir, "events").select("event_id", json.parse(F.col("props")).alias("v"))
+    return json.entries(rows, "v", "event_id").select("event_id", "key", F.try_variant_get("value", "$", "long").alias("value"))
+
+
+@query("SELECT event_id, sign((props->>'$.k')::BIGINT - 50)::INT AS with_number, -1 AS with_text, 1 AS with_null, CASE WHEN props->>'$.k' = '50' THEN 0 WHEN props < '{\"k\":50}' THEN -1 ELSE 1 END AS with_object FROM (SELECT event_id, replace(props, ' ', '') AS props FROM events)")
+def json_compare(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", json.parse(F.col("props")).alias("v"))
+    k, other = F.variant_get("v", "$.k", "variant"), lambda text: F.parse_json(F.lit(text))
+    return rows.select(
+        "event_id", json.compared(k, other("50")).alias("with_number"), json.compared(k, other('"50"')).alias("with_text"), json.compared(k, other("null")).alias("with_null"),
+        json.compared(F.col("v"), other('{"k": 50}')).alias("with_object"),
+    )
+
+
 @query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY event_type")
 def json_roundtrip(spark, sf_dir):
     """Written as JSON objects and read again."""

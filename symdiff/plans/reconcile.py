@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from symdiff.operators import iblt, strata
+from symdiff.functions.hashing import murmur64a_binary
+from symdiff.operators import filesync, iblt, strata
 from symdiff.plans.tables import settled
 
 #: Small differences need more cells than twice their size.
@@ -21,3 +23,12 @@ def reconcile(a: DataFrame, b: DataFrame, k: int = 4, cells: int | None = None)
         if complete:
             return found
         m *= 2
+
+
+def reconcile_directories(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(side, path) of the entries of two manifests that only one of them has, by sketches of their 40-byte keys."""
+    named = [settled(filesync.manifest_keys(x).distinct().withColumn("hash", murmur64a_binary("key"))) for x in (mine, theirs)]
+    cells, k = filesync.directory_cells(strata.estimate(*(x.select("key") for x in named)))
+    found = reconcile(*(x.select(F.col("hash").alias("key")).distinct() for x in named), k, max(cells, LEAST_CELLS))
+    sides = [x.join(found.where(F.col("side") == s).select(F.col("key").alias("hash")), "hash", "left_semi").select(F.lit(s).alias("side"), "path") for s, x in zip("AB", named, strict=True)]
+    return sides[0].unionByName(sides[1])
