@@ -7,6 +7,7 @@ plan has the old version; blocks it has are referred to, the others are sent. Bl
 from __future__ import annotations
 
 import zlib
+from hashlib import sha1
 
 import numpy as np
 import pandas as pd
@@ -55,15 +56,26 @@ def sync_plan(old: DataFrame, new: DataFrame) -> DataFrame:
 def reconstructed(old: DataFrame, new: DataFrame, average: int, overlap: int = 1) -> DataFrame:
     """(doc_id, sha1) of the new version, put together from blocks of the old one and literal blocks.
 
-    old, new: (doc_id, text). A document's blocks meet in one row, as its text does.
+    old, new: (doc_id, text). Both texts of a document meet in one row, once.
     """
-    blocks = shared_blocks(fingerprint.digests(old, average, overlap), fingerprint.digests(new, average, overlap))
-    pieces = blocks.join(old.select("doc_id", F.encode("text", "utf-8").alias("mine")), "doc_id", "left").join(new.select("doc_id", F.encode("text", "utf-8").alias("theirs")), "doc_id")
-    taken = F.when(F.col("exists"), F.substring("mine", F.col("old_start") + 1, F.col("len"))).otherwise(F.substring("theirs", F.col("start") + 1, F.col("len")))
-    rows = pieces.select("doc_id", F.struct("block_no", taken.alias("data")).alias("piece"))
-    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-    data = F.unhex(F.array_join(F.transform("pieces", lambda p: F.hex(p["data"])), ""))
-    return whole.select("doc_id", F.sha1(data).alias("sha1"))
+    both = new.select("doc_id", F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("theirs")).where("octet_length(theirs) > 0")
+    both = both.join(old.select("doc_id", F.encode("text", "utf-8").alias("mine")), "doc_id", "left")
+
+    def work(batches):
+        for batch in batches:
+            hashes = []
+            for theirs, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                known: dict[tuple[int, int], int] = {}
+                for start, length, h in fingerprint.blocks(mine or b"", average, overlap):
+                    known.setdefault((h, length), start)
+                parts = []
+                for start, length, h in fingerprint.blocks(theirs, average, overlap):
+                    at = known.get((h, length))
+                    parts.append(theirs[start : start + length] if at is None else mine[at : at + length])
+                hashes.append(sha1(b"".join(parts)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string())], ["doc_id", "sha1"])
+
+    return both.select(F.col("doc_id").cast("long").alias("doc_id"), "theirs", "mine").mapInArrow(work, "doc_id long, sha1 string")
 
 
 @F.pandas_udf(T.BinaryType())

@@ -8,7 +8,7 @@ suffixes, linear in the document's length whatever the window. A plain SQL form
 from __future__ import annotations
 
 from collections.abc import Callable
-from hashlib import md5
+from hashlib import md5, sha1
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +124,17 @@ def jaccard(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return sides.groupBy("d1", "d2").agg(F.count_if(F.col("sides") == 3).alias("inter"), F.count("*").alias("uni"))
 
 
-def collisions(hashes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h, n): block hashes (doc_id, start, len, h) that stand for n > 1 different blocks of texts (doc_id, text)."""
-    data = F.encode(F.col("text"), "utf-8")
-    with_text = hashes.join(texts.select("doc_id", data.alias("data")), "doc_id")
-    block = with_text.select("h", F.sha1(F.substring("data", F.col("start") + 1, F.col("len"))).alias("block"))
-    return block.groupBy("h").agg(F.countDistinct("block").alias("n")).where("n > 1")
+def named_blocks(df: DataFrame, average: int, overlap: int = 0) -> DataFrame:
+    """(h, block): each block's hash and the SHA-1 of its bytes, made in the pass that has the text in hand."""
+
+    def work(batches):
+        for batch in batches:
+            found = [(h, sha1(data[s : s + n]).digest()) for text in batch.column(0).to_pylist() for data in [(text or "").encode()] for s, n, h in blocks(data, average, overlap)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["h", "block"])
+
+    return df.where("doc_id is not null").select("text").mapInArrow(work, "h long, block binary")
+
+
+def collisions(df: DataFrame, average: int) -> DataFrame:
+    """(h, n): block hashes of df (doc_id, text) that stand for n > 1 different blocks."""
+    return named_blocks(df, average).groupBy("h").agg(F.countDistinct("block").alias("n")).where("n > 1")

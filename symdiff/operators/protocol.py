@@ -36,15 +36,20 @@ LEAST_CELLS = 80
 Block = tuple[int, int, int, bytes, bytes]  # start, length, key, first bytes, bytes that follow
 
 
+def agreed(files: DataFrame, average: int | None = None, overlap: int | None = None) -> DataFrame:
+    """files (doc_id, old BINARY, new BINARY) with the block size and the overlap that both sides take."""
+    n = F.greatest(F.octet_length("old"), F.octet_length("new"))
+    block = block_size(n) if average is None else F.lit(average).cast("long")
+    rows = files.select("doc_id", "old", "new", block.alias("block"), n.alias("n"))
+    bytes_ = overlap_of(F.col("n"), F.col("block")) if overlap is None else F.lit(overlap)
+    return rows.select("doc_id", "old", "new", "block", bytes_.alias("overlap"))
+
+
 def paired(old: DataFrame, new: DataFrame, average: int | None = None, overlap: int | None = None) -> DataFrame:
     """(doc_id, old, new, block, overlap) of the files of new (doc_id, text)."""
     left = new.where("doc_id is not null").select("doc_id", F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("new"))
     both = left.join(old.select("doc_id", F.encode("text", "utf-8").alias("old")), "doc_id", "left").withColumn("old", F.coalesce("old", F.lit(b"")))
-    n = F.greatest(F.octet_length("old"), F.octet_length("new"))
-    block = block_size(n) if average is None else F.lit(average).cast("long")
-    rows = both.select("doc_id", "old", "new", block.alias("block"), n.alias("n"))
-    agreed = overlap_of(F.col("n"), F.col("block")) if overlap is None else F.lit(overlap)
-    return rows.select("doc_id", "old", "new", "block", agreed.alias("overlap"))
+    return agreed(both, average, overlap)
 
 
 def block_key(covered: bytes, length: int) -> int:

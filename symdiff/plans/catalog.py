@@ -581,8 +581,7 @@ def block_digest(spark, sf_dir):
 
 @query(f"SELECT h, count(DISTINCT block) AS n FROM (SELECT g.h, substr(hex(encode(text)), 2 * start + 1, 2 * len) AS block FROM {digests_sql()} g JOIN documents d ON g.doc_id = d.doc_id) GROUP BY h HAVING count(DISTINCT block) > 1")
 def digest_collisions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return fingerprint.collisions(fingerprint.digests(docs, AVERAGE), docs)
+    return fingerprint.collisions(table(spark, sf_dir, "documents"), AVERAGE)
 
 
 PAIRS_SQL = "SELECT lag(doc_id) OVER (PARTITION BY lang, source ORDER BY doc_id) AS d1, doc_id AS d2 FROM documents QUALIFY d1 IS NOT NULL"
@@ -627,6 +626,11 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, old.select("doc_id", edited.alias("text"))
 
 
+def both_digests(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The blocks of both versions, made once, as a plan reads them several times."""
+    return [settled(fingerprint.digests(x, AVERAGE, OVERLAP)) for x in versions(spark, sf_dir)]
+
+
 @query(
     f"""WITH o AS {digests_sql("documents", OVERLAP)}, n AS {digests_sql(EDITED_SQL, OVERLAP)}, k AS (SELECT doc_id, h, len, row_number() OVER (PARTITION BY doc_id ORDER BY h, len) - 1 AS rank FROM (SELECT DISTINCT doc_id, h, len FROM o)),
     j AS (SELECT n.*, k.rank, k.rank IS NOT NULL AS "exists" FROM n LEFT JOIN k ON n.doc_id = k.doc_id AND n.h = k.h AND n.len = k.len),
@@ -635,8 +639,7 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     SELECT l.doc_id, block_no, start, l.len, "exists", local, CASE WHEN local THEN near WHEN "exists" THEN rank END AS ref FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.h = s.h AND l.len = s.len"""
 )
 def file_sync_plan(spark, sf_dir):
-    old, new = versions(spark, sf_dir)
-    return filesync.sync_plan(fingerprint.digests(old, AVERAGE, OVERLAP), fingerprint.digests(new, AVERAGE, OVERLAP))
+    return filesync.sync_plan(*both_digests(spark, sf_dir))
 
 
 @query(
@@ -644,8 +647,7 @@ def file_sync_plan(spark, sf_dir):
     (sum(CASE WHEN "exists" THEN 0 ELSE len END) + ceil((16 * count(*) FILTER ("exists") + 2 * count(*)) / 8.0))::BIGINT AS plan_bytes FROM ({ORACLES["file_sync_plan"]}) GROUP BY doc_id"""
 )
 def file_sync_bytes(spark, sf_dir):
-    old, new = versions(spark, sf_dir)
-    return filesync.sync_bytes(filesync.sync_plan(fingerprint.digests(old, AVERAGE, OVERLAP), fingerprint.digests(new, AVERAGE, OVERLAP)))
+    return filesync.sync_bytes(filesync.sync_plan(*both_digests(spark, sf_dir)))
 
 
 # The protocol, with the block size of files of less than 490,000 bytes and the overlap that goes with it

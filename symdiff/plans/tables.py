@@ -12,10 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share; where it is unset, a temporary one in
+    local mode and an error on a cluster, whose machines would each write to a folder of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tables-")
+    return folder.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder named by spark.checkpoint.dir (a temporary one only where that is unset): what loops
-    go on from. It survives lost executors and carries no plan along."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tables-")
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    """df as a table in the shared folder: what loops go on from. It survives lost executors and carries no plan along."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from symdiff.__main__ import main
 from symdiff.operators import protocol
 
 
@@ -54,3 +55,24 @@ def test_empty_tables(spark):
     files = protocol.paired(empty, empty)
     found, _ = protocol.differences(protocol.signed_keys(files))
     assert protocol.rebuilt(files, protocol.round2(files, found)).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    r = random.Random(5)
+    old = "".join(r.choice("abc defgh") for _ in range(40_000))
+    (tmp_path / "a/sub").mkdir(parents=True)
+    (tmp_path / "b/sub").mkdir(parents=True)
+    for name, before, after in (("x", old, old[:9000] + "!" + old[9001:]), ("sub/y", "1", "1"), ("sub/z", None, "2")):
+        if before is not None:
+            (tmp_path / "a" / name).write_text(before)
+        (tmp_path / "b" / name).write_text(after)
+    rows = {x["path"]: x for x in main(["files", str(tmp_path / "a"), str(tmp_path / "b")], spark)}
+    assert set(rows) == {"x", "sub/y", "sub/z"} and all(x["ok"] for x in rows.values()) and rows["x"]["round2_bits"] < 8 * 6000
+    (one,) = main(["files", str(tmp_path / "a/x"), str(tmp_path / "b/x"), "--block-size", "100"], spark)
+    assert one["ok"] and one["round2_bits"] < 8 * 6000 and one["table_bits"] > 0
+    plan = main(["folders", str(tmp_path / "b"), str(tmp_path / "a")], spark)
+    assert sorted((x["path"], x["action"]) for x in plan) == [("sub/z", "new"), ("x", "modified")]
+    assert '"action": "new"' in capsys.readouterr().out
+    for what in (["--error-prob", "0.001"], ["--num-changes", "3"]):
+        (row,) = main(["corrupt", "--file-len", "20000", *what], spark)
+        assert row["ok"] and row["round2_bits"] < 8 * 20_000
