@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from symdiff.plans.tables import settled, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Memory", "free_name", "in_small_batches", "release", "slices", "table", "written"]
 
 
 #: Rows and bytes of an Arrow batch between Spark and Python: whole texts may be long.
@@ -54,18 +52,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
     release()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder named by spark.checkpoint.dir, which all executors share, or in a temporary folder
-    only where that is unset. It cuts the lineage, survives lost executors, and later reads take the columns they need.
+    """df as a table in the folder named by spark.checkpoint.dir, which all executors share. It cuts the lineage, survives
+    lost executors, and later reads take the columns they need.
 
     Unlike a checkpoint's, its plan carries no constraints over from the one that made it; in loops of joins these grow
     until the driver's memory is full.
     """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tables-")
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df)
 
 
 class Memory:

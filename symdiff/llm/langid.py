@@ -14,9 +14,10 @@ of about its length (powers of two of trigrams). Where fewer than LEAST_TEXTS ar
 shorter than those have no floor.
 
 Defined results: a text without a letter, empty or null, is `und` with score 0; ties go to the language that sorts
-first; a table without labelled texts predicts `und` everywhere; repeated rows are each predicted; a row with a null id
-is not held out; other columns are not read. The score is the share of the best cosine among the positive cosines,
-sharpened by SHARPNESS (a softmax). `und` is no known language.
+first; a table without labelled texts predicts `und` everywhere, and as no language is learned, any letter makes a text
+known; repeated rows are each predicted; a row with a null id is not held out; other columns are not read. The score is
+the share of the best cosine among the positive cosines, sharpened by SHARPNESS (a softmax). A text without a letter is
+of no known language.
 """
 
 from __future__ import annotations
@@ -124,7 +125,10 @@ def best(vectors: np.ndarray, classes: np.ndarray, model: Model) -> list[tuple[s
     """Each vector's language, score and whether it is of a known language."""
     names, out = sorted(model.prototypes), [("und", 0.0, False)] * len(vectors)
     some = np.flatnonzero(vectors.any(axis=1))
-    if names and len(some):
+    if not names:
+        for i in some:
+            out[i] = ("und", 0.0, True)
+    elif len(some):
         cosines = vectors[some] @ np.array([model.prototypes[n] for n in names], dtype=np.float32).T
         odds = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
         known = cosines.max(axis=1) >= model.floors[classes[some]]
@@ -194,8 +198,8 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     return df.select("id", "text").mapInArrow(work, "id long, lang_pred string, score double, known boolean")
 
 
-def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with the columns __lang, __score and __known."""
+def with_language(df: DataFrame, model: Model, into: str, text_col: str = "text") -> DataFrame:
+    """df with the column `into`: (lang, score, known)."""
     encoder: list[Encoder] = []
 
     @F.pandas_udf("struct<lang: string, score: double, known: boolean>")
@@ -205,8 +209,7 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
         out = [x for some in blocks(texts.fillna("").tolist()) for x in best(*encoder[0].bundle(some), model)]
         return pd.DataFrame(out, columns=["lang", "score", "known"])
 
-    judged = in_small_batches(df).withColumn("__judged", judge(df[text_col].cast("string")))
-    return judged.withColumns({"__lang": F.col("__judged.lang"), "__score": F.col("__judged.score"), "__known": F.col("__judged.known")}).drop("__judged")
+    return in_small_batches(df).withColumn(into, judge(df[text_col].cast("string")))
 
 
 def held_out(id_col) -> F.Column:

@@ -263,8 +263,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     return df.mapInArrow(work, "id long, score double, n_passages long, passages string")
 
 
-def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with the column __toxicity."""
+def with_score(df: DataFrame, model: Model, into: str, text_col: str = "text") -> DataFrame:
+    """df with the column `into`: its score."""
     scorer: list[Scorer] = []
 
     @F.pandas_udf("double")
@@ -273,7 +273,7 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             scorer.append(Scorer(model))
         return pd.Series([model.probability(scorer[0].passages(t or "")[1]) for t in texts], dtype=float)
 
-    return in_small_batches(df).withColumn("__toxicity", judge(df[text_col].cast("string")))
+    return in_small_batches(df).withColumn(into, judge(df[text_col].cast("string")))
 
 
 def plain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

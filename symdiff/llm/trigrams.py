@@ -138,8 +138,8 @@ class TrigramIndex:
     """Postings of the wanted trigrams over a list of texts; a posting list is a boolean per text."""
 
     def __init__(self, wanted: set[bytes]):
-        self.order = sorted(wanted)[:65534]
-        self.code = np.zeros(1 << 24, dtype=np.uint16)
+        self.order = sorted(wanted)
+        self.code = np.zeros(1 << 24, dtype=np.uint16 if len(self.order) < 1 << 16 else np.uint32)
         for i, t in enumerate(self.order):
             self.code[t[0] << 16 | t[1] << 8 | t[2]] = i + 1
 

@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from symdiff.llm import minhash, pivots
+from symdiff.llm import common, minhash, pivots
 from symdiff.llm.components import components, extended
 
 pytest.importorskip("public_tokenizers")
@@ -206,3 +208,27 @@ def test_pipeline_drops_texts_of_no_known_language(spark):
     assert {i for i, _, _ in rows} <= kept and not kept & {1000, 1001, 1003, 1004}
     judged = {x.doc_id: x for x in corpus_pipeline.langid.identify_language(docs).collect()}
     assert {i for i, x in judged.items() if x.known} == kept and judged[1000].lang_pred == "en"
+
+
+def test_pipeline_stages_on_edges_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, columns that stages might make themselves; nothing at all."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    long = "some words that go on and on " * 20_000
+    rows = [(1, "some words in a text", "en", 1, 1), (1, "some words in a text", "en", 1, 2), (2, None, None, None, 3), (None, "other words without an id", "en", 2, 4), (3, "", "en", 3, 5), (4, long, "en", 4, None), (5, "12 34", None, 5, 6)]
+    schema = "doc_id long, text string, lang string, judged int, toxicity int"
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema).withColumns({"n_chars": F.length("text").cast("long"), "kept": F.lit(1), "rows": F.lit("x"), "id": F.col("doc_id")})
+        columns, counts = docs.columns, []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.written(stage(spark, docs, str(tmp_path)))
+            assert name == "packing" or docs.columns == columns
+            counts.append(docs.count())
+        assert counts[:4] == ([4, 4, 3, 3] if data else [0] * 4) and (counts[4] >= 3) == bool(data)
+        if data:
+            assert {(r.doc_id, r.doc_tokens) for r in docs.collect()} >= {(1, 6), (None, 6)}
+
+
+def test_pipeline_without_languages_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "\u041f\u0440\u0438", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {1, 3}
