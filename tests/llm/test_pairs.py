@@ -151,6 +151,57 @@ def test_embeddings_match_all_pairs(spark):
     assert pivots.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def all_links(v, threshold=0.9):
+    near = v @ v.T >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize(("dimensions", "block"), [(64, 512), (256, 7)])
+def test_embeddings_near_the_threshold_and_in_dense_groups(spark, monkeypatch, dimensions, block):
+    """Pairs just above the threshold are found by 95 %; groups of any spread by nearly all, and no link is made up."""
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, u = unit(r.standard_normal((700, dimensions))), r.standard_normal((700, dimensions))
+    u = unit(u - (u * a).sum(1, keepdims=True) * a)
+    c = r.uniform(0.9, 0.92, (700, 1))
+    groups = [unit(unit(r.standard_normal((1, dimensions))) + s * unit(r.standard_normal((n, dimensions)))) for s, n in ((0.1, 150), (0.2, 150), (0.3, 150), (0.4, 80))]
+    v = np.concatenate((a, c * a + np.sqrt(1 - c * c) * u, *groups))
+    near = all_links(v)
+    rows = [(i, x.tolist(), 0, 1.0) for i, x in enumerate(v)]
+    got = {x.vec_id: x for x in pivots.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rows int, cosine double").repartition(5)).collect()}
+    have = np.array([got[i].n_links for i in range(len(v))])
+    assert (have <= near.sum(1)).all()
+    assert have[:1400].sum() >= 0.95 * near[:1400].sum() and have[1400:].sum() >= 0.97 * near[1400:].sum()
+    want = smallest(range(len(v)), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    assert sum(got[i].component_id == want[i] for i in range(len(v))) >= 0.95 * len(v)
+    assert all(x.kept == (x.component_id == i) for i, x in got.items())
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_one_vector_id_with_two_vectors_in_every_order(spark, monkeypatch, block):
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    r = np.random.default_rng(6)
+    a, b = r.standard_normal((2, 16))
+    near = lambda x: (x + 0.01 * r.standard_normal(16)).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, r.standard_normal(16).tolist()), (None, a.tolist()), (None, None), (5, []), (6, [0.0] * 16), (7, [1.0, 2.0]), (8, [2.0, 4.1]), (9, [None, 1.0])]
+    rows += [(10, b.tolist())] * 4 + [(11, [float("inf")] * 16)]
+    for some in (rows, rows[::-1]):
+        got = pivots.embedding_near_dedup(spark.createDataFrame(some, "vec_id long, embedding array<double>").repartition(3)).collect()
+        links = collections.Counter((x.vec_id, x.n_links, x.component_id, x.kept) for x in got)
+        assert links == collections.Counter(
+            [(1, 1, 1, True), (1, 5, 1, True), (2, 1, 1, False), (3, 5, 1, False), (4, 0, 4, True), (7, 1, 7, True), (8, 1, 7, False), *[(10, 5, 1, False)] * 4]
+            + [(i, 0, i, True) for i in (None, None, 5, 6, 9, 11)]
+        )
+
+
+def test_pivots_grow_with_the_table():
+    counts = [pivots.pivot_count(n) for n in (0, 50_000, 10**7, 10**9, 10**12)]
+    assert counts == sorted(counts) and counts[0] == 192 and counts[2] > 700 and counts[-1] == pivots.MOST_PIVOTS
+    assert [pivots.nearest_of(n) for n in (1, 192, 600, 2304)] == sorted(pivots.nearest_of(n) for n in (1, 192, 600, 2304))
+
+
 def corpus(spark, path):
     r = random.Random(5)
     words = [a + b for a in "the and house with thing paper stone river".split() for b in ["", "s", "ing", "er", "ly", "ed", "al", "or"]]
