@@ -10,7 +10,7 @@
 4. Candidates are verified by cosine in double precision; links give counts and components.
 
 Dense groups: a list's hub, the vector that comes first in a random order, is the centre of a ball for list members
-with similar sketches; who is within half of the threshold's angle of its first hub belongs to its ball (a vector to one
+with similar sketches (in lists of the FIRST pivots); who is within half of the threshold's angle of its first hub belongs to its ball (a vector to one
 ball at most, else it is a ball of its own). Members of a ball link with each other without being paired. A list holds
 each ball once, and two balls' centres and radii say for most pairs that all or none of their members link. Only for the
 others members are paired, by blocks, so nothing is lost when a group is cut into several balls.
@@ -47,6 +47,8 @@ SHIFT = 1.25
 #: Two pivots' cosine is below this.
 APART = 0.7
 SKETCH = 128
+#: Hubs are looked for in lists of pivots before this place in a permutation.
+FIRST = 5
 #: Sketches of a hub and a member of its ball differ at most so much; twice of what they do at a cosine of 0.98.
 LIKE_HUB = 16
 #: Members of a ball that a join deals to one task, and classes of more rows than this are large.
@@ -172,8 +174,15 @@ def places_apart(a: str, b: str) -> Column:
     return sum((F.abs(part(a, k) - part(b, k)) for k in range(SHARED)), F.lit(0))
 
 
-def balls_of(vectors: DataFrame, lists: DataFrame, angle: float) -> DataFrame:
+def exploded(vectors: DataFrame, *columns) -> DataFrame:
+    """(columns..., key, place): a row for each list that a vector is in."""
+    rows = vectors.select(*columns, F.explode(F.arrays_zip("keys", "places")).alias("l"))
+    return rows.select(*rows.columns[:-1], F.col("l.keys").alias("key"), F.col("l.places").alias("place"))
+
+
+def balls_of(vectors: DataFrame, angle: float) -> DataFrame:
     """(digest, ball, radius): the centre's digest and the angle to it of each vector that belongs to another one's ball."""
+    lists = exploded(vectors, "short", "s1", "s2").where(" and ".join(f"(shiftright(place, {8 * k}) & 255) < {FIRST}" for k in range(SHARED)))
     first = lists.groupBy("key").agg(F.min(F.struct("short", "s1", "s2")).alias("h"), F.count("*").alias("size")).where("size > 1")
     hubs = first.select("key", F.col("h.short").alias("hub"), F.col("h.s1").alias("t1"), F.col("h.s2").alias("t2"))
     near = lists.join(hubs, "key").where((F.col("short") != F.col("hub")) & (sketches_apart("s", "t") <= LIKE_HUB))
@@ -184,24 +193,26 @@ def balls_of(vectors: DataFrame, lists: DataFrame, angle: float) -> DataFrame:
     return close.groupBy("digest").agg(F.min_by(F.struct("ball", "cosine"), "ball").alias("b")).select("digest", "b.ball", F.acos(F.least("b.cosine", F.lit(1.0))).alias("radius"))
 
 
-def links_of(vectors: DataFrame, lists: DataFrame, threshold: float, nearest: int) -> tuple[DataFrame, DataFrame]:
-    """Of vectors (digest, short, rows, s1, s2, unit): (digest, links) to rows of other classes, and edges (a, b) that connect all linked ones.
+def links_of(vectors: DataFrame, threshold: float, nearest: int) -> tuple[DataFrame, DataFrame]:
+    """Of vectors (digest, short, rows, keys, places, s1, s2, unit): (digest, links) to rows of other classes, and edges (a, b) that connect all linked ones.
 
     Angles are compared with a margin, wherever a pair is near the threshold its own cosine decides.
     """
     angle, margin = math.acos(max(-1.0, min(1.0, threshold))), 1e-7
-    joined = written(balls_of(vectors, lists, angle))
+    joined = written(balls_of(vectors, angle))
     members = vectors.select("digest", "rows").join(joined, "digest", "left").select("digest", "rows", F.coalesce("ball", "digest").alias("ball"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
     members = written(members)
     balls = members.groupBy("ball").agg(F.max("radius").alias("radius"), F.sum("rows").alias("weight"), F.count("*").alias("n"))
     centres = vectors.select(F.col("digest").alias("ball"), F.col("short").alias("centre"), "s1", "s2", "unit")
     balls = written(balls.join(centres, "ball").select("ball", "centre", "radius", "weight", "n", "s1", "s2", "unit"))
     # lists of balls: a ball once in a list; its members' places differ, so only lone vectors' places are compared
-    named = vectors.select("short", "digest").join(members.select("digest", "ball", "radius"), "digest").join(balls.select("ball", "centre", "n", F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("radius").alias("r")), "ball")
-    own = lists.select("key", "place", "short").join(named.select("short", "centre", "n", "r", "t1", "t2"), "short")
-    entry = own.groupBy("key", "centre").agg(F.max("n").alias("n"), F.max("r").alias("r"), F.min("place").alias("place"), F.max("t1").alias("s1"), F.max("t2").alias("s2"))
-    entry = written(entry)
-    spread = entry.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    named = members.select("digest", "ball").join(balls.select("ball", "centre", "n", F.col("radius").alias("r"), F.col("s1").alias("t1"), F.col("s2").alias("t2")), "ball")
+    own = exploded(vectors.join(named, "digest"), "centre", "n", "r", F.col("t1").alias("s1"), F.col("t2").alias("s2"))
+    many = own.where("n > 1").groupBy("key", "centre").agg(F.max("n").alias("n"), F.max("r").alias("r"), F.max("s1").alias("s1"), F.max("s2").alias("s2"), F.min("place").alias("place"))
+    entry = written(own.where("n = 1").unionByName(many))
+    spread = written(entry.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1"))
+    if spread.count() <= BROADCAST_IDS:
+        spread = F.broadcast(spread)
     cut = entry.join(spread, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     left = cut.withColumn("part", F.pmod(F.xxhash64("centre"), F.col("parts")).cast("int"))
     right = cut.select("key", *(F.col(c).alias(f"{c}_b") for c in ("centre", "n", "r", "place")), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -246,8 +257,7 @@ def embedding_near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str
     short = priority(F.col("digest"))["h"].alias("short")
     columns = ("keys", "places", "s1", "s2", "unit")
     vectors = written(known.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in columns)).select("*", short))
-    lists = vectors.select("short", "s1", "s2", F.explode(F.arrays_zip("keys", "places")).alias("l")).select("short", "s1", "s2", F.col("l.keys").alias("key"), F.col("l.places").alias("place"))
-    counts, edges = links_of(vectors.drop("keys", "places"), lists, threshold, nearest_of(most))
+    counts, edges = links_of(vectors, threshold, nearest_of(most))
     found = components(edges).withColumnRenamed("id", "digest")
     named = found.join(vectors.select("digest", "id"), "digest")
     least = named.groupBy("component").agg(F.min("id").alias("least"))
