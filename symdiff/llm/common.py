@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 def release() -> None:
     """Gives freed memory back to the system: Python workers live on and serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -22,6 +22,7 @@ of no known language.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import in_small_batches, slices, written
+from symdiff.llm.common import in_small_batches, release, slices, written
 
 DIMENSIONS = 1024
 #: Letters share this many vectors; code points of the usual alphabets have one each.
@@ -200,14 +201,14 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
 
 def with_language(df: DataFrame, model: Model, into: str, text_col: str = "text") -> DataFrame:
     """df with the column `into`: (lang, score, known)."""
-    encoder: list[Encoder] = []
 
     @F.pandas_udf("struct<lang: string, score: double, known: boolean>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        if not encoder:
-            encoder.append(Encoder())
-        out = [x for some in blocks(texts.fillna("").tolist()) for x in best(*encoder[0].bundle(some), model)]
-        return pd.DataFrame(out, columns=["lang", "score", "known"])
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder()
+        for texts in batches:
+            out = [x for some in blocks(texts.fillna("").tolist()) for x in best(*encoder.bundle(some), model)]
+            yield pd.DataFrame(out, columns=["lang", "score", "known"])
+        release()
 
     return in_small_batches(df).withColumn(into, judge(df[text_col].cast("string")))
 

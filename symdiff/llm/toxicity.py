@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import Memory, in_small_batches, slices, written
+from symdiff.llm.common import Memory, in_small_batches, release, slices, written
 
 PER_CLASS = 4096
 FOLDS = 5
@@ -49,7 +50,7 @@ LEXICON = 20_000
 DRIFT = 0.25
 #: Least share of background words that are taken to score, so that a lexicon that never met one keeps a finite scale.
 RARE = 1e-5
-CACHE = 1 << 18
+CACHE = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -265,13 +266,14 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
 def with_score(df: DataFrame, model: Model, into: str, text_col: str = "text") -> DataFrame:
     """df with the column `into`: its score."""
-    scorer: list[Scorer] = []
 
     @F.pandas_udf("double")
-    def judge(texts: pd.Series) -> pd.Series:
-        if not scorer:
-            scorer.append(Scorer(model))
-        return pd.Series([model.probability(scorer[0].passages(t or "")[1]) for t in texts], dtype=float)
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in batches:
+            yield pd.Series([model.probability(scorer.passages(t or "")[1]) for t in texts], dtype=float)
+        del scorer
+        release()
 
     return in_small_batches(df).withColumn(into, judge(df[text_col].cast("string")))
 
