@@ -41,7 +41,7 @@ STEP_TOKENS = 1 << 18
 #: Letters of words whose ids a task remembers.
 CACHE = 1 << 19
 #: Bytes of text that are split into words at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 #: ASCII marks that always start a token of their own after a letter (not the apostrophe of a contraction).
@@ -103,12 +103,13 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> list[bytes]:
         texts = pa.compute.replace_substring(pa.compute.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
         split = pa.compute.split_pattern(texts, " ")
-        words = pa.compute.dictionary_encode(split.flatten())
+        ends, words, n = split.offsets.to_numpy(), pa.compute.dictionary_encode(split.flatten()), len(texts)
+        del texts, split
         found = pa.array(self.ids_of(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
         _, offsets, data = found.buffers()
         if data is None:
-            return [b""] * len(texts)
-        at = np.frombuffer(offsets, dtype=np.int64)[split.offsets.to_numpy()].tolist()
+            return [b""] * n
+        at = np.frombuffer(offsets, dtype=np.int64)[ends].tolist()
         return [data[a:b].to_pybytes() for a, b in zip(at, at[1:], strict=False)]
 
 
