@@ -1,10 +1,12 @@
 """URL filter: pattern rules indexed by their rarest literal token, in DataFrame functions only.
 
-A rule is a regular expression over a URL's host and path, with the literal tokens (runs of a-z and 0-9) that every match
-holds. The tokens' numbers of URLs are counted over the whole table (as many rows as rules have tokens), and each rule
-is filed under its rarest one. A URL's own tokens fetch the rules filed under them, and only these expressions are run.
+A rule is a regular expression over a URL's host, path and query, with the literal tokens (runs of a-z and 0-9) that every
+match holds. The tokens' numbers of URLs are counted over the whole table (as many rows as rules have tokens), and each rule
+is filed under its rarest one. A URL's own tokens fetch the rules filed under them, and only these expressions are run; a
+rule without tokens is run on every URL.
 Host rules (`host/path`, for a host and its subdomains and for paths with that beginning) are such patterns too; the
-longest one that fits decides. Where none fits, a URL is blocked if a pattern rule matches, otherwise allowed.
+longest one that fits decides. Where none fits, a URL is blocked if a pattern rule matches, otherwise allowed. Pattern rules
+see A-Z lower-cased; host rules see paths as they are.
 
 The filter is row-local: the rules (at most MOST_RULES, a parameter of the job and not of the data) are a constant of the plan.
 
@@ -37,26 +39,43 @@ class Rule:
 
 def host_rule(verdict: str, name: str) -> Rule:
     host, _, path = name.partition("/")
-    pattern = rf"^([^/]*\.)?{re.escape(host)}/{re.escape(path)}"
+    pattern = rf"^([^/?]*\.)?{re.escape(host)}/{re.escape(path)}"
     return Rule(pattern, tuple(re.findall("[a-z0-9]+", f"{host}/{path.rpartition('/')[0]}")), verdict, name)
 
 
-def host_pattern(label: str) -> Rule:
-    """Blocks hosts with this label."""
-    return Rule(rf"^([^/]*\.)?{label}\.", tuple(re.findall("[a-z0-9]+", label)), "block")
+def blocking(pattern: str, literal: str) -> Rule:
+    """A pattern rule whose literal stands between characters that aren't of tokens."""
+    return Rule(pattern.format(re.escape(literal)), tuple(re.findall("[a-z0-9]+", literal)), "block")
 
 
-# The host rules, and labels of hosts that serve no content.
-HOST_RULES = (host_rule("block", "net/"), host_rule("allow", "example.net/en/"), host_rule("block", "example.com/de/"), host_rule("allow", "org/fr/"))
-LABELS = ("casino-win", "ads-track", "spam-farm", "adult-x", "cheap-pills", "free-bets", "porn", "xxx", "casino", "betting", "viagra", "adserver", "doubleclick")
-RULES = (*HOST_RULES, *map(host_pattern, LABELS))
+# Patterns around a literal: a label of the host, a segment of the path, its last segment's suffix, a key of the query.
+LABEL, SEGMENT, SUFFIX, KEY = r"^([^/?]*\.)?{}\.[^/?]", r"^[^/?]*/([^?]*/)?{}([/?]|\z)", r"^[^/?]*/[^?]*\.{}(\?|\z)", r"\?([^#]*&)?{}="
 
 
-def host_and_path(url: Column) -> tuple[Column, Column]:
+# The host rules, and places that serve no content to learn from.
+HOST_RULES = (host_rule("block", "net/"), host_rule("allow", "example.net/en/"), host_rule("block", "example.com/de/"), host_rule("allow", "org/fr/"))
+LABELS = """casino-win ads-track spam-farm adult-x cheap-pills free-bets porn xxx casino betting viagra adserver doubleclick
+ads adservice adclick admanager affiliates bannerads clicktrack popads popunder tracking telemetry pixel escorts
+livecams sexcams hentai poker slots roulette sportsbet lottery payday-loans quick-loans replica-watches cialis pharmacy-online
+essay-writing torrents warez cracks keygen phishing malware linkfarm link-exchange parked-domain domain-for-sale""".split()
+SEGMENTS = """ads adserver ad-click adclick banner-ads sponsored-links affiliate affiliates popunder clicktrack tracking-pixel
+login log-in signin sign-in signup sign-up logout password-reset forgot-password my-account cart checkout wishlist add-to-cart
+wp-admin wp-login.php wp-json wp-content wp-includes xmlrpc.php cgi-bin phpmyadmin administrator admin.php
+captcha unsubscribe print-version trackback share-this send-to-friend online-casino sports-betting payday-loans
+viagra cialis replica-watches porn xxx escorts webcams hentai warez keygen torrents""".split()
+SUFFIXES = """jpg jpeg png gif svg webp ico bmp tiff css js mjs map woff woff2 ttf eot mp3 mp4 avi mov webm ogg wav flac
+zip gz tgz bz2 xz 7z rar iso dmg exe msi apk deb rpm jar bin torrent swf""".split()
+KEYS = """adurl ad_id adid aff_id affid affiliate_id clickid click_id popunder phpsessid jsessionid sessionid session_id
+sid replytocom add-to-cart add_to_cart unsubscribe captcha redirect_to return_to login_redirect""".split()
+RULES = (*HOST_RULES, *(blocking(p, x) for p, literals in ((LABEL, LABELS), (SEGMENT, SEGMENTS), (SUFFIX, SUFFIXES), (KEY, KEYS)) for x in literals))
+
+
+def parts_of(url: Column) -> tuple[Column, Column, Column]:
+    """Host, path, and the query with its question mark."""
     text = F.coalesce(url, F.lit(""))
     rest = F.when(F.instr(text, "://") > 0, F.substr(text, F.instr(text, "://") + 3)).otherwise("")
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
-    return host, F.regexp_extract(rest, "^[^/?#]*(/[^?#]*)", 1)
+    return host, F.regexp_extract(rest, "^[^/?#]*(/[^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
 
 
 def tokens_of(place: Column) -> Column:
@@ -64,28 +83,31 @@ def tokens_of(place: Column) -> Column:
 
 
 def token_index(places: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
-    """The rules by their rarest token in places (place)."""
+    """The rules with tokens by the one that is rarest in places (place)."""
     wanted = sorted({t for r in rules for t in r.tokens})
     counted = places.select(F.explode(F.array_intersect(tokens_of(F.col("place")), F.lit(wanted))).alias("token")).groupBy("token").count()
     counts = {r.token: r["count"] for r in counted.collect()}
     out: dict[str, list[Rule]] = {}
-    for r in rules:
+    for r in (r for r in rules if r.tokens):
         out.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
     return out
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of df: id, host, path, rule, verdict, and whether a pattern rule matched."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    host, path = host_and_path(df[url_col].cast("string"))
-    rows = df.select(df[id_col].cast("long").alias("id"), host.alias("host"), path.alias("path"))
-    index = token_index(rows.select(F.concat("host", "path").alias("place")), rules)
+    if not 0 < len(rules) <= MOST_RULES:
+        raise ValueError(f"no rules, or more than {MOST_RULES}")
+    host, path, query = parts_of(df[url_col].cast("string"))
+    rows = df.select(df[id_col].cast("long").alias("id"), host.alias("host"), path.alias("path"), F.concat(host, path, query).alias("place"))
+    index = token_index(rows.select("place"), rules)
     entry = lambda r: F.struct(F.lit(len(r.name or "")).alias("rank"), F.lit(r.name).cast("string").alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
-    filed = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(entry, rs)))))
-    place = F.concat("host", "path")
-    fetched = F.flatten(F.transform(F.array_intersect(tokens_of(place), F.lit(sorted(index))), lambda t: F.element_at(filed, t)))
-    matched = rows.withColumn("best", F.array_max(F.filter(fetched, lambda r: F.regexp_like(place, r["pattern"]))))
+    place = F.col("place")
+    found = [F.array(*(entry(r) for r in always))] if (always := [r for r in rules if not r.tokens]) else []
+    if index:
+        filed = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(entry, rs)))))
+        found.append(F.flatten(F.transform(F.array_intersect(tokens_of(place), F.lit(sorted(index))), lambda t: F.element_at(filed, t))))
+    seen = lambda r: F.when(r["rule"].isNull(), F.translate(place, UPPER, LOWER)).otherwise(place)
+    matched = rows.withColumn("best", F.array_max(F.filter(F.concat(*found), lambda r: F.regexp_like(seen(r), r["pattern"]))))
     best = F.col("best")
     return matched.select(
         F.col("id").alias(id_col), "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit("allow")).alias("verdict"), (best.isNotNull() & best["rule"].isNull()).alias("by_pattern")
@@ -97,11 +119,11 @@ def filter_sql(rules: tuple[Rule, ...] = RULES) -> str:
     text = lambda x: "'" + x.replace("'", "''") + "'"
     named = sorted((r for r in rules if r.name), key=lambda r: (-len(r.name), r.name))
     case = lambda value: " ".join(f"WHEN regexp_matches(place, {text(r.pattern)}) THEN {text(value(r))}" for r in named)
-    bad = " OR ".join(f"regexp_matches(place, {text(r.pattern)})" for r in rules if not r.name)
+    bad = " OR ".join(f"regexp_matches(lowered, {text(r.pattern)})" for r in rules if not r.name)
     return f"""
     WITH parts AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-    places AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM parts),
-    keyed AS (SELECT *, host || path AS place FROM places),
+    places AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) AS query FROM parts),
+    keyed AS (SELECT *, host || path || query AS place, translate(host || path || query, '{UPPER}', '{LOWER}') AS lowered FROM places),
     ruled AS (SELECT *, CASE {case(lambda r: r.name)} END AS rule, {bad} AS bad FROM keyed)
     SELECT page_id, host, path, rule, CASE {case(lambda r: r.verdict)} WHEN bad THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND bad AS by_pattern FROM ruled
     """

@@ -10,6 +10,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from symdiff.llm import common, html, langid, packing, quality, secrets, sentencepiece, toxicity, trigrams, urls
@@ -208,6 +209,43 @@ def test_quality_base_matches_brute_force(spark, labels):
         assert not (x.base_failed and x.kept)
 
 
+def brute_scores(docs, good):
+    """doc_id -> mean log ratio, and the threshold, by dictionaries instead of arrays of buckets."""
+    signed = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
+    one = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    small = lambda k: k.to_bytes(4, "little")
+    place = lambda h: (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS
+
+    def grams(text):
+        h = [one(w.lower().encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return [place(one(small(1), one(signed(x)))) for x in h] + [place(one(signed(y), one(signed(x)))) for x, y in zip(h, h[1:])]
+
+    found = {i: grams(t) for i, t in docs}
+    half = {i: one(small(8), one(signed(i))) % 2 for i in good}
+    raw, target = collections.Counter(g for x in found.values() for g in x), collections.Counter(g for i in good if not half[i] for g in found[i])
+    of = lambda counts, g: (counts[g] + quality.SMOOTHING) / (sum(counts.values()) + quality.BUCKETS * quality.SMOOTHING)
+    ratio = {g: np.log(of(target, g) / of(raw, g)) for g in raw}
+    score = {i: float(np.mean([ratio[g] for g in x])) if x else 0.0 for i, x in found.items()}
+    return score, float(np.percentile([score[i] for i in good if half[i]], 100 * quality.LOST))
+
+
+@pytest.mark.parametrize("lost", [quality.LOST, 0.2])
+def test_quality_scores_and_verdicts_match_brute_force(spark, monkeypatch, lost):
+    monkeypatch.setattr(quality, "LOST", lost)
+    r = random.Random(9)
+    clean, noisy = [f"Word{k}" for k in range(60)] + ["é"], [f"x{k}" for k in range(60)]
+    docs = [(i, None if i % 50 == 9 else " ".join(r.choice(noisy if r.random() < i % 7 / 7 else clean) for _ in range(r.randint(0, 40)))) for i in range(300)]
+    good = [i for i in range(300) if i % 7 < 3 and i % 2]
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(0, 300)], "doc_id long, quality int")
+    score, threshold = brute_scores(docs, good)
+    got = quality.judge_quality(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()
+    assert len(got) == 300 and {x.kept for x in got} == {True, False}
+    for x in got:
+        assert abs(x.score - score[x.doc_id]) < 1e-9
+        if abs(x.score - threshold) > 1e-9:
+            assert x.kept == (not x.base_failed and x.score > threshold)
+
+
 def test_quality_tells_junk_from_prose(spark):
     r = random.Random(5)
     good, junk = [f"w{k}" for k in range(200)], [f"j{k}%%%" for k in range(200)]
@@ -247,12 +285,46 @@ def test_url_rules(spark):
         "x://casino-win.example.org/en/": ("casino-win.example.org", "/en/", None, "block"),
         "x://a.org?x=net/": ("a.org", "", None, "allow"),
         "": ("", "", None, "allow"),
+        "x://a.org/wp-login.php": ("a.org", "/wp-login.php", None, "block"),
+        "x://a.org/fr/WP-Login.php": ("a.org", "/fr/WP-Login.php", "org/fr/", "allow"),
+        "x://a.org/my-wp-login.php5": ("a.org", "/my-wp-login.php5", None, "allow"),
+        "x://a.org/a/PHOTO.JPG?x#y": ("a.org", "/a/PHOTO.JPG", None, "block"),
+        "x://a.org/jpg/a.html": ("a.org", "/jpg/a.html", None, "allow"),
+        "x://a.org/p?a=1&Aff_ID=7": ("a.org", "/p", None, "block"),
+        "x://a.org?aff_id=7": ("a.org", "", None, "block"),
+        "x://a.org/p?b=aff_id#?aff_id=": ("a.org", "/p", None, "allow"),
+        "x://a.org?.net/": ("a.org", "", None, "allow"),
     }
     df = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df).collect()}
     assert got == dict(enumerate(cases.values()))
 
 
+def test_url_index_matches_all_rules_run_on_all_urls(spark):
+    r = random.Random(11)
+    parts = [*r.sample(urls.LABELS, 8), *r.sample(urls.SEGMENTS, 8), *r.sample(urls.SUFFIXES, 5), *r.sample(urls.KEYS, 8), "org", "net", "com", "example", "en", "de", "fr", "a", "é", "10"]
+    cased = lambda x: x.upper() if r.random() < 0.1 else x
+    some = lambda: "".join(cased(r.choice(parts)) + r.choice("//..??&==-#_") for _ in range(r.randint(0, 7)))
+    cases = [f"http://{some()}" for _ in range(3000)] + ["http://" + "ads/" * 20_000 + "x.jpg", "http://" + "a" * 300_000 + "?sid=1"]
+    rules = (*urls.RULES, urls.Rule(r"[0-9]\.[0-9]", (), "block"))
+    assert 150 < len(rules) < urls.MOST_RULES
+    lowered = str.maketrans(urls.UPPER, urls.LOWER)
+
+    def brute(url):
+        rest = url[7:]
+        host = re.match(r"[^/?#]*", rest)[0]
+        place = host.translate(lowered) + rest[len(host) :].split("#")[0]
+        fits = [x for x in rules if re.search(x.pattern.replace(r"\z", r"\Z"), place if x.name else place.translate(lowered))]
+        named = max((x for x in fits if x.name), key=lambda x: len(x.name), default=None)
+        return (named.name, named.verdict) if named else (None, "block" if fits else "allow")
+
+    got = {x.page_id: (x.rule, x.verdict) for x in urls.filter_urls(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string"), rules=rules).collect()}
+    want = {i: brute(x) for i, x in enumerate(cases)}
+    assert got == want and len(set(want.values())) >= 4
+    only = urls.filter_urls(spark.createDataFrame([(1, "x://a/1.2"), (2, "x://a/")], "page_id long, url string"), rules=rules[-1:])
+    assert {x.page_id: x.verdict for x in only.collect()} == {1: "block", 2: "allow"}
+
+
 PAGE = """<html><head><title>x</title><style>p{}</style></head><body class="post"><header><a href=/>Home</a> Site</header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies to do a lot of things here and there for you all the time, ok?</div><main><h1>Title</h1><p>First &amp; second<br>line. <a href="/x">link</a> more   text.
 <div class="ad">Buy now <a>this</a></div><p>Short.<form><label>Name</label><input></form><aside>Related</aside><section id="comments"><h2>Comments</h2><p>I think this is a great article and it has many many words in it yes.</p></section></main>
