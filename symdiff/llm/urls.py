@@ -17,7 +17,9 @@ empty table; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,10 +84,20 @@ def tokens_of(place: Column) -> Column:
     return F.array_distinct(F.split(F.translate(place, UPPER, LOWER), "[^a-z0-9]+"))
 
 
+def constant_tokens(tokens: Iterable[str]) -> Column:
+    return F.split(F.lit(" ".join(sorted(tokens))), " ")
+
+
+def constant_index(index: dict[str, list[Rule]]) -> Column:
+    """The index as one constant, whose making doesn't slow the planning down."""
+    filed = {t: [{"rank": len(r.name or ""), "rule": r.name, "verdict": r.verdict, "pattern": r.pattern} for r in rs] for t, rs in index.items()}
+    return F.from_json(F.lit(json.dumps(filed)), "map<string, array<struct<rank int, rule string, verdict string, pattern string>>>")
+
+
 def token_index(places: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
     """The rules with tokens by the one that is rarest in places (place)."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    counted = places.select(F.explode(F.array_intersect(tokens_of(F.col("place")), F.lit(wanted))).alias("token")).groupBy("token").count()
+    counted = places.select(F.explode(F.array_intersect(tokens_of(F.col("place")), constant_tokens(wanted))).alias("token")).groupBy("token").count()
     counts = {r.token: r["count"] for r in counted.collect()}
     out: dict[str, list[Rule]] = {}
     for r in (r for r in rules if r.tokens):
@@ -100,14 +112,12 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     host, path, query = parts_of(df[url_col].cast("string"))
     rows = df.select(df[id_col].cast("long").alias("id"), host.alias("host"), path.alias("path"), F.concat(host, path, query).alias("place"))
     index = token_index(rows.select("place"), rules)
-    entry = lambda r: F.struct(F.lit(len(r.name or "")).alias("rank"), F.lit(r.name).cast("string").alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
     place = F.col("place")
-    found = [F.array(*(entry(r) for r in always))] if (always := [r for r in rules if not r.tokens]) else []
-    if index:
-        filed = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(entry, rs)))))
-        found.append(F.flatten(F.transform(F.array_intersect(tokens_of(place), F.lit(sorted(index))), lambda t: F.element_at(filed, t))))
+    filed = constant_index({"": [r for r in rules if not r.tokens], **index})
+    asked = F.concat(F.array(F.lit("")), F.array_intersect(tokens_of(place), constant_tokens(index)))
+    found = F.flatten(F.transform(asked, lambda t: F.element_at(filed, t)))
     seen = lambda r: F.when(r["rule"].isNull(), F.translate(place, UPPER, LOWER)).otherwise(place)
-    matched = rows.withColumn("best", F.array_max(F.filter(F.concat(*found), lambda r: F.regexp_like(seen(r), r["pattern"]))))
+    matched = rows.withColumn("best", F.array_max(F.filter(found, lambda r: F.regexp_like(seen(r), r["pattern"]))))
     best = F.col("best")
     return matched.select(
         F.col("id").alias(id_col), "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit("allow")).alias("verdict"), (best.isNotNull() & best["rule"].isNull()).alias("by_pattern")
