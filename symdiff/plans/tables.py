@@ -24,8 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: what loops go on from. It survives lost executors and carries no plan along."""
+def settled(df: DataFrame, *parts: str) -> DataFrame:
+    """df as a table in the shared folder, with a folder for each value of `parts`: what loops go on from. It survives
+    lost executors and carries no plan along."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
