@@ -63,14 +63,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *parts: str) -> DataFrame:
     """df as a table in the folder named by spark.checkpoint.dir, which all executors share. It cuts the lineage, survives
     lost executors, and later reads take the columns they need.
 
     Unlike a checkpoint's, its plan carries no constraints over from the one that made it; in loops of joins these grow
     until the driver's memory is full.
     """
-    return settled(df)
+    return settled(df, *parts)
 
 
 class Memory:
