@@ -9,6 +9,7 @@ from symdiff.llm.html import extract_text
 from symdiff.llm.langid import identify_language
 from symdiff.llm.lines import LINES_SQL, line_dedup
 from symdiff.llm.minhash import near_dedup
+from symdiff.llm.negatives import NEGATIVES_SQL, mine_hard_negatives
 from symdiff.llm.packing import pack
 from symdiff.llm.pivots import embedding_near_dedup
 from symdiff.llm.quality import judge_quality
@@ -64,10 +65,16 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negative_mining(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_line_dedup(spark, sf_dir):
     kept = line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op7_html_extraction, op8_language_id, op9_sentencepiece, op10_embedding_near_dedup, op13_line_dedup)}
-ORACLES: dict[str, str] = {"op4_url_filters": filter_sql(), "op13_line_dedup": LINES_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op7_html_extraction, op8_language_id, op9_sentencepiece, op10_embedding_near_dedup, op11_hard_negative_mining, op13_line_dedup)}
+ORACLES: dict[str, str] = {"op4_url_filters": filter_sql(), "op11_hard_negative_mining": NEGATIVES_SQL, "op13_line_dedup": LINES_SQL}
