@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from symdiff.llm.alignment import align_documents
 from symdiff.llm.common import table
 from symdiff.llm.html import extract_text
 from symdiff.llm.langid import identify_language
@@ -71,10 +72,14 @@ def op11_hard_negative_mining(spark, sf_dir):
     return mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_tokenizer_alignment(spark, sf_dir):
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_line_dedup(spark, sf_dir):
     kept = line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op7_html_extraction, op8_language_id, op9_sentencepiece, op10_embedding_near_dedup, op11_hard_negative_mining, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_quality_rules, op4_url_filters, op5_toxicity, op6_minhash_near_dedup, op7_html_extraction, op8_language_id, op9_sentencepiece, op10_embedding_near_dedup, op11_hard_negative_mining, op12_tokenizer_alignment, op13_line_dedup)}
 ORACLES: dict[str, str] = {"op4_url_filters": filter_sql(), "op11_hard_negative_mining": NEGATIVES_SQL, "op13_line_dedup": LINES_SQL}
