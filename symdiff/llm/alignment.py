@@ -148,7 +148,8 @@ class Aligner:
         split = [self.stretches(t) if t and SPACE not in t else None for t in texts]
         distinct = dict.fromkeys(x for s in split if s for x in s)
         short = {x for x in distinct if len(x) <= SHORT}
-        self.known.new.update(self.learn(list(self.known.missing(short))))
+        learned = self.learn(list(self.known.missing(short)))
+        self.known.new.update(learned)
         long = self.learn([x for x in distinct if x not in short])
         found, number = [], {}
         for x in distinct:
