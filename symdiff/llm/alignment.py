@@ -42,12 +42,14 @@ STRIPE, BLOCK = 1 << 10, 1 << 6
 #: Slices whose links of one stripe meet its counts together.
 LOT = 64
 #: Stretches that a task remembers, and their length at most.
-CACHE, SHORT = 1 << 17, 48
+CACHE, SHORT = 1 << 19, 48
 #: Characters that are encoded in one call.
 CALL = 1 << 16
 SPACE = "▁"
 #: The space that is cut out stands between two characters that aren't white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Where a space isn't cut out: two white space characters side by side, one of them a space.
+BESIDE = [p for c in map(chr, range(0x3001)) if c.isspace() for p in {c + " ", " " + c}]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,9 +63,10 @@ class Stretches:
     and its links as B id << 32 | A id."""
 
     def __init__(self, found: list[tuple[int, int, int, bytes, bytes]]):
-        self.n = np.array([x[:3] for x in found], dtype=np.int64).reshape(-1, 3)
-        self.texts = [x[3] for x in found]
-        self.links = np.frombuffer(b"".join([x[4] for x in found]), dtype="<u8")
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        self.n = np.array(columns[:3], dtype=np.int64).T
+        self.texts = columns[3]
+        self.links = np.frombuffer(b"".join(columns[4]), dtype="<u8")
         self.starts = np.concatenate([[0], np.cumsum(self.n[:, 2])])
 
 
@@ -88,17 +91,22 @@ class Aligner:
         self.a_texts, self.b_texts = ([np.array([f"{i}{end}" for i in range(len(sizes))], dtype=object) for end in ends] for sizes, ends in ((self.a_sizes, ",|"), (self.b_sizes, ",;")))
         self.known = Memory(CACHE)
 
-    def stretches(self, text: str) -> list[str]:
-        """What stands between sure cuts; each stretch has a space before it that isn't part of it."""
-        return CUT.split(text) if self.cuts else [text]
+    def stretches(self, text: str, beside: list[str] = BESIDE) -> list[str]:
+        """What stands between sure cuts; each stretch has a space before it that isn't part of it. beside: what of BESIDE
+        the text may hold."""
+        if not self.cuts:
+            return [text]
+        if text[0] == " " or text[-1] == " " or any(p in text for p in beside):
+            return CUT.split(text)
+        return text.split(" ")
 
     def encode(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]] | None:
         """(ids of A, ids of B, the end of each stretch in bytes) of stretches in a row; None if the bytes aren't theirs."""
         whole = " " + " ".join(some)
         data = whole.encode()
-        a = self.a.encode(whole, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
         b = self.b.encode(whole[1:], num_threads=1)
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.cumsum([len(x.encode()) + 1 for x in some]).tolist()
 
@@ -145,18 +153,19 @@ class Aligner:
 
     def slice(self, texts: list[str]) -> tuple[list[np.ndarray | None], Stretches]:
         """Each text as the numbers of its stretches, None if it has no tokens."""
-        split = [self.stretches(t) if t and SPACE not in t else None for t in texts]
-        distinct = dict.fromkeys(x for s in split if s for x in s)
+        whole = "\n".join(texts)
+        beside = [p for p in BESIDE if p in whole]
+        split = [self.stretches(t, beside) if t and SPACE not in t else None for t in texts]
+        distinct = set().union(*filter(None, split))
         short = {x for x in distinct if len(x) <= SHORT}
         learned = self.learn(list(self.known.missing(short)))
         self.known.new.update(learned)
-        long = self.learn([x for x in distinct if x not in short])
-        found, number = [], {}
-        for x in distinct:
-            got = self.known.new[x] if x in short else long[x]
-            number[x] = len(found) if got else -1
-            if got:
-                found.append(got)
+        names = [*short, *(long := self.learn(list(distinct - short)))]
+        found = [*map(self.known.new.__getitem__, short), *long.values()]
+        number = dict(zip(names, range(len(names)), strict=True))
+        if None in found:
+            number.update((x, -1) for x, got in zip(names, found, strict=True) if got is None)
+            found = [got or (0, 0, 0, b"", b"") for got in found]
         numbers = [np.fromiter(map(number.__getitem__, s), dtype=np.int64, count=len(s)) if s else None for s in split]
         return [None if n is None or (n < 0).any() else n for n in numbers], Stretches(found)
 
