@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symdiff.functions import field, hashing, json
 from symdiff.functions.unsigned import as_decimal, wrapping
-from symdiff.operators import analytics, filesync, fingerprint, gossip, iblt, multiparty, protocol, sets, strata, strings
+from symdiff.operators import analytics, filesync, fingerprint, gossip, iblt, multiparty, peeling, protocol, sets, strata, strings
 from symdiff.plans.reconcile import reconcile, reconcile_directories
 from symdiff.plans.tables import settled, table
 
@@ -357,7 +357,7 @@ def party_counts(spark, sf_dir):
 @query(f"SELECT key, count(*) AS n, string_agg(party, ',' ORDER BY party) AS parties FROM ({MEMBERS_SQL}) GROUP BY key HAVING count(*) < {PARTIES}")
 def partial_parties(spark, sf_dir):
     lists = sets.partial_parties(memberships(spark, sf_dir), PARTIES)
-    return lists.select("key", F.size("parties").cast("long").alias("n"), F.array_join(F.transform("parties", lambda p: p.cast("string")), ",").alias("parties"))
+    return lists.select("key", F.size("parties").cast("long").alias("n"), said("parties").alias("parties"))
 
 
 @query(MEMBERS_SQL)
@@ -457,6 +457,38 @@ def multi_decode(spark, sf_dir):
         cells *= 2
 
 
+@query(ORACLES["multi_decode"])
+def multi_decode_rounds(spark, sf_dir):
+    """The same by rounds over the cluster, through a table sized by an estimate."""
+    found = peeling.reconcile(memberships(spark, sf_dir), PARTIES)
+    return found.select("key", F.col("coefficient").alias("parties"))
+
+
+def said(parties: str) -> Column:
+    return F.array_join(F.transform(parties, lambda p: p.cast("string")), ",")
+
+
+@query(ORACLES["partial_parties"])
+def multi_decode_holders(spark, sf_dir):
+    """Who has the keys, from the tables' party bits."""
+    found = peeling.reconcile(memberships(spark, sf_dir), PARTIES, holders=True)
+    return found.select("key", F.col("coefficient").alias("n"), said("parties").alias("parties"))
+
+
+#: Three overlapping collections of texts.
+COLLECTIONS = ("n_chars < 3000", "n_chars > 700", "doc_id % 4 <> 0")
+COLLECTED_SQL = " UNION ".join(f"SELECT {k} AS party, sha1(text) AS key FROM documents WHERE text IS NOT NULL AND {x}" for k, x in enumerate(COLLECTIONS))
+
+
+@query(f"SELECT key, count(*) AS n, string_agg(party, ',' ORDER BY party) AS parties FROM ({COLLECTED_SQL}) GROUP BY key HAVING count(*) < 3")
+def multi_decode_strings(spark, sf_dir):
+    """The texts that some but not all of three collections have, by tables of 20-byte digests."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "n_chars", F.unhex(F.sha1(F.encode("text", "utf-8"))).alias("key"))
+    has = F.filter(F.array(*(F.when(F.expr(x), F.lit(k)) for k, x in enumerate(COLLECTIONS))), lambda p: p.isNotNull())
+    found = peeling.reconcile(docs.select("key", F.explode(has).alias("party")), 3, 160, holders=True)
+    return found.select(F.lower(F.hex("key")).alias("key"), F.col("coefficient").alias("n"), said("parties").alias("parties"))
+
+
 @query(
     f"""WITH p AS (SELECT 1::BIGINT << party AS bit, {", ".join(f"({portable_sql('key', i + 1)} % {MULTI.per_sub})::INT AS c{i}" for i in range(MULTI.k))} FROM ({MEMBERS_SQL})),
     r AS ({" UNION ALL ".join(f"SELECT {i} AS sub, c{i} AS cell, bit FROM p" for i in range(MULTI.k))}) SELECT sub, cell, bit_xor(bit) AS party_bits FROM r GROUP BY ALL"""
