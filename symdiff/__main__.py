@@ -50,9 +50,9 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
 def costs(files: DataFrame) -> DataFrame:
     """The protocol's bits for each of files (doc_id, old, new, block, overlap), and whether the receiver got it right."""
     files = settled(files)
-    found, spent = protocol.differences(settled(protocol.signed_keys(files)))
-    said = settled(protocol.round2(files, found))
-    return protocol.totals(files, said, spent).join(protocol.rebuilt(files, said).select("doc_id", "ok"), "doc_id")
+    told = settled(protocol.exchanged(files, octets=True))
+    said = protocol.received(protocol.encoded(told))
+    return protocol.totals(files, told).join(protocol.rebuilt(files, said).select("doc_id", "ok"), "doc_id")
 
 
 def synchronised(spark: SparkSession, old: str, new: str, average: int | None) -> DataFrame:

@@ -7,26 +7,24 @@
    Round 2 says of each of its blocks whether the receiver has it, where in an order that both know, or its bytes.
 4. The receiver replays round 2 over its own version and compares the hash of the whole.
 
-Sketches of all files are built by one aggregation each; what belongs to a single file is worked on in one row, as its
-text is. Null and missing versions are empty files.
+A file's two versions meet in one row. The sketches of a lot of files (LOT_FILES, LOT_BYTES) are filled, subtracted and
+peeled together in whole columns, in the pass that has their texts in hand; nothing is shuffled for them. Null and missing versions are empty files.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import md5, sha1
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.functions.hashing import SEEDS, murmur64a
-from symdiff.functions.unsigned import modulo, wrapping
-from symdiff.operators import fingerprint, iblt, strata
+from symdiff.functions.hashing import SEEDS, murmur64a_numpy
+from symdiff.operators import codec, fingerprint, iblt, strata
 from symdiff.operators.filesync import block_size, compressed, overlap_of
-from symdiff.plans.tables import settled
 
 # Cells of a table for each key that is thought to differ, and its number of hashes.
 CELLS_PER_KEY, HASHES = 2, 4
@@ -94,105 +92,208 @@ def signed_keys(files: DataFrame) -> DataFrame:
     return files.mapInArrow(work, "doc_id long, key long, sign long")
 
 
-def strata_cells(signed: DataFrame) -> DataFrame:
-    """The difference of both sides' estimators, of all files."""
-    return iblt.build(strata.assigned(signed), strata.STRATUM, "doc_id", "stratum")
+class Tables:
+    """Many small lookup tables side by side, which are filled, subtracted and peeled together."""
+
+    def __init__(self, per_sub: np.ndarray):
+        self.per_sub = per_sub.astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.per_sub * HASHES)])
+        self.keys, self.checks, self.counts = (np.zeros(self.base[-1], dtype=t) for t in (np.uint64, np.uint64, np.int64))
+
+    def add(self, table: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> Tables:
+        checks, per_sub = murmur64a_numpy(keys, SEEDS[0]), self.per_sub[table]
+        for i in range(HASHES):
+            at = self.base[table] + i * per_sub + (murmur64a_numpy(keys, SEEDS[i + 1]) % per_sub.astype(np.uint64)).astype(np.int64)
+            np.bitwise_xor.at(self.keys, at, keys)
+            np.bitwise_xor.at(self.checks, at, checks)
+            np.add.at(self.counts, at, signs)
+        return self
+
+    def filled(self) -> np.ndarray:
+        return (self.keys != 0) | (self.checks != 0) | (self.counts != 0)
+
+    def packed(self, some: list[int]) -> list[bytes]:
+        """Each table as octets."""
+        at, out = np.flatnonzero(self.filled()), []
+        for t in some:
+            own = at[slice(*np.searchsorted(at, self.base[t : t + 2]))]
+            out.append(codec.pack_cells(own - self.base[t], self.keys[own], self.checks[own], self.counts[own]))
+        return out
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tables, keys, signs) of what they hold, and of each table whether nothing is left."""
+        found: set[tuple[int, int]] = set()
+        parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+        while True:
+            hit = np.flatnonzero(np.abs(self.counts) == 1)
+            hit = hit[murmur64a_numpy(self.keys[hit], SEEDS[0]) == self.checks[hit]]
+            table, keys, signs = np.searchsorted(self.base, hit, "right") - 1, self.keys[hit], self.counts[hit]
+            order = np.lexsort((keys, table))
+            table, keys, signs = table[order], keys[order], signs[order]
+            first = np.concatenate([[True], (np.diff(table) != 0) | (keys[1:] != keys[:-1])])[: len(keys)]
+            fresh = np.array([x not in found for x in zip(table[first].tolist(), keys[first].tolist(), strict=True)], dtype=bool)
+            new = table[first][fresh], keys[first][fresh], signs[first][fresh]
+            if not len(new[0]):  # also ends the rounds if a false checksum match came back
+                break
+            found.update(zip(new[0].tolist(), new[1].tolist(), strict=True))
+            parts.append(new)
+            self.add(new[0], new[1], -new[2])
+        left = np.add.reduceat(np.append(self.filled(), False), self.base[:-1]) if len(self.per_sub) else np.zeros(0)
+        return *(np.concatenate(x) for x in zip(*parts, strict=True)), left == 0
+
+
+def strata_of(file: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(table, key): the estimators' tables of keys, 64 a file, and what goes into them."""
+    hashed = murmur64a_numpy(keys, 0)
+    low = hashed & (~hashed + np.uint64(1))
+    level = np.where(hashed == 0, strata.STRATA - 1, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64))
+    return file * strata.STRATA + np.minimum(level, strata.STRATA - 1), hashed
+
+
+def estimates(n: int, table: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Of each of n files, from the tables of the keys that its strata gave; the highest stratum that fails scales what was
+    decoded above it."""
+    counts = np.bincount(table, minlength=n * strata.STRATA).reshape(n, -1)
+    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # in this stratum and higher ones
+    bad = ~ok.reshape(n, -1)
+    top = strata.STRATA - 1 - np.argmax(bad[:, ::-1], axis=1)
+    higher = np.append(above, np.zeros((n, 1), dtype=np.int64), axis=1)[np.arange(n), top + 1]
+    return np.where(bad.any(axis=1), np.maximum(1, higher) << np.minimum(top + 1, 40), above[:, 0])
+
+
+class Exchange:
+    """What the two sides of a lot of files tell each other: `estimate`, `cells`, `mine` and `theirs` (keys that only the
+    sender or the receiver has), and the octets of the sender's sketches."""
+
+    def __init__(self, sides: list[tuple[list[int], list[int]]], factor: float, octets: bool):
+        n = len(sides)
+        file = np.repeat(np.arange(n), [len(a) + len(b) for a, b in sides])
+        keys = np.array([k for a, b in sides for k in (*a, *b)], dtype=np.uint64)
+        signs = np.array([s for a, b in sides for s in (*[1] * len(a), *[-1] * len(b))], dtype=np.int64)
+        self.octets = [{"strata_octets": 0, "strata_compressed": 0, "table_octets": 0, "table_compressed": 0} for _ in sides]
+        levels, hashed = strata_of(file, keys)
+        if octets:
+            own = signs > 0
+            estimators = Tables(np.full(n * strata.STRATA, strata.STRATUM.per_sub)).add(levels[own], hashed[own], signs[own])
+            estimators.base = estimators.base[:: strata.STRATA]  # a file's strata follow one another
+            self.spend("strata", range(n), estimators.packed(list(range(n))))
+        table, _, _, ok = Tables(np.full(n * strata.STRATA, strata.STRATUM.per_sub)).add(levels, hashed, signs).peel()
+        self.estimate = estimates(n, table, ok)
+        wanted = np.maximum(np.ceil(self.estimate * factor), LEAST_CELLS if factor >= 1 else HASHES)
+        per_sub = np.ceil(wanted / HASHES).astype(np.int64)
+        self.cells, self.mine, self.theirs = np.zeros(n, dtype=np.int64), [[] for _ in sides], [[] for _ in sides]
+        open_ = np.flatnonzero(self.estimate > 0)
+        while len(open_):
+            self.cells[open_] += HASHES * per_sub[open_]
+            number = np.full(n, -1)
+            number[open_] = np.arange(len(open_))
+            own = number[file] >= 0
+            if octets:
+                sent = own & (signs > 0)
+                self.spend("table", open_, Tables(per_sub[open_]).add(number[file[sent]], keys[sent], signs[sent]).packed(list(range(len(open_)))))
+            table, got, sign, ok = Tables(per_sub[open_]).add(number[file[own]], keys[own], signs[own]).peel()
+            for t, k, s in zip(table.tolist(), got.view(np.int64).tolist(), sign.tolist(), strict=True):
+                if ok[t]:
+                    (self.mine if s > 0 else self.theirs)[open_[t]].append(k)
+            open_ = open_[~ok]
+            per_sub[open_] *= 2
+
+    def spend(self, what: str, files, messages: list[bytes]) -> None:
+        for i, x in zip(files, messages, strict=True):
+            self.octets[i][f"{what}_octets"] += len(x)
+            self.octets[i][f"{what}_compressed"] += len(zlib.compress(x, 9))
+
+
+def round2_of(data: bytes, found: list[Block], mine: set[int], theirs: set[int]) -> dict:
+    """What the sender says of a file.
 
+    hash_exists: of the receiver's keys in their order, whether the sender has them. chunk_exists: of the sender's blocks,
+    whether the receiver has them. existing_chunk_encoding: such a block's place among the receiver's keys, or, if the block
+    before it exists too, among the shared keys whose blocks begin with the same bytes. new_chunk_info: the other blocks.
+    """
+    first = first_of_each(found)
+    shared = [k for k in first if k not in mine]
+    place = {k: i for i, k in enumerate(sorted([*shared, *theirs]))}
+    group, near = {}, {}
+    for k in shared:
+        near[k] = group.setdefault(first[k][3], 0)
+        group[first[k][3]] += 1
+    new, known, before = [], [], False
+    for start, length, key, *_ in found:
+        exists = key not in mine
+        if exists:
+            known.append(near[key] if before else place[key])
+        else:
+            new.append(data[start : start + length])
+        before = exists
+    return {"chunk_exists": [b[2] not in mine for b in found], "hash_exists": [k not in theirs for k in place], "new_chunk_info": new, "existing_chunk_encoding": known, "sha1": sha1(data).digest()}
 
-def estimates(cells: DataFrame) -> DataFrame:
-    """(doc_id, estimate) of the files that differ; a file's estimator is at most 64 small tables."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        total = 0
-        for stratum in sorted(rows["stratum"].unique(), reverse=True):
-            found, ok = iblt.peeled(*(rows.loc[rows["stratum"] == stratum, c].to_numpy() for c in ("sub", "cell", *iblt.SUMS)), strata.STRATUM)
-            if not ok:
-                total = max(1, total) << (int(stratum) + 1)
-                break
-            total += len(found)
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "estimate": [total]})
+KEYS = [(c, pa.int64()) for c in ("doc_id", "estimate", "cells", "strata_octets", "strata_compressed", "table_octets", "table_compressed")]
+SIDES = [("mine", pa.list_(pa.int64())), ("theirs", pa.list_(pa.int64()))]
+SAID = [("chunk_exists", pa.list_(pa.bool_())), ("hash_exists", pa.list_(pa.bool_())), ("new_chunk_info", pa.list_(pa.binary())), ("existing_chunk_encoding", pa.list_(pa.int64())), ("sha1", pa.binary())]
+ROUND2 = "chunk_exists array<boolean>, hash_exists array<boolean>, new_chunk_info array<binary>, existing_chunk_encoding array<long>, sha1 binary"
+#: Files, and bytes of them, whose sketches are worked on together.
+LOT_FILES, LOT_BYTES = 256, 8 << 20
+
 
-    return cells.groupBy("doc_id").applyInPandas(work, "doc_id long, estimate long")
+def exchanged(files: DataFrame, factor: float = CELLS_PER_KEY, octets: bool = False) -> DataFrame:
+    """A row for each file (doc_id, old, new, block, overlap), in one pass: what the sketches gave (estimate, cells, mine, theirs), if
+    asked for the octets of the sender's estimators and tables as sent and compressed, and round 2 as ROUND2."""
 
+    def lot(rows: list[dict]) -> pa.RecordBatch:
+        found = [[blocks(r[c], r["block"], r["overlap"]) for c in ("new", "old")] for r in rows]
+        said = Exchange([tuple(list(first_of_each(x)) for x in both) for both in found], factor, octets)
+        out = []
+        for i, (r, (new, _)) in enumerate(zip(rows, found, strict=True)):
+            sides = {"mine": said.mine[i], "theirs": said.theirs[i]}
+            out.append({"doc_id": r["doc_id"], "estimate": int(said.estimate[i]), "cells": int(said.cells[i]), **said.octets[i], **sides, **round2_of(r["new"], new, set(said.mine[i]), set(said.theirs[i]))})
+        return pa.RecordBatch.from_pylist(out, schema=pa.schema([*KEYS, *SIDES, *SAID]))
 
-def difference_cells(signed: DataFrame, sized: DataFrame) -> DataFrame:
-    """The difference of both sides' tables; sized: (doc_id, per_sub), cells in each sub-table of a file's table."""
-    with wrapping(signed.sparkSession):
-        key = F.col("key")
-        at = F.array(*(F.struct(F.lit(i).alias("sub"), modulo(murmur64a(key, SEEDS[i + 1]), F.col("per_sub")).cast("int").alias("cell")) for i in range(HASHES)))
-        rows = signed.join(sized, "doc_id").select("doc_id", "per_sub", key.alias("key_sum"), murmur64a(key, SEEDS[0]).alias("hash_sum"), F.col("sign").alias("cnt"), F.explode(at).alias("at"))
-        return iblt.summed(rows.select("doc_id", "per_sub", "at.sub", "at.cell", *iblt.SUMS), "doc_id", "per_sub")
+    def work(batches):
+        rows, size = [], 0
+        for r in rows_of(batches):
+            rows.append(r)
+            size += len(r["old"]) + len(r["new"])
+            if len(rows) == LOT_FILES or size > LOT_BYTES:
+                yield lot(rows)
+                rows, size = [], 0
+        if rows:
+            yield lot(rows)
 
+    return files.mapInArrow(work, f"{', '.join(f'{c} long' for c, _ in KEYS)}, mine array<long>, theirs array<long>, {ROUND2}")
 
-def decoded(cells: DataFrame) -> DataFrame:
-    """(doc_id, key, sign, ok); a file that gave no key still gives a row, with a null key."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        found, ok = iblt.peeled(*(rows[c].to_numpy() for c in ("sub", "cell", *iblt.SUMS)), iblt.Spec(int(rows["per_sub"].iloc[0]) * HASHES, HASHES))
-        keys = np.array(list(found), dtype=np.uint64).view(np.int64).tolist() or [None]
-        out = pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "key": pd.array(keys, dtype="Int64"), "sign": pd.array(list(found.values()) or [None], dtype="Int64")})
-        return out.assign(ok=ok)
+def differences(told: DataFrame) -> DataFrame:
+    """(doc_id, side, key) of what exchanged() gave: A for keys of the new version alone, B for keys of the old one."""
+    side = lambda c, s: F.transform(c, lambda k: F.struct(F.lit(s).alias("side"), k.alias("key")))
+    return told.select("doc_id", F.explode(F.concat(side("mine", "A"), side("theirs", "B"))).alias("x")).select("doc_id", "x.*")
 
-    return cells.groupBy("doc_id").applyInPandas(work, "doc_id long, key long, sign long, ok boolean")
 
+def round2(told: DataFrame) -> DataFrame:
+    return told.select("doc_id", *(c for c, _ in SAID))
 
-def differences(signed: DataFrame, factor: float = CELLS_PER_KEY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, side, key): A for keys of the new version alone, B for keys of the old one; (doc_id, estimate, cells): what it took."""
-    estimate = settled(estimates(strata_cells(signed)))
-    cells = F.greatest(F.ceil(F.col("estimate") * factor), F.lit(LEAST_CELLS if factor >= 1 else HASHES))
-    sized = settled(estimate.select("doc_id", "estimate", F.ceil(cells / HASHES).cast("long").alias("per_sub")))
-    spent, found = sized, None
-    while True:
-        rows = settled(decoded(difference_cells(signed, sized.select("doc_id", "per_sub"))))
-        good = rows.where("ok and key is not null").select("doc_id", F.when(F.col("sign") > 0, "A").otherwise("B").alias("side"), "key")
-        found = good if found is None else found.unionByName(good)
-        failed = rows.where("not ok").select("doc_id").distinct()
-        if failed.isEmpty():
-            return found, spent.groupBy("doc_id").agg(F.max("estimate").alias("estimate"), (F.sum("per_sub") * HASHES).alias("cells"))
-        sized = settled(sized.join(failed, "doc_id").withColumn("per_sub", F.col("per_sub") * 2))
-        spent = spent.unionByName(sized)
 
+def encoded(said: DataFrame) -> DataFrame:
+    """(doc_id, octets): round 2 as it is sent."""
 
-ROUND2 = "doc_id long, chunk_exists array<boolean>, hash_exists array<boolean>, new_chunk_info array<binary>, existing_chunk_encoding array<long>, sha1 binary"
+    def work(batches):
+        for batch in batches:
+            octets = [codec.pack_round2(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(octets, pa.binary())], ["doc_id", "octets"])
 
+    return said.select("doc_id", *(c for c, _ in SAID)).mapInArrow(work, "doc_id long, octets binary")
 
-def round2(files: DataFrame, found: DataFrame) -> DataFrame:
-    """What the sender says of each file, as ROUND2.
 
-    hash_exists: of the receiver's keys in their order, whether the sender has them. chunk_exists: of the sender's blocks,
-    whether the receiver has them. existing_chunk_encoding: such a block's place among the receiver's keys, or, if the block
-    before it exists too, among the shared keys whose blocks begin with the same bytes. new_chunk_info: the other blocks.
-    """
-    sides = found.groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("side") == s, F.col("key"))).alias(s.lower()) for s in "AB"))
-    rows = files.select("doc_id", "new", "block", "overlap").join(sides, "doc_id", "left")
+def received(messages: DataFrame) -> DataFrame:
+    """Round 2 from what encoded() gave."""
 
     def work(batches):
-        for r in rows_of(batches):
-            data, found = r["new"], blocks(r["new"], r["block"], r["overlap"])
-            first, mine, theirs = first_of_each(found), set(r["a"] or ()), set(r["b"] or ())
-            shared = [k for k in first if k not in mine]
-            place = {k: i for i, k in enumerate(sorted([*shared, *theirs]))}
-            group, near = {}, {}
-            for k in shared:
-                near[k] = group.setdefault(first[k][3], 0)
-                group[first[k][3]] += 1
-            new, known, before = [], [], False
-            for start, length, key, *_ in found:
-                exists = key not in mine
-                if exists:
-                    known.append(near[key] if before else place[key])
-                else:
-                    new.append(data[start : start + length])
-                before = exists
-            out = {"doc_id": r["doc_id"], "chunk_exists": [b[2] not in mine for b in found], "hash_exists": [k not in theirs for k in place], "new_chunk_info": new, "existing_chunk_encoding": known, "sha1": sha1(data).digest()}
-            yield pa.RecordBatch.from_pylist([out], schema=WIRE)
-
-    return rows.mapInArrow(work, ROUND2)
-
-
-WIRE = pa.schema(
-    [("doc_id", pa.int64()), ("chunk_exists", pa.list_(pa.bool_())), ("hash_exists", pa.list_(pa.bool_())), ("new_chunk_info", pa.list_(pa.binary())), ("existing_chunk_encoding", pa.list_(pa.int64())), ("sha1", pa.binary())]
-)
+        for batch in batches:
+            rows = [{"doc_id": i, **codec.unpack_round2(x)} for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([KEYS[0], *SAID]))
+
+    return messages.select("doc_id", "octets").mapInArrow(work, f"doc_id long, {ROUND2}")
 
 
 def replayed(old: bytes, average: int, overlap: int, said: dict) -> bytes:
@@ -233,11 +334,13 @@ def round2_bits() -> Column:
     return (F.size("chunk_exists") + F.size("hash_exists") + 8 * sent + 32 * F.size("existing_chunk_encoding")).cast("long")
 
 
-def totals(files: DataFrame, said: DataFrame, spent: DataFrame) -> DataFrame:
-    """(doc_id, strata_bits, table_bits, round2_bits, old_compressed, new_compressed): bits that are sent, against bytes of whole files."""
-    table = (F.coalesce("cells", F.lit(0)) * iblt.Spec(HASHES, HASHES).size_in_bits() / HASHES).cast("long")
+def totals(files: DataFrame, told: DataFrame) -> DataFrame:
+    """What is sent for each file, against whole files by zlib: strata_, table_ and round2_octets and as many compressed, and the
+    same in bits of information (strata_bits, table_bits, round2_bits). told: what exchanged() gave with octets."""
     size = lambda c: F.octet_length(compressed(F.col(c))).cast("long")
     whole = files.select("doc_id", size("old").alias("old_compressed"), size("new").alias("new_compressed"))
-    told = said.select("doc_id", round2_bits().alias("round2_bits")).join(spent, "doc_id", "left")
-    told = told.select("doc_id", F.lit(strata.size_in_bits()).cast("long").alias("strata_bits"), table.alias("table_bits"), "round2_bits")
-    return told.join(whole, "doc_id")
+    second = encoded(told).select("doc_id", F.octet_length("octets").cast("long").alias("round2_octets"), size("octets").alias("round2_compressed"))
+    table = (F.col("cells") * iblt.Spec(HASHES, HASHES).size_in_bits() / HASHES).cast("long")
+    bits = F.lit(strata.size_in_bits()).cast("long").alias("strata_bits"), table.alias("table_bits"), round2_bits().alias("round2_bits")
+    first = told.select("doc_id", "strata_octets", "strata_compressed", "table_octets", "table_compressed", *bits)
+    return first.join(second, "doc_id").join(whole, "doc_id")

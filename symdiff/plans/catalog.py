@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symdiff.functions import field, hashing, json
 from symdiff.functions.unsigned import as_decimal, wrapping
-from symdiff.operators import analytics, filesync, fingerprint, gossip, iblt, multiparty, peeling, protocol, sets, strata, strings
+from symdiff.operators import analytics, codec, filesync, fingerprint, gossip, iblt, multiparty, peeling, protocol, sets, strata, strings
 from symdiff.plans.reconcile import reconcile, reconcile_directories
 from symdiff.plans.tables import settled, table
 
@@ -146,6 +146,12 @@ def iblt_wire_roundtrip(spark, sf_dir):
     return iblt.from_wire(iblt.to_wire(cells, "one"), "one").drop("one")
 
 
+@query(SUBTRACTED_SQL)
+def iblt_codec_roundtrip(spark, sf_dir):
+    """Cells, with counts of both signs, after they were packed into octets and read again."""
+    return codec.unpacked(codec.packed(iblt.difference_table(*two_sets(spark, sf_dir), PORTABLE), PORTABLE), PORTABLE)
+
+
 @query(cells_sql(f"SELECT key, 1 AS sign FROM ({ORDERS_SQL}) UNION ALL SELECT key, -1 FROM ({LINES_SQL})", PORTABLE))
 def iblt_remove_keys(spark, sf_dir):
     """Keys inserted and removed one by one: the signs add up in the cells."""
@@ -189,6 +195,22 @@ def strata_wire_roundtrip(spark, sf_dir):
     return cells.where("sub = 0").groupBy("stratum").agg(F.sum("cnt").alias("n")).where("n > 0")
 
 
+STRATA_SEEDS = range(strata.STRATUM.k + 1)
+STRATA_CELLS_SQL = f"""
+WITH k AS (SELECT h AS key, least({NTZ_SQL}, {strata.STRATA - 1}) AS stratum FROM {HASHED_KEYS_SQL}),
+{", ".join(f"m{i} AS (SELECT * FROM {murmur_sql('SELECT key FROM k', hashing.SEEDS[i])})" for i in STRATA_SEEDS)},
+r AS ({" UNION ALL ".join(f"SELECT stratum, {i - 1} AS sub, (m{i}.h % {strata.STRATUM.per_sub})::INT AS cell, k.key, m0.h AS chk FROM k JOIN m0 USING (key) JOIN m{i} USING (key)" for i in STRATA_SEEDS[1:])})
+SELECT stratum, sub, cell, bit_xor(key)::DECIMAL(20,0) AS key_sum, bit_xor(chk)::DECIMAL(20,0) AS hash_sum, count(*) AS cnt FROM r GROUP BY ALL
+"""
+
+
+@query(STRATA_CELLS_SQL)
+def strata_codec_roundtrip(spark, sf_dir):
+    """All cells of an estimator, after it was packed into octets and read again."""
+    cells = codec.unpacked(codec.packed(strata.build(customers(spark, sf_dir, URGENT)), strata.STRATUM, strata=True), strata.STRATUM, strata=True)
+    return cells.select("stratum", "sub", "cell", as_decimal(F.col("key_sum")).alias("key_sum"), as_decimal(F.col("hash_sum")).alias("hash_sum"), "cnt")
+
+
 @query(f"SELECT count(*) AS n FROM ({BOTH_SQL})")
 def theta_difference(spark, sf_dir):
     """By theta sketches, which are exact for sets of this size."""
@@ -695,10 +717,10 @@ def named_blocks_sql(source: str = "documents") -> str:
     SELECT doc_id, block_no, start, len, ('0x' || substr(md5(covered || ':' || len), 1, 15))::BIGINT AS key, substr(covered, 1, 2 * overlap) AS head, block FROM c)"""
 
 
-def synchronised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, differences, what decoding took) of the two versions."""
+def synchronised(spark: SparkSession, sf_dir: str, octets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, what both sides tell each other) of the two versions."""
     files = settled(protocol.paired(*versions(spark, sf_dir)))
-    return files, *protocol.differences(settled(protocol.signed_keys(files)))
+    return files, settled(protocol.exchanged(files, octets=octets))
 
 
 @query(
@@ -707,7 +729,7 @@ def synchronised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 )
 def file_sync_decode(spark, sf_dir):
     """Each file's different keys, by estimators and tables of all files."""
-    return synchronised(spark, sf_dir)[1].select("doc_id", "side", "key")
+    return protocol.differences(synchronised(spark, sf_dir)[1])
 
 
 ROUND2_SQL = f"""
@@ -727,10 +749,10 @@ FROM {EDITED_SQL} e LEFT JOIN said ON e.doc_id = said.doc_id LEFT JOIN heard ON
 
 @query(ROUND2_SQL)
 def file_sync_round2(spark, sf_dir):
-    """What the sender says of each file, as text."""
+    """What the sender says of each file, after it was encoded and decoded, as text."""
     bits = lambda c: F.array_join(F.transform(c, lambda x: F.when(x, "1").otherwise("0")), "")
-    files, found, _ = synchronised(spark, sf_dir)
-    return protocol.round2(files, found).select(
+    _, told = synchronised(spark, sf_dir)
+    return protocol.received(protocol.encoded(told)).select(
         "doc_id", bits("chunk_exists").alias("chunk_exists"), bits("hash_exists").alias("hash_exists"), F.array_join(F.transform("existing_chunk_encoding", lambda x: x.cast("string")), ",").alias("existing"),
         F.md5(F.encode(F.array_join(F.transform("new_chunk_info", lambda x: F.hex(x)), ""), "utf-8")).alias("new_md5"), F.lower(F.hex("sha1")).alias("sha1"),
     )
@@ -739,8 +761,8 @@ def file_sync_round2(spark, sf_dir):
 @query(f"SELECT doc_id, sha1(text) AS sha1, true AS ok FROM {EDITED_SQL}")
 def file_sync_rebuilt(spark, sf_dir):
     """Each file's new version, as the receiver puts it together."""
-    files, found, _ = synchronised(spark, sf_dir)
-    return protocol.rebuilt(files, protocol.round2(files, found)).select("doc_id", F.sha1("content").alias("sha1"), "ok")
+    files, told = synchronised(spark, sf_dir)
+    return protocol.rebuilt(files, protocol.received(protocol.encoded(told))).select("doc_id", F.sha1("content").alias("sha1"), "ok")
 
 
 @query(
@@ -748,15 +770,51 @@ def file_sync_rebuilt(spark, sf_dir):
     FROM ({ROUND2_SQL.replace("md5(coalesce(new, '')) AS new_md5", "length(coalesce(new, '')) // 2 AS new_bytes")})"""
 )
 def file_sync_round2_bits(spark, sf_dir):
-    files, found, _ = synchronised(spark, sf_dir)
-    return protocol.round2(files, found).select("doc_id", protocol.round2_bits().alias("round2_bits"))
+    return synchronised(spark, sf_dir)[1].select("doc_id", protocol.round2_bits().alias("round2_bits"))
+
+
+def varint_sql(x: str) -> str:
+    """The octets that a number from 0 takes."""
+    return "(1 + " + " + ".join(f"(({x}) >= {1 << 7 * k})::INT" for k in range(1, 9)) + ")"
+
+
+def framed_sql(*octets: str) -> str:
+    """The octets of parts, each behind its length."""
+    return " + ".join(f"({x}) + {varint_sql(x)}" for x in octets)
+
+
+ROUND2_OCTETS_SQL = ROUND2_SQL.replace(
+    "ORDER BY block_no) AS new FROM m", f"ORDER BY block_no) AS new, sum(CASE WHEN NOT known THEN {varint_sql('len')} END) AS lengths, sum(CASE WHEN known THEN {varint_sql('ref')} END) AS places FROM m"
+).replace("md5(coalesce(new, '')) AS new_md5", "length(coalesce(new, '')) // 2 AS new_bytes, coalesce(lengths, 0)::BIGINT AS lengths, coalesce(places, 0)::BIGINT AS places")
+
+
+CELLS_OCTETS_SQL = f"""
+WITH c AS ({cells_sql(f"SELECT o_custkey AS key, 1 AS sign FROM (SELECT DISTINCT o_custkey FROM orders)", iblt.Spec(4000, 4, "portable"))}),
+s AS (SELECT *, sub * 1000 + cell - coalesce(lag(sub * 1000 + cell) OVER (ORDER BY sub, cell), -1) - 1 AS step FROM c),
+o AS (SELECT {", ".join(f"sum({varint_sql(x)})::BIGINT AS {n}" for n, x in (("steps", "step"), ("keys", "key_sum"), ("checks", "hash_sum"), ("counts", "2 * cnt")))} FROM s)
+SELECT 0::BIGINT AS segment, ({framed_sql("steps", "keys", "checks", "counts")})::BIGINT AS octets FROM o
+"""
+
+
+@query(CELLS_OCTETS_SQL)
+def iblt_codec_octets(spark, sf_dir):
+    spec = iblt.Spec(4000, 4, "portable")
+    keys = sets.key_set(table(spark, sf_dir, "orders"), "o_custkey")
+    return codec.packed(iblt.build(keys, spec), spec).select("segment", F.octet_length("octets").cast("long").alias("octets"))
+
+
+@query(
+    f"""WITH r AS ({ROUND2_OCTETS_SQL}), n AS (SELECT *, length(chunk_exists) AS chunks, length(hash_exists) AS hashes FROM r)
+    SELECT doc_id, ({framed_sql(f"{varint_sql('chunks')} + {varint_sql('hashes')}", "(chunks + 7) // 8", "(hashes + 7) // 8", "places", "lengths", "new_bytes", "20")})::BIGINT AS octets FROM n"""
+)
+def file_sync_round2_octets(spark, sf_dir):
+    return protocol.encoded(synchronised(spark, sf_dir)[1]).select("doc_id", F.octet_length("octets").cast("long").alias("octets"))
 
 
 @query()
 def file_sync_totals(spark, sf_dir):
-    """The protocol's bits against compressed whole files; sizes of estimators, of tables and by zlib aren't SQL's."""
-    files, found, spent = synchronised(spark, sf_dir)
-    return protocol.totals(files, protocol.round2(files, found), spent)
+    """The octets that are sent, as they are and by zlib, against compressed whole files; sizes of estimators, of tables and by zlib aren't SQL's."""
+    return protocol.totals(*synchronised(spark, sf_dir, octets=True))
 
 
 @query(f"SELECT doc_id, sha1(text) AS sha1 FROM {EDITED_SQL} WHERE text <> ''")

@@ -31,18 +31,22 @@ def test_files_are_synchronised(spark, average, overlap, factor):
     old, new, before, after = versions(spark)
     files = protocol.paired(before, after, average, overlap).persist()
     signed = protocol.signed_keys(files).persist()
-    found, spent = protocol.differences(signed, factor)
+    told = protocol.exchanged(files, factor, octets=True).persist()
+    found = protocol.differences(told)
     sides = {}
     for x in signed.collect():
         sides.setdefault((x.doc_id, x.sign), set()).add(x.key)
     want = {(d, s, k) for d in {d for d, _ in sides} for s, sign in (("A", 1), ("B", -1)) for k in sides.get((d, sign), set()) - sides.get((d, -sign), set())}
     assert {tuple(x) for x in found.collect()} == want and want
-    said = protocol.round2(files, found).persist()
+    said = protocol.received(protocol.encoded(told)).persist()
+    assert sorted(map(str, said.collect())) == sorted(map(str, protocol.round2(told).collect()))
     rows = {x.doc_id: x for x in protocol.rebuilt(files, said).collect()}
     assert {i: bytes(x.content) for i, x in rows.items()} == {i: (t or "").encode() for i, t in new}
     assert all(x.ok for x in rows.values())
-    costs = {x.doc_id: x for x in protocol.totals(files, said, spent).collect()}
+    costs = {x.doc_id: x for x in protocol.totals(files, told).collect()}
     assert set(costs) == set(rows) and costs[100].table_bits == 0 and all(x.round2_bits >= 0 for x in costs.values())
+    for x in costs.values():
+        assert (x.table_octets == 0) == (x.table_bits == 0) and 0 < x.strata_compressed and 20 < x.round2_octets
     for x in said.collect():
         assert sum(x.chunk_exists) == len(x.existing_chunk_encoding) and len(x.chunk_exists) - sum(x.chunk_exists) == len(x.new_chunk_info)
     if average == 20:
@@ -53,8 +57,8 @@ def test_files_are_synchronised(spark, average, overlap, factor):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     files = protocol.paired(empty, empty)
-    found, _ = protocol.differences(protocol.signed_keys(files))
-    assert protocol.rebuilt(files, protocol.round2(files, found)).count() == 0
+    told = protocol.exchanged(files)
+    assert protocol.differences(told).count() == 0 and protocol.rebuilt(files, protocol.round2(told)).count() == 0
 
 
 def test_command_line(spark, tmp_path, capsys):
