@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from symdiff.functions import field, hashing, json
 from symdiff.functions.unsigned import as_decimal, wrapping
 from symdiff.operators import analytics, codec, filesync, fingerprint, gossip, iblt, multiparty, peeling, protocol, sets, strata, strings
 from symdiff.plans.reconcile import reconcile, reconcile_directories
-from symdiff.plans.tables import settled, table
+from symdiff.plans.tables import settled, shared_folder, table
+from symdiff.sources import sketches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,6 +154,15 @@ def iblt_codec_roundtrip(spark, sf_dir):
     return codec.unpacked(codec.packed(iblt.difference_table(*two_sets(spark, sf_dir), PORTABLE), PORTABLE), PORTABLE)
 
 
+@query(cells_sql(f"SELECT key, 1 AS sign FROM ({ORDERS_SQL}) UNION ALL SELECT key, -1 FROM ({LINES_SQL})", PORTABLE))
+def iblt_file_roundtrip(spark, sf_dir):
+    """A table of cells, written to sketch files and read again."""
+    sketches.register(spark)
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    iblt.difference_table(*order_sets(spark, sf_dir), PORTABLE).write.format("sketch").option("m", PORTABLE.m).option("k", PORTABLE.k).option("hash", PORTABLE.hash).mode("append").save(path)
+    return spark.read.format("sketch").load(path)
+
+
 @query(cells_sql(f"SELECT key, 1 AS sign FROM ({ORDERS_SQL}) UNION ALL SELECT key, -1 FROM ({LINES_SQL})", PORTABLE))
 def iblt_remove_keys(spark, sf_dir):
     """Keys inserted and removed one by one: the signs add up in the cells."""
