@@ -123,6 +123,12 @@ def wire_bits(key_bits: int = 64, hash_bits: int = 64, count_bits: int = 32) ->
 # Decoding
 
 
+def places(keys: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """(position of each key in each sub-table, checksums) of unsigned keys; `murmur` tables only."""
+    at = [i * spec.per_sub + (murmur64a_numpy(keys, SEEDS[i + 1]) % np.uint64(spec.per_sub)).astype(np.int64) for i in range(spec.k)]
+    return np.array(at).reshape(spec.k, -1), murmur64a_numpy(keys, SEEDS[0])
+
+
 def peeled(sub: np.ndarray, cell: np.ndarray, key: np.ndarray, check: np.ndarray, count: np.ndarray, spec: Spec) -> tuple[dict[int, int], bool]:
     """({key: sign}, whether nothing is left) of one table, in rounds over all its cells; `murmur` tables only."""
     keys, checks, counts = (np.zeros(spec.m, dtype=t) for t in (np.uint64, np.uint64, np.int64))

@@ -14,6 +14,7 @@ from symdiff.operators import analytics, codec, filesync, fingerprint, gossip, i
 from symdiff.plans.reconcile import reconcile, reconcile_directories
 from symdiff.plans.tables import settled, shared_folder, table
 from symdiff.sources import sketches
+from symdiff.streaming import reconcile as reconcile_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1045,3 +1046,23 @@ def windowed_sketch_keys(spark, sf_dir):
     cells = iblt.build(days, spec, "day")
     per_day = cells.where("sub = 0").groupBy("day").agg(F.sum("cnt").alias("users"))
     return per_day.select(F.col("day").cast("timestamp_ntz").alias("day"), "users")
+
+
+CLICKS_SQL, VIEWS_SQL = (f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id AS key FROM events WHERE event_type = '{t}' AND user_id IS NOT NULL" for t in ("click", "view"))
+
+
+@query(
+    f"""SELECT * FROM (SELECT *, 'A' AS side FROM (({CLICKS_SQL}) EXCEPT ({VIEWS_SQL})) UNION ALL SELECT *, 'B' AS side FROM (({VIEWS_SQL}) EXCEPT ({CLICKS_SQL})))
+    WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events WHERE event_type IN ('click', 'view') AND user_id IS NOT NULL)"""
+)
+def streamed_differences(spark, sf_dir):
+    """The users who clicked but didn't view or viewed but didn't click, for each day that the stream has passed by two hours."""
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes no single file
+    ts = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))  # whatever the session's zone is
+    events = stream.select(ts.alias("ts"), F.col("user_id").alias("key"), F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B").alias("side"))
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    decoded = reconcile_streams.window_differences(events, iblt.Spec(1 << 14, 4), "ts", "1 day", "2 hours")
+    reconcile_streams.start(decoded, f"{folder}/rows", f"{folder}/checkpoint", once=True).awaitTermination()
+    rows = spark.read.schema(reconcile_streams.DECODED).parquet(f"{folder}/rows").where("key is not null")
+    return rows.select(F.expr("timestampadd(MICROSECOND, start, TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias("start"), "key", "side")
