@@ -61,14 +61,28 @@ def sampled(data: bytes, average: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def two_way_minimum(data: bytes, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) where the hash is the least of the `reach` positions before and behind, the first of equal ones.
+
+    So an edit moves only cuts that have changed bytes within their reach, and two cuts are further apart than `reach`.
+    """
+    h = rolling_hashes(data)
+    if len(h) <= 2 * reach:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    both = (h << 31) | np.arange(len(h))
+    middle = both[reach : len(h) - reach]
+    at = np.flatnonzero(sliding_minimum(both, 2 * reach + 1)[2 * reach :] == middle) + reach
+    return at + 1, h[at]
+
+
 def block_hash(block: bytes) -> int:
     """A 60-bit hash that SQL can compute: of the block's hex digits."""
     return int(md5(block.hex().upper().encode()).hexdigest()[:15], 16)
 
 
-def blocks(data: bytes, average: int, overlap: int = 0) -> list[tuple[int, int, int]]:
-    """(start, length, hash): cut at the fingerprints; a block is hashed with `overlap` bytes of the next one."""
-    ends = [*winnow(data, average)[0].tolist(), len(data)]
+def blocks(data: bytes, average: int, overlap: int = 0, cuts: Callable[[bytes, int], tuple[np.ndarray, np.ndarray]] = winnow) -> list[tuple[int, int, int]]:
+    """(start, length, hash): cut at the fingerprints, or where `cuts` says; a block is hashed with `overlap` bytes of the next one."""
+    ends = [*cuts(data, average)[0].tolist(), len(data)]
     starts = [0, *ends[:-1]]
     return [(s, e - s, block_hash(data[s : e + overlap] if e < len(data) else data[s:e])) for s, e in zip(starts, ends, strict=True) if e > s]
 
@@ -95,11 +109,11 @@ def samples(df: DataFrame, average: int) -> DataFrame:
     return per_document(df, ["pos", "h"], lambda data: list(sampled(data, average)))
 
 
-def digests(df: DataFrame, average: int, overlap: int = 0) -> DataFrame:
+def digests(df: DataFrame, average: int, overlap: int = 0, cuts: Callable[[bytes, int], tuple[np.ndarray, np.ndarray]] = winnow) -> DataFrame:
     """(doc_id, block_no, start, len, h)."""
 
     def one(data: bytes) -> list:
-        found = blocks(data, average, overlap)
+        found = blocks(data, average, overlap, cuts)
         return [range(len(found)), *zip(*found, strict=True)] if found else []
 
     return per_document(df, ["block_no", "start", "len", "h"], one)

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symdiff.functions.hashing import portable
-from symdiff.operators import iblt, multiparty
+from symdiff.operators import iblt, multiparty, sets
 from symdiff.operators.sets import chance
 from symdiff.plans.tables import settled
 
@@ -119,5 +119,5 @@ def transmitted(found: DataFrame, memberships: DataFrame, nodes: int) -> DataFra
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
-    """(number, key): keys numbered from 0 in their order; for a set as small as a network's nodes."""
-    return df.select(F.col(column).cast("long").alias("key")).distinct().select((F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("number"), "key")
+    """(number, key): keys numbered from 0 in their order."""
+    return sets.ranked(df.select(F.col(column).cast("long").alias("key")).distinct(), [], ["key"], "number").select("number", "key")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symdiff.functions.hashing import portable
+from symdiff.plans.tables import settled
 
 
 def key_set(df: DataFrame, column: str = "key") -> DataFrame:
@@ -80,6 +81,17 @@ def assign(keys: DataFrame, parties: int, probability: float, seed: int = 0) ->
     return every.where(chance(seed, F.col("key"), F.col("party")) < probability).select("party", "key")
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the rank from 0 of each row in its group, whatever the groups' sizes: rows are dealt by range, so that a large group
+    is spread, ranked within their part, and moved on by the number of the group's rows in the parts before."""
+    parts = settled(df.repartitionByRange(*groups, *order).withColumn("part", F.spark_partition_id()))
+    held = parts.groupBy(*groups, "part").agg(F.count(F.lit(1)).alias("held"))
+    earlier = Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(*groups, "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy(*groups, "part").orderBy(*order))
+    return parts.withColumn("own", own).join(offsets, [*groups, "part"]).withColumn(name, (F.col("offset") + F.col("own") - 1).cast("long")).drop("part", "own", "offset")
+
+
 def shared_and_distinct(numbered: DataFrame, shared: int, distinct: int, parties: int) -> DataFrame:
     """(party, key) from numbered keys (number, key), from 0 on: the first `shared` belong to all, the next ones to one
     party each, `distinct` to each."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symdiff.functions import field, hashing, json
 from symdiff.functions.unsigned import as_decimal, wrapping
-from symdiff.operators import analytics, codec, filesync, fingerprint, gossip, iblt, multiparty, peeling, protocol, sets, strata, strings
+from symdiff.operators import analytics, codec, filesync, fingerprint, gossip, iblt, moves, multiparty, multisets, peeling, protocol, sets, similar, strata, strings
 from symdiff.plans.reconcile import reconcile, reconcile_directories
 from symdiff.plans.tables import settled, shared_folder, table
 from symdiff.sources import sketches
@@ -674,6 +674,51 @@ def digest_jaccard(spark, sf_dir):
     return fingerprint.jaccard(document_pairs(spark, sf_dir), fingerprint.digests(table(spark, sf_dir, "documents"), AVERAGE))
 
 
+def classes_sql(hashes: str, percent: int = 80) -> str:
+    """f: elements, r: each document's class by its list of elements."""
+    return f"""WITH f AS (SELECT DISTINCT doc_id, h FROM ({hashes})), l AS (SELECT doc_id, list(h ORDER BY h) AS hs FROM f GROUP BY doc_id), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY hs) AS rep, len(hs) AS n FROM l)"""
+
+
+def similar_sql(hashes: str, percent: int = 80) -> str:
+    return f"""{classes_sql(hashes)}, k AS (SELECT * FROM r WHERE doc_id = rep), e AS (SELECT f.* FROM f JOIN k USING (doc_id)),
+    p AS (SELECT x.doc_id AS d1, y.doc_id AS d2, count(*) AS inter FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL)
+    SELECT d1, d2, inter, a.n + b.n - inter AS uni FROM p JOIN k a ON a.doc_id = d1 JOIN k b ON b.doc_id = d2 WHERE 100 * inter >= {percent} * (a.n + b.n - inter)"""
+
+
+@query(similar_sql(winnow_sql()))
+def similar_documents(spark, sf_dir):
+    """All pairs of documents whose fingerprints are similar; copies are one class."""
+    return similar.similar_pairs(fingerprint.fingerprints(table(spark, sf_dir, "documents"), AVERAGE), 80)[0]
+
+
+@query(f"{classes_sql(winnow_sql())} SELECT doc_id, rep FROM r")
+def similar_classes(spark, sf_dir):
+    return similar.similar_pairs(fingerprint.fingerprints(table(spark, sf_dir, "documents"), AVERAGE), 80)[1]
+
+
+@query(similar_sql(f"SELECT doc_id, h FROM {digests_sql()}", 50))
+def similar_digests(spark, sf_dir):
+    """The same by the hashes of their blocks, at a lower similarity."""
+    return similar.similar_pairs(fingerprint.digests(table(spark, sf_dir, "documents"), AVERAGE), 50)[0]
+
+
+REACH = 200
+TWO_WAY_SQL = f"""
+SELECT doc_id, pos, h FROM (SELECT *, min((h << 31) + pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING) AS least FROM ({hashes_sql()}))
+WHERE pos > {REACH} AND pos <= n - {REACH} AND least = (h << 31) + pos
+"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text))::BIGINT AS n FROM documents), e AS (SELECT doc_id, pos AS stop FROM ({TWO_WAY_SQL}) UNION SELECT doc_id, n FROM d WHERE n > 0),
+    s AS (SELECT doc_id, stop, coalesce(lag(stop) OVER w, 0) AS start, row_number() OVER w - 1 AS block_no FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY stop))
+    SELECT s.doc_id, block_no, start, stop - start AS len, ('0x' || substr(md5(substr(x, 2 * start + 1, 2 * (stop - start))), 1, 15))::BIGINT AS h FROM s JOIN d ON s.doc_id = d.doc_id"""
+)
+def two_way_chunks(spark, sf_dir):
+    """Blocks cut where a rolling hash is the least of both neighbourhoods."""
+    return fingerprint.digests(table(spark, sf_dir, "documents"), REACH, cuts=fingerprint.two_way_minimum)
+
+
 @query(f"SELECT count(DISTINCT h) AS hashes, count(*) AS fingerprints FROM ({winnow_sql()})")
 def distinct_fingerprints(spark, sf_dir):
     found = fingerprint.fingerprints(table(spark, sf_dir, "documents"), AVERAGE)
@@ -904,6 +949,27 @@ def dir_difference(spark, sf_dir):
     return reconcile_directories(*manifests(spark, sf_dir))
 
 
+def shuffled_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages by number, and a directory where, ten by ten, they are the same, go around in a circle, have moved on by one, or
+    are partly missing, there twice or changed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.sha1(F.encode("html", "utf-8")).alias("content_sha1"))
+    k, kind = F.col("page_id") % 10, F.floor(F.col("page_id") / 10) % 4
+    donor = F.when(kind == 1, F.col("page_id") - k + (k + 9) % 10).when((kind == 2) & (k < 9), F.col("page_id") + 1).when((kind == 3) & (k == 5), F.col("page_id") - 1).otherwise(F.col("page_id"))
+    given = pages.select(F.col("page_id").alias("donor"), F.col("content_sha1").alias("given"))
+    name = lambda c: F.concat(F.lit("page/"), F.col(c).cast("string")).alias("path")
+    placed = pages.withColumn("donor", donor).join(given, "donor", "left").withColumn("content_sha1", F.coalesce("given", "content_sha1"))
+    theirs = placed.where(~((kind == 3) & (k % 4 == 0))).withColumn("content_sha1", F.when((kind == 2) & (k == 9) | (kind == 3) & (k == 7), F.sha1(F.col("content_sha1"))).otherwise(F.col("content_sha1")))
+    extra = pages.where((kind == 3) & (k == 8)).select(F.concat(F.lit("old/"), F.col("page_id").cast("string")).alias("path"), "content_sha1")
+    return pages.select(name("page_id"), "content_sha1"), theirs.select(name("page_id"), "content_sha1").unionByName(extra)
+
+
+@query("SELECT 'page/' || page_id AS path, sha1(html) AS content_sha1 FROM pages")
+def dir_moves_applied(spark, sf_dir):
+    """Their directory after the plan of renames, copies, fetches and deletions: it is mine."""
+    mine, theirs = shuffled_manifests(spark, sf_dir)
+    return moves.applied(theirs, moves.move_plan(mine, theirs))
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = table(spark, sf_dir, "pages")
     mine = pages.select(F.col("url").alias("path"), F.encode("html", "utf-8").alias("content"))
@@ -1066,3 +1132,47 @@ def streamed_differences(spark, sf_dir):
     reconcile_streams.start(decoded, f"{folder}/rows", f"{folder}/checkpoint", once=True).awaitTermination()
     rows = spark.read.schema(reconcile_streams.DECODED).parquet(f"{folder}/rows").where("key is not null")
     return rows.select(F.expr("timestampadd(MICROSECOND, start, TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias("start"), "key", "side")
+
+
+# Tables as multisets of rows
+
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+#: One order has another customer, every hundredth one is there twice.
+CHANGED_SQL = "SELECT * REPLACE (CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN o_custkey + 1 ELSE o_custkey END AS o_custkey) FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 100 = 3"
+
+
+def row_keys_sql(source: str) -> str:
+    text = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ORDER_COLUMNS)
+    return f"SELECT ('0x' || substr(md5({text}), 1, 15))::BIGINT AS key FROM ({source})"
+
+
+def order_versions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    orders = table(spark, sf_dir, "orders").select(*ORDER_COLUMNS)
+    least = orders.agg(F.min("o_orderkey").alias("least"))
+    edited = orders.join(F.broadcast(least)).withColumn("o_custkey", F.when(F.col("o_orderkey") == F.col("least"), F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))).drop("least")
+    changed = edited.unionByName(orders.where("o_orderkey % 100 = 3"))
+    rows = {"as it is": orders, "in another order": orders.repartition("o_custkey").sortWithinPartitions(F.desc("o_orderkey")), "changed": changed}
+    return {name: x.select(multisets.row_key(*ORDER_COLUMNS).alias("key")) for name, x in rows.items()}
+
+
+def digest_sql(name: str, source: str) -> str:
+    return f"SELECT '{name}' AS name, count(*) AS n, sum(key::HUGEINT)::VARCHAR AS first, sum({portable_sql('key', 0)}::HUGEINT)::VARCHAR AS second FROM ({row_keys_sql(source)})"
+
+
+@query(" UNION ALL ".join(digest_sql(name, x) for name, x in (("as it is", "FROM orders"), ("in another order", "FROM orders"), ("changed", CHANGED_SQL))))
+def table_digests(spark, sf_dir):
+    """The first two are equal, the third tells that rows differ."""
+    out = None
+    for name, rows in order_versions(spark, sf_dir).items():
+        one = multisets.digest(rows).select(F.lit(name).alias("name"), "n", F.col("first").cast("string").alias("first"), F.col("second").cast("string").alias("second"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"""SELECT key, (sum(times))::BIGINT AS times FROM (SELECT key, 1 AS times FROM ({row_keys_sql(CHANGED_SQL)}) UNION ALL SELECT key, -1 FROM ({row_keys_sql("FROM orders")})) GROUP BY key HAVING sum(times) <> 0"""
+)
+def table_differences(spark, sf_dir):
+    """Which rows the changed table has more or less often, without a join."""
+    rows = order_versions(spark, sf_dir)
+    return multisets.differences(rows["changed"], rows["as it is"])
