@@ -7,7 +7,8 @@ cutting one rest, whose remainder is routed anew. So every closed window is full
 partition ends are laid end to end into windows of decreasing powers of two, which are full as well.
 
 Packing is local to a partition of the input: no shuffle, nothing is gathered, and a lost executor's partition is packed
-again to the same rows. Token ids are held for at most `BUFFER` tokens, plus one document. Sequence ids hold the
+again to the same rows. Token ids are held for at most `BUFFER` tokens or `DOCUMENTS` documents, plus one document: packing leaves
+less than one window of the longest tier. Sequence ids hold the
 partition's number in their upper bits. Step groups: a partition's sequences are dealt, longest first, to the group with
 the fewest tokens, for groups of about `STEP_TOKENS`.
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -37,6 +37,8 @@ TIERS = tuple(1 << k for k in range(SHORTEST.bit_length() - 1, LONGEST.bit_lengt
 END_ID = 2
 #: Tokens in rests that wait in a partition's tiers before packing starts.
 BUFFER = 1 << 21
+#: Documents that wait before packing starts, however short.
+DOCUMENTS = 1 << 16
 STEP_TOKENS = 1 << 18
 #: Letters of words whose ids a task remembers.
 CACHE = 1 << 19
@@ -113,14 +115,21 @@ class WordTokenizer:
         return [data[a:b].to_pybytes() for a, b in zip(at, at[1:], strict=False)]
 
 
+def tier_of(length: int) -> int:
+    return max(SHORTEST, 1 << (length - 1).bit_length())
+
+
 class Packer:
-    """Pieces are (length, number, start): `number` finds a document's id, ids and token count."""
+    """Pieces are (length, number, start): `number` finds a document's id, ids and token count. Waiting pieces lie on a stack for
+    each length; `mask` has a bit for each length that has any, so the longest one that fits is found at once."""
 
     def __init__(self, first_sequence: int):
         self.next = first_sequence
         self.docs: dict[int, tuple[object, bytes, int]] = {}
         self.held: dict[int, int] = {}
-        self.tiers: dict[int, list[tuple[int, int, int]]] = {t: [] for t in TIERS}
+        self.stacks: dict[int, list[tuple[int, int]]] = {}
+        self.mask = 0
+        self.totals = dict.fromkeys(TIERS, 0)
         self.waiting = 0
         self.rows: list[tuple] = []
         self.count = 0
@@ -135,12 +144,15 @@ class Packer:
             self.write(LONGEST, [(LONGEST, number, start)])
         if n > whole:
             self.route((n - whole, number, whole))
-        if self.waiting > BUFFER:
+        if self.waiting > BUFFER or len(self.docs) > DOCUMENTS:
             self.pack()
 
     def route(self, piece: tuple[int, int, int]) -> None:
-        insort(self.tiers[max(SHORTEST, 1 << (piece[0] - 1).bit_length())], piece)
-        self.waiting += piece[0]
+        length, number, start = piece
+        self.stacks.setdefault(length, []).append((number, start))
+        self.mask |= 1 << length
+        self.totals[tier_of(length)] += length
+        self.waiting += length
 
     def write(self, window: int, pieces: list[tuple[int, int, int]]) -> None:
         offset = 0
@@ -153,56 +165,49 @@ class Packer:
                 del self.held[number], self.docs[number]
         self.next += 1
 
-    def take(self, tier: int, most: int) -> tuple[int, int, int] | None:
-        """The longest waiting piece of at most so many tokens, of this or a shorter tier."""
-        for t in reversed(TIERS):
-            if t <= tier and (at := bisect_right(self.tiers[t], (most, 1 << 62, 0))):
-                self.waiting -= self.tiers[t][at - 1][0]
-                return self.tiers[t].pop(at - 1)
-        return None
+    def pop(self, length: int) -> tuple[int, int, int]:
+        stack = self.stacks[length]
+        number, start = stack.pop()
+        if not stack:
+            del self.stacks[length]
+            self.mask ^= 1 << length
+        self.totals[tier_of(length)] -= length
+        self.waiting -= length
+        return length, number, start
+
+    def take(self, most: int) -> tuple[int, int, int] | None:
+        """The longest waiting piece of at most so many tokens."""
+        fitting = self.mask & ((2 << most) - 1)
+        return self.pop(fitting.bit_length() - 1) if fitting else None
 
     def pack(self) -> None:
-        """Closes windows, longest tier first, until each tier holds less than one window of its own."""
+        """Closes windows, longest tier first, until a tier and the shorter ones together hold less than one of its windows."""
         for tier in reversed(TIERS):
-            own = self.tiers[tier]
-            while own and sum(p[0] for p in own[-2:]) + self.shorter(tier) >= tier:
-                pieces = [p := self.take(tier, tier)]
+            while self.totals[tier] and sum(n for t, n in self.totals.items() if t <= tier) >= tier:
+                pieces = [p := self.take(tier)]
                 gap = tier - p[0]
-                while gap and (p := self.take(tier, gap)):
+                while gap and (p := self.take(gap)):
                     pieces.append(p)
                     gap -= p[0]
                 if gap:  # every piece that waits is longer than the gap: the shortest one is cut
-                    at = next(t for t in TIERS if self.tiers[t])
-                    length, number, start = self.tiers[at].pop(0)
-                    self.waiting -= length
+                    length, number, start = self.pop((self.mask & -self.mask).bit_length() - 1)
                     pieces.append((gap, number, start))
                     self.route((length - gap, number, start + gap))
                 self.write(tier, pieces)
 
-    def shorter(self, tier: int) -> int:
-        """Tokens that wait in shorter tiers, as far as they matter."""
-        total = 0
-        for t in TIERS:
-            for p in self.tiers[t] if t < tier else ():
-                total += p[0]
-                if total >= tier:
-                    return total
-        return total
-
     def close(self) -> None:
         self.pack()
-        rest = [p for t in reversed(TIERS) for p in reversed(self.tiers[t])]
-        self.tiers, self.waiting = {t: [] for t in TIERS}, 0
+        rest = [self.take(LONGEST) for _ in range(sum(map(len, self.stacks.values())))][::-1]  # the longest is taken from the end
         left = sum(p[0] for p in rest)
         while left:
             window = gap = min(LONGEST, 1 << (left.bit_length() - 1))
             pieces = []
             while gap:
-                length, number, start = rest.pop(0)
+                length, number, start = rest.pop()
                 cut = min(gap, length)
                 pieces.append((cut, number, start))
                 if cut < length:
-                    rest.insert(0, (length - cut, number, start + cut))
+                    rest.append((length - cut, number, start + cut))
                 gap -= cut
             self.write(window, pieces)
             left -= window

@@ -108,6 +108,47 @@ def test_packing_cuts_and_fills(spark):
     assert sum(loads.values()) == sum(r.length for r in rows)
 
 
+@pytest.mark.parametrize("lengths", [[4], [100], [120], [127], [128], [1, 127], range(1, 128), [3, 200, 255], [1, 300, 5000, 4096, 2049]])
+def test_what_waits_is_bounded_whatever_the_lengths(monkeypatch, lengths):
+    monkeypatch.setattr(packing, "BUFFER", 1 << 13)
+    r, packer, windows, rows = random.Random(3), packing.Packer(0), collections.Counter(), []
+    docs = [r.choice(list(lengths)) for _ in range(4000)]
+    for i, n in enumerate(docs):
+        packer.add(i, bytes(4 * n))
+        assert packer.waiting <= packing.BUFFER + max(lengths) and sum(n * len(s) for n, s in packer.stacks.items()) == packer.waiting == sum(packer.totals.values())
+    packer.pack()
+    assert packer.waiting < packing.LONGEST
+    packer.close()
+    rows = packer.drain()
+    assert not packer.docs and not packer.held and not packer.mask
+    got = collections.Counter()
+    for doc, start, length, _, n, sequence, offset, window in rows:
+        got[doc] += length
+        windows[sequence, window] += length
+        assert 0 <= start and start + length <= n == docs[doc] and offset + length <= window
+    assert got == {i: n for i, n in enumerate(docs)} and all(n == window for (_, window), n in windows.items())
+
+
+def test_few_documents_wait_however_short(monkeypatch):
+    monkeypatch.setattr(packing, "DOCUMENTS", 500)
+    packer = packing.Packer(0)
+    for i in range(3000):
+        packer.add(i, bytes(4))
+        assert len(packer.docs) <= 500
+
+
+def test_packing_short_documents_takes_linear_time():
+    def took(n):
+        packer, began = packing.Packer(0), time.process_time()
+        for i in range(n):
+            packer.add(i, bytes(16 + 4 * (i % 7)))
+        packer.close()
+        return time.process_time() - began
+
+    took(1000)
+    assert took(200_000) < 10 * took(40_000)
+
+
 def test_step_groups_are_balanced(monkeypatch):
     monkeypatch.setattr(packing, "STEP_TOKENS", 1 << 15)
     r = random.Random(4)
