@@ -13,8 +13,8 @@ logarithmic scale, goes through a logistic curve, fitted on training documents s
 without them (FOLDS). There, each class weighs as much as it has labels, however many of them the sample holds.
 
 Training rows are a bounded sample of the labelled ones (PER_CLASS of each class, by hash of the id, found by a
-pre-aggregated min). Every document is scored over its whole text, row by row: no shuffle. The driver gets the lexicon, a
-histogram of scores and a number for each training document.
+pre-aggregated min; ids whose hash falls on the same place leave one, also below the bound). Every document is scored over its whole text, row by row: no shuffle. The driver gets the lexicon,
+all tokens of that sample that are significant, a histogram of scores and a number for each training document.
 
 Defined results: a null or empty text has no passages and the curve's score for none; without labels of both classes
 nothing is toxic (score 0); a row with a null id is scored, not held out and never learned from; if a label table
@@ -45,8 +45,6 @@ PREFIXES = range(3, 7)
 PRIOR = 0.25
 LEAST_Z = 3.0
 LEAST_ODDS = math.log(2)
-#: At most so many entries, the most significant ones, reach the driver and the executors.
-LEXICON = 20_000
 DRIFT = 0.25
 #: Least share of background words that are taken to score, so that a lexicon that never met one keeps a finite scale.
 RARE = 1e-5
@@ -204,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model()
     t, c = (sum(F.col(f"{x}{fold}") for fold in range(FOLDS)) for x in "tc")
     odds, z = log_odds(t, c, sum(total[:FOLDS]), sum(total[FOLDS:]), F.log, F.sqrt)
-    rows = counts.select("*", z.alias("z")).where((odds >= LEAST_ODDS) & (z >= LEAST_Z - 1)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    rows = counts.select("*", z.alias("z")).where((odds >= LEAST_ODDS) & (z >= LEAST_Z - 1)).collect()
 
     def without(fold: int) -> dict[str, float]:
         use = [k for k in range(FOLDS) if k != fold]

@@ -560,6 +560,62 @@ def test_toxic_documents_are_found(spark, n, toxic_in, of):
     assert any(x.n_passages for x in out if x.predicted)
 
 
+def test_toxicity_model_and_scores_match_brute_force(spark):
+    """Counts, log-odds, the calibration's rate, the curve and each document's score, on a whole table."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.plain(docs)
+    named = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    sample = {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.training_ids(named).collect():
+        assert crc32(str(r.id).encode()) % 5
+        if texts.get(r.id) is not None:
+            old = sample.get(texts[r.id], (0, 9, 0))
+            sample[texts[r.id]] = (max(old[0], r.toxic), min(old[1], r.fold), old[2] + r.weight)
+    words = lambda x: re.findall(r"[^\W\d_]+", x)
+    ends = lambda w: [w.lower(), *(w.lower()[:k] + "-" for k in (3, 4, 5, 6) if k < len(w.lower()))]
+
+    def lexicon(folds):
+        count = {1: collections.Counter(), 0: collections.Counter()}
+        for text, (y, fold, _) in sample.items():
+            if fold in folds:
+                count[y].update({t for w in words(text) for t in ends(w)})
+        toxic, other = (sum(count[y].values()) for y in (1, 0))
+        weight, out = 0.25 * min(toxic, other), {}
+        for t, n in count[1].items():
+            m = count[0][t]
+            prior = weight * (n + m) / (toxic + other)
+            odds = np.log((n + prior) / (toxic + weight - n - prior)) - np.log((m + prior) / (other + weight - m - prior))
+            if odds >= np.log(2) and odds / np.sqrt(1 / (n + prior) + 1 / (m + prior)) >= 3:
+                out[t] = odds
+        return out
+
+    model = toxicity.fit(rows, named)
+    whole = lexicon(range(5))
+    assert model.lexicon.keys() == whole.keys() and len(whole) > 5 and all(abs(model.lexicon[t] - x) < 1e-9 for t, x in whole.items())
+    without = [lexicon([k for k in range(5) if k != fold]) for fold in range(5)]
+    score_of = lambda x, lex: [max([lex.get(t, 0.0) for t in ends(w)]) for w in words(x)]
+    background = [s for text, (y, fold, _) in sample.items() if not y for s in score_of(text, without[fold])]
+    share = max(1e-5, sum(s > 0 for s in background) / len(background))
+    positive = collections.Counter(round(s, 1) for s in background if s > 0) or collections.Counter({np.log(2): 1})
+    share = min(share, 0.5 * 0.25 / (0.25 + max(positive)))
+    mean = sum(n * np.exp(model.scale * s) for s, n in positive.items()) / sum(positive.values())
+    assert abs((1 - share) * np.exp(-0.25 * model.scale) + share * mean - 1) < 1e-6
+
+    evidence = lambda x: sum(max(0.0, model.scale * s - np.log(len(x) + 1)) for *_, s in toxicity.segments(np.array(x)))
+    x = np.array([np.log1p(evidence(score_of(t, without[fold]))) for t, (_, fold, _) in sample.items()])
+    y, weight = (np.array([v[k] for v in sample.values()], dtype=float) for k in (0, 2))
+    weight *= len(weight) / weight.sum()
+    top = max(1.0, x.max())
+    p = 1 / (1 + np.exp(-(model.intercept + model.slope * x)))
+    w = np.array([model.intercept, model.slope * top])
+    assert np.abs(np.array([(weight * (p - y)).sum(), (weight * (p - y) * x / top).sum()]) + 1e-3 * w).max() < 1e-4
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        z = model.intercept + model.slope * np.log1p(evidence(score_of(texts[r.doc_id] or "", whole)))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_does_not_depend_on_the_order_of_equal_texts(spark):
     r = random.Random(11)
     rows = [(i, " ".join(r.choice("red blue green nasty".split() if i % 3 else "red blue green".split()) for _ in range(12)), int(i % 3 > 0)) for i in range(240)]
