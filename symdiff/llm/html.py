@@ -70,35 +70,41 @@ class Block:
     words: int
     links: float
     furniture: bool
+    named: bool
     article: bool
     paragraph: bool
 
 
-def kind_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(furniture, article) of an element."""
-    furniture, article = tag in FURNITURE_TAGS or (tag == "header" and not in_article), tag in ARTICLE_TAGS
+#: What is around a block: nothing that speaks against it; a form, which may hold a whole page; page furniture.
+NOTHING, FORM, FURNITURE = range(3)
+
+
+def kind_of(tag: str, attributes: str, in_article: bool) -> tuple[int, bool, bool]:
+    """(furniture by its tag or state, furniture by its names, article) of an element."""
+    furniture, article = FORM if tag == "form" else FURNITURE if tag in FURNITURE_TAGS or (tag == "header" and not in_article) else NOTHING, tag in ARTICLE_TAGS
+    named = False
     if not attributes or tag in ("html", "body"):
-        return furniture, article and not furniture
+        return furniture, named, article and furniture < FURNITURE
     by_name = FURNITURE_WORDS if in_article else FURNITURE_WORDS | HEADER_WORDS
     names: list[list[str]] = []
     for m in ATTRIBUTE.finditer(attributes):
         if m[5] or m[6]:
-            furniture = True
+            furniture = FURNITURE
         else:
             names += [WORDS.findall(x) for x in html.unescape(m[2] or m[3] or m[4] or "").lower().split()]
     certain = article or any(len(x) == 1 and x[0] in ARTICLE_WORDS for x in names)
     for x in names:
         if len(x) == 1:
-            furniture |= x[0] in by_name
+            named |= x[0] in by_name
         elif not certain and not STATE_WORDS.intersection(x):
-            furniture |= not by_name.isdisjoint(x)
+            named |= not by_name.isdisjoint(x)
         article |= not ARTICLE_WORDS.isdisjoint(x)
-    return furniture, article and not furniture
+    return furniture, named, article and furniture < FURNITURE and not named
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article, both with what is around
+    stack: list[tuple[str, int, bool, bool]] = []  # name, furniture and article with what is around, and whether a paragraph is named like furniture
     opened: Counter = Counter()
     parts: list[str] = []
     linked = 0
@@ -112,8 +118,8 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            name, furniture, article = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, n, min(1.0, linked / n), furniture, article, name in PARAGRAPHS))
+            name, furniture, article, named = stack[-1] if stack else ("", NOTHING, False, False)
+            out.append(Block(text, n, min(1.0, linked / n), furniture > NOTHING, named, article, name in PARAGRAPHS))
         linked = 0
 
     def close(name: str) -> None:
@@ -172,62 +178,65 @@ def blocks_of(page: str) -> list[Block]:
             close("p")
         if name == "li" and stack and stack[-1][0] == "li":
             close("li")
-        _, furniture, article = stack[-1] if stack else ("", False, False)
-        f, a = kind_of(name, m[3] if m[2] else m[6], article)
-        stack.append((name, furniture or f, article or a))
+        _, furniture, article, named = stack[-1] if stack else ("", NOTHING, False, False)
+        f, by_name, a = kind_of(name, m[3] if m[2] else m[6], article)
+        if by_name and article and name in PARAGRAPHS:  # a paragraph of the article's own: weaker evidence than a box in it
+            named = True
+        elif by_name:
+            f = FURNITURE
+        if a and furniture == FORM:  # the page stands in the form, not the form on the page
+            furniture = NOTHING
+        stack.append((name, max(furniture, f), article or a, named))
         opened[name] += 1
     if at < end:
         begun = BEGUN.search(page, at)
         add(page[at : begun.start()] if begun else page[at:])
     flush()
-    if not any(b.article and not b.furniture for b in out):
-        for b in out:
-            b.article = b.paragraph and not b.furniture
     return out
 
 
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "furniture", "article")
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "furniture", "named", "article", "paragraph")
+NONE = Block("", 0, 0.0, False, False, False, False)
+
+
+def row_of(b: Block, before: Block, after: Block) -> tuple[float, ...]:
+    return b.words, b.links, before.words, before.links, after.words, after.links, float(b.furniture), float(b.named), float(b.article), float(b.paragraph)
 
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
-    none = Block("", 0, 0.0, False, False, False)
-    padded = [none, *blocks, none]
-    return [(b.words, b.links, p.words, p.links, n.words, n.links, float(b.furniture), float(b.article)) for p, b, n in zip(padded, blocks, padded[2:], strict=False)]
-
-
-# The labelled table, FEATURES and the label (1: content).
-TABLE = (
-    # in an article, of any length
-    (80, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1), (9, 0.0, 12, 1.0, 80, 0.0, 0, 1, 1), (2, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (45, 0.1, 30, 0.0, 6, 0.0, 0, 1, 1),
-    (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (120, 0.05, 0, 0.0, 8, 0.2, 0, 1, 1), (1, 0.0, 3, 0.5, 7, 0.3, 0, 1, 1), (14, 0.3, 50, 0.0, 40, 0.0, 0, 1, 1),
-    (30, 0.0, 10, 0.0, 10, 0.1, 0, 1, 1), (6, 0.0, 6, 0.0, 6, 0.0, 0, 1, 1), (25, 0.2, 25, 0.2, 3, 1.0, 0, 1, 1), (3, 0.4, 60, 0.0, 60, 0.0, 0, 1, 1),
-    # links alone, in an article: next to others or not
-    (2, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0), (5, 1.0, 6, 1.0, 4, 1.0, 0, 1, 0), (12, 0.9, 30, 0.0, 12, 0.9, 0, 1, 1), (3, 0.8, 5, 0.0, 20, 0.0, 0, 1, 1),
-    # page furniture, of any length
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (9, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0), (60, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0), (25, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0),
-    (8, 0.2, 70, 0.0, 0, 0.0, 1, 0, 0), (90, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0), (6, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0), (3, 1.0, 60, 0.0, 60, 0.0, 1, 1, 0),
-    (30, 0.1, 5, 0.0, 30, 0.1, 1, 1, 0), (14, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0), (40, 0.0, 0, 0.0, 3, 0.0, 1, 0, 0), (2, 0.0, 12, 0.0, 15, 0.0, 1, 0, 0),
-    # elsewhere: long text with few links, and short text beside it
-    (60, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1), (35, 0.1, 8, 0.0, 60, 0.05, 0, 0, 1), (90, 0.2, 3, 1.0, 40, 0.0, 0, 0, 1), (22, 0.0, 30, 0.0, 4, 0.0, 0, 0, 1),
-    (18, 0.0, 45, 0.1, 50, 0.0, 0, 0, 1), (8, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1), (5, 0.0, 55, 0.0, 70, 0.0, 0, 0, 1), (10, 0.1, 35, 0.0, 45, 0.0, 0, 0, 1),
-    (7, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1), (6, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1),
-    # elsewhere: lists of links, and short text away from long text
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (25, 0.9, 3, 1.0, 30, 0.8, 0, 0, 0), (40, 0.7, 10, 1.0, 3, 1.0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (8, 0.1, 6, 0.3, 5, 1.0, 0, 0, 0), (3, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0), (9, 0.2, 60, 0.0, 0, 0.0, 0, 0, 0),
-    (6, 0.0, 2, 0.0, 7, 0.0, 0, 0, 0), (5, 0.6, 40, 0.0, 50, 0.0, 0, 0, 0), (12, 0.5, 4, 0.5, 9, 0.4, 0, 0, 0), (10, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
-)
-
-# The table's labels carried over to all neighbours (words and links), so that no split rests on which ones a
-# row above happens to have: words, links, words after at least and at most, furniture, article, label.
-NEAR = ((0, 0.0), (1, 0.5), (2, 1.0), (12, 0.3), (25, 0.0), (45, 0.1), (300, 0.0))
-FILLED = (
-    *((w, x, 0, 999, 0, 1, 1) for w in (1, 4, 12, 60, 400) for x in (0.0, 0.3, 0.9)), *((w, 1.0, 0, 999, 0, 1, 1) for w in (12, 60, 400)),
-    *((w, x, 0, 999, 1, a, 0) for w in (1, 5, 12, 60, 400) for x in (0.0, 0.3, 1.0) for a in (0, 1)),
-    *((w, x, 0, 999, 0, 0, 1) for w in (18, 60, 400) for x in (0.0, 0.2)), *((w, x, 0, 999, 0, 0, 0) for w in (1, 12, 60, 400) for x in (0.6, 1.0)),
-    *((w, x, 45, 999, 0, 0, 1) for w in (1, 5, 10) for x in (0.0, 0.2)), *((w, x, 0, 12, 0, 0, 0) for w in (1, 5, 12) for x in (0.0, 0.2)),
-)
-TABLE += tuple((w, x, *b, *a, f, article, label) for w, x, low, high, f, article, label in FILLED for b in NEAR for a in NEAR if low <= a[0] <= high)
-TABLE += tuple((w, 1.0, *b, *a, 0, 1, int(max(b[1], a[1]) < 1)) for w in (1, 5) for b in NEAR for a in NEAR)
+    padded = [NONE, *blocks, NONE]
+    return [row_of(b, p, n) for p, b, n in zip(padded, blocks, padded[2:], strict=False)]
+
+
+# The labelled table. Each line is a page, block after block: words, links, marks (f furniture around it, n a paragraph
+# named like it, a article around it, p paragraph, - none of them) and the label (1: content).
+LABELLED = """
+1 1 f 0  1 1 f 0  2 1 f 0  9 0 f 0  10 0 ap 1  60 0 ap 1  45 .05 ap 1  3 0 ap 1  120 0 ap 1  7 0 a 1  12 .2 a 1  3 1 f 0  6 1 f 0  14 .2 f 0
+2 1 f 0  8 0 f 0  12 0 ap 1  2 0 ap 1  4 0 ap 1  80 0 ap 1  2 1 ap 1  30 .1 ap 1  1 0 ap 1  40 0 f 0  60 0 f 0  22 0 f 0  5 .2 f 0
+5 0 ap 1  50 0 ap 1  8 1 a 1  9 1 a 1  7 1 a 1  12 .9 a 1  2 1 a 1  1 1 a 1  35 0 f 0  25 .9 f 0  9 0 f 0
+7 0 ap 1  55 0 ap 1  18 0 nap 1  70 0 ap 1  5 0 nap 0  62 0 ap 1  25 .1 nap 1  48 0 ap 1  4 1 nap 0  33 0 ap 1  3 .5 nap 0  90 0 ap 1  14 0 nap 1  8 0 nap 0  20 .9 nap 0  41 0 ap 1
+90 0 f 0  60 0 f 0  35 0 f 0  300 .1 f 0  16 0 f 0  4 0 f 0  28 .3 f 0  110 .02 f 0  1 0 f 0
+5 0 p 1  2 0 p 1  70 0 p 1  9 0 p 1  3 0 p 1  24 .2 p 1  3 1 p 0  2 1 p 0  4 .9 p 0  6 .6 p 0
+3 1 - 0  2 1 - 0  4 1 - 0  9 0 - 1  60 0 - 1  6 0 - 1  80 0 - 1  35 .1 - 1  5 0 - 1  45 0 - 1  4 0 - 0  2 1 - 0  3 1 - 0
+2 1 - 0  4 0 - 0  3 1 - 0  8 .1 - 0  5 1 - 0  6 0 - 0  2 1 - 0  40 .7 - 0  12 .6 - 0  25 .9 - 0  2 0 - 0
+1 0 - 0  6 .3 - 0  3 0 - 0  9 .2 - 0  2 0 - 0  22 0 - 1  30 .05 - 1  18 0 - 1  14 .1 - 1  90 .2 - 1  5 0 - 0  3 0 - 0
+4 0 p 1  18 .1 p 1  30 .6 p 0  8 0 p 1  15 1 p 0  1 0 p 1
+44 0 ap 1  6 1 fa 0  30 .1 fa 0  3 0 fap 0  64 0 fap 0  9 0 ap 1  100 0 fap 0  2 0 fa 0  17 0 ap 1  1 1 fa 0  8 .4 fa 0
+90 0 ap 1  4 0 ap 1  85 0 ap 1  6 0 ap 1  150 0 ap 1  2 0 ap 1  7 0 ap 1  70 0 ap 1  9 0 a 1  30 0 a 1  1 0 a 1  55 0 a 1  3 0 a 1  2 0 a 1  8 0 a 1
+40 0 ap 1  3 .5 ap 1  60 0 ap 1  8 .4 a 1  75 0 ap 1  2 1 ap 1  90 0 a 1  6 1 a 1  35 0 ap 1  10 .3 ap 1  2 .8 a 1  20 .3 ap 1  5 1 a 1  4 1 a 1  50 0 a 1
+80 0 p 1  3 0 p 1  95 0 p 1  2 0 p 1  6 0 p 1  33 0 p 1  8 0 p 1  5 0 p 1  1 0 p 1  48 .1 p 1  7 0 p 1
+20 0 a 1  14 1 a 1  6 .5 a 1  3 0 a 1  2 .6 ap 1  11 .9 ap 1  1 0 a 1  400 0 a 1
+"""
+
+
+def labelled() -> list[tuple[float, ...]]:
+    """FEATURES and the label of each block of the table, next to its neighbours."""
+    rows = []
+    for page in LABELLED.split("\n")[1:-1]:
+        cells = page.split()
+        blocks = [Block("", int(w), float(x), "f" in m, "n" in m, "a" in m, "p" in m) for w, x, m in zip(cells[::4], cells[1::4], cells[2::4], strict=True)]
+        rows += [(*row, int(y)) for row, y in zip(features(blocks), cells[3::4], strict=True)]
+    return rows
 
 
 def gini(rows: list[tuple]) -> float:
@@ -235,8 +244,14 @@ def gini(rows: list[tuple]) -> float:
     return len(rows) * 2 * p * (1 - p)
 
 
+#: What a split by each of FEATURES counts: a block's own words and links before its neighbours', and before marks that a page may
+#: not keep to.
+TRUST = (1, 1, .3, .3, .3, .3, 1, 1, .6, .5)
+
+
 def grow(rows: list[tuple]) -> tuple | int:
-    """A tree of (feature, limit, tree for values up to the limit, tree for others), with classes as leaves."""
+    """A tree of (feature, limit, tree for values up to the limit, tree for others), with classes as leaves: each split is the one that
+    lowers the Gini impurity most, times TRUST."""
     if len({r[-1] for r in rows}) == 1:
         return rows[0][-1]
     best = None
@@ -245,9 +260,9 @@ def grow(rows: list[tuple]) -> tuple | int:
         for low, high in zip(values, values[1:], strict=False):
             limit = (low + high) / 2
             left, right = [r for r in rows if r[k] <= limit], [r for r in rows if r[k] > limit]
-            cost = gini(left) + gini(right)
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, k, limit, left, right)
+            gain = (gini(rows) - gini(left) - gini(right)) * TRUST[k]
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, k, limit, left, right)
     if best is None:
         return int(2 * sum(r[-1] for r in rows) >= len(rows))
     return best[1], best[2], grow(best[3]), grow(best[4])
@@ -260,7 +275,7 @@ def classify(tree: tuple | int, row: tuple[float, ...]) -> bool:
     return bool(tree)
 
 
-TREE = grow(list(TABLE))
+TREE = grow(labelled())
 
 
 def main_text(page: str, tree: tuple | int = TREE) -> str:
