@@ -1,11 +1,11 @@
 """Main text of web pages: flat text blocks, shallow features and a small decision tree.
 
 A page is cut into text blocks at block-level tags. A block's features are its word count and link density, those of the
-block before and after it, and what its open elements say: whether one of them is a container of page furniture
-(by tag, role, class or id) and whether one is an article's. A decision tree, grown on the labelled table below, tells
-content from the rest; content blocks are joined in page order. Blocks of an article outside furniture are content
-whatever is around them, but for lists of short links; furniture never is. On a page without an article element, all
-paragraphs and headings outside furniture count as an article's.
+block before and after it, and marks of its open elements: whether one of them is a container of page furniture
+(by tag, role, class or id), whether the block is a paragraph of an article that is only named like furniture itself, whether one is an
+article's, and whether it is a paragraph. A decision tree, grown on a small labelled table of pages, tells
+content from the rest; content blocks are joined in page order. The tree looks at furniture, then at the block's own links and words,
+which decide for blocks of text and of links, and only then at the other marks and at the neighbours. A form around a whole article isn't furniture.
 
 A class name is one word (`sidebar`) or compound (`site-sidebar`). Compound names that tell of a state (`has-sidebar`,
 `comments-open`) say nothing; of an element that is an article by its tag or by a word of one (`content has-menu`), only one-word

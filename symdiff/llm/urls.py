@@ -2,8 +2,8 @@
 
 A rule is a regular expression over a URL's host, path and query, with the literal tokens (runs of a-z and 0-9) that every
 match holds. The tokens' numbers of URLs are counted over the whole table (as many rows as rules have tokens), and each rule
-is filed under its rarest one. A URL's own tokens fetch the rules filed under them, and only these expressions are run; a
-rule without tokens is run on every URL.
+is filed under its rarest one. A URL's own tokens fetch the rules filed under them from a hash table, so that what a URL costs
+doesn't grow with the rules, and only these expressions are run; a rule without tokens is run on every URL.
 Host rules (`host/path`, for a host and its subdomains and for paths with that beginning) are such patterns too; the
 longest one that fits decides. Where none fits, a URL is blocked if a pattern rule matches, otherwise allowed. Pattern rules
 see A-Z lower-cased; host rules see paths as they are.
@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,27 +85,36 @@ def tokens_of(place: Column) -> Column:
     return F.array_distinct(F.split(F.translate(place, UPPER, LOWER), "[^a-z0-9]+"))
 
 
-def constant_tokens(tokens: Iterable[str]) -> Column:
-    return F.split(F.lit(" ".join(sorted(tokens))), " ")
+def place_of(token: str, places: int) -> int:
+    return crc32(token.encode()) % places
 
 
-def constant_index(index: dict[str, list[Rule]]) -> Column:
-    """The index as one constant, whose making doesn't slow the planning down."""
-    filed = {t: [{"rank": len(r.name or ""), "rule": r.name, "verdict": r.verdict, "pattern": r.pattern} for r in rs] for t, rs in index.items()}
-    return F.from_json(F.lit(json.dumps(filed)), "map<string, array<struct<rank int, rule string, verdict string, pattern string>>>")
+def hash_table(values: dict[str, object], kind: str) -> Callable[[Column], Column]:
+    """What an array constant with a place for each hash says of a token: the array with its value, or an empty one. Looking a
+    token up takes the same time however many there are."""
+    places = 1 << max(4, (2 * len(values)).bit_length())
+    rows: list[list[dict]] = [[] for _ in range(places)]
+    for t, v in values.items():
+        rows[place_of(t, places)].append({"token": t, "value": v})
+    constant = F.from_json(F.lit(json.dumps(rows)), f"array<array<struct<token string, value {kind}>>>")
+    at = lambda t: F.get(constant, F.pmod(F.crc32(t.cast("binary")), F.lit(places)).cast("int"))
+    return lambda t: F.transform(F.filter(at(t), lambda e: e["token"] == t), lambda e: e["value"])
 
 
 def token_index(places: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
     """The rules with tokens by the one that is rarest in places (place)."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    counted = places.select(F.explode(F.array_intersect(tokens_of(F.col("place")), constant_tokens(wanted))).alias("token")).groupBy("token").count()
-    counts = {r.token: r["count"] for r in counted.collect()}
+    known = hash_table(dict.fromkeys((t for r in rules for t in r.tokens), 1), "int")
+    some = F.filter(tokens_of(F.col("place")), lambda t: F.size(known(t)) > 0)
+    counts = {r.token: r["count"] for r in places.select(F.explode(some).alias("token")).groupBy("token").count().collect()}
     out: dict[str, list[Rule]] = {}
     for r in (r for r in rules if r.tokens):
         out.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
     return out
 
 
+RULE = "array<struct<rank int, rule string, verdict string, pattern string>>"
+
+
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of df: id, host, path, rule, verdict, and whether a pattern rule matched."""
     if not 0 < len(rules) <= MOST_RULES:
@@ -113,9 +123,10 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     rows = df.select(df[id_col].cast("long").alias("id"), host.alias("host"), path.alias("path"), F.concat(host, path, query).alias("place"))
     index = token_index(rows.select("place"), rules)
     place = F.col("place")
-    filed = constant_index({"": [r for r in rules if not r.tokens], **index})
-    asked = F.concat(F.array(F.lit("")), F.array_intersect(tokens_of(place), constant_tokens(index)))
-    found = F.flatten(F.transform(asked, lambda t: F.element_at(filed, t)))
+    told = {t: [{"rank": len(r.name or ""), "rule": r.name, "verdict": r.verdict, "pattern": r.pattern} for r in rs] for t, rs in {"": [r for r in rules if not r.tokens], **index}.items()}
+    filed = hash_table(told, RULE)
+    asked = F.array_distinct(F.concat(F.array(F.lit("")), tokens_of(place)))
+    found = F.flatten(F.flatten(F.transform(asked, filed)))
     seen = lambda r: F.when(r["rule"].isNull(), F.translate(place, UPPER, LOWER)).otherwise(place)
     matched = rows.withColumn("best", F.array_max(F.filter(found, lambda r: F.regexp_like(seen(r), r["pattern"]))))
     best = F.col("best")

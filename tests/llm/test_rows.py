@@ -367,6 +367,21 @@ def test_url_index_matches_all_rules_run_on_all_urls(spark):
     assert {x.page_id: x.verdict for x in only.collect()} == {1: "block", 2: "allow"}
 
 
+def test_url_cost_does_not_grow_with_the_rules(spark):
+    """URLs that fetch no rule, past 100 and past 9,000 of them."""
+    df = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.some-site.example/path/of/segments/"), F.col("id")).alias("url")).persist()
+    df.count()
+    plans = {n: urls.filter_urls(df, rules=tuple(urls.blocking(urls.LABEL, f"label{k}x") for k in range(n))) for n in (100, 9000)}
+    took = dict.fromkeys(plans, 1e9)
+    for _ in range(4):
+        for n, plan in plans.items():
+            began = time.time()
+            plan.write.format("noop").mode("overwrite").save()
+            took[n] = min(took[n], time.time() - began)
+    df.unpersist()
+    assert took[9000] < 2 * took[100] + 0.5
+
+
 PAGE = """<html><head><title>x</title><style>p{}</style></head><body class="post"><header><a href=/>Home</a> Site</header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies to do a lot of things here and there for you all the time, ok?</div><main><h1>Title</h1><p>First &amp; second<br>line. <a href="/x">link</a> more   text.
 <div class="ad">Buy now <a>this</a></div><p>Short.<form><label>Name</label><input></form><aside>Related</aside><section id="comments"><h2>Comments</h2><p>I think this is a great article and it has many many words in it yes.</p></section></main>
