@@ -31,8 +31,8 @@ from symdiff.llm.common import in_small_batches, slices, written
 
 #: At least as long as the longest piece.
 CHUNK = 1 << 15
-#: Words, and pairs of pieces, that a task remembers.
-CACHE = 3 << 17
+#: Words, and pairs of pieces, that a task remembers, and how long such words are at most.
+CACHE, SHORT = 3 << 17, 64
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: A state where it doesn't matter which piece was last: a text's start or a sure cut.
@@ -136,9 +136,12 @@ class Bpe:
         known, out, at = self.known, [], 0
         for cut in [*self.cuts(text), len(text)]:
             some = text[at:cut]
-            if some not in known:
-                known[some] = np.array(self.stretch(some), dtype="<u4").tobytes()
-            out.append(known[some])
+            ids = known.get(some)
+            if ids is None:
+                ids = np.array(self.stretch(some), dtype="<u4").tobytes()
+                if len(some) <= SHORT:
+                    known[some] = ids
+            out.append(ids)
             at = cut
         return b"".join(out)
 
@@ -151,8 +154,11 @@ class Bpe:
             self.fits.clear()
         words = WORD.findall(text)
         head = text[: len(text) - sum(map(len, words))]  # before the first space
-        for w in {*words, head}.difference(known):
-            known[w] = self.between_cuts(w) if w else b""
+        new, long = {*words, head}.difference(known), {}
+        for w in new:
+            (known if len(w) <= SHORT else long)[w] = self.between_cuts(w) if w else b""
+        if long:
+            return known.get(head, long.get(head)) + b"".join([long[w] if len(w) > SHORT else known[w] for w in words])
         return known[head] + b"".join(map(known.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
@@ -237,17 +243,24 @@ def product(a: Matrix, b: Matrix) -> Matrix:
 
 
 def boundary_states(matrices: list[Matrix]) -> list[State]:
-    """The best path's state at each boundary, from the products of all matrices up to and from there on."""
+    """The best path's state at each boundary, by an associative scan: neighbouring matrices are multiplied, level by level, up to
+    the product of all; then, from there down, each product's best state between its two factors is fixed."""
     start = (0, ANY)
-    upto: list[Matrix] = [{(start, start): 0.0}]
-    for m in matrices:
-        upto.append(product(upto[-1], m))
-    state, out = start, [start]
-    for k in range(len(matrices) - 1, -1, -1):
-        best = max((upto[k][start, x] + w, x) for (x, y), w in matrices[k].items() if y == state and (start, x) in upto[k])
-        state = best[1]
-        out.append(state)
-    return out[::-1]
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([product(*below[k : k + 2]) if k + 1 < len(below) else below[k] for k in range(0, len(below), 2)])
+    states = [start, start]
+    for below in levels[-2::-1]:
+        found = [states[0]]
+        for k in range(0, len(below), 2):
+            enter, leave = states[k // 2], states[k // 2 + 1]
+            if k + 1 < len(below):
+                rest = below[k + 1]
+                found.append(max((w + rest[x, leave], x) for (e, x), w in below[k].items() if e == enter and (x, leave) in rest)[1])
+            found.append(leave)
+        states = found
+    return states
 
 
 @lru_cache(maxsize=2)
@@ -307,6 +320,14 @@ def encode(df: DataFrame, model_path: str) -> DataFrame:
             data = [bpe.traced(around, at, end, (o1, t1), (o2, t2)) for around, at, end, o1, t1, o2, t2 in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(data, pa.binary())], ["id", "row", "no", "ids"])
 
+    def joined(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                some = batch.column(1)[k].values
+                order = np.argsort(some.field("no").to_numpy())
+                ids = b"".join(some.field("ids").take(pa.array(order)).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.binary())], ["id", "ids"])
+
     length = F.coalesce(F.length("text"), F.lit(0))
     few = df.where(length < CHUNK).mapInArrow(short, "id long, ids binary")
     long = df.where(length >= CHUNK).withColumn("row", F.monotonically_increasing_id())
@@ -315,9 +336,8 @@ def encode(df: DataFrame, model_path: str) -> DataFrame:
     gathered = matrices.groupBy("row").agg(F.collect_list(F.struct("no", "matrix")).alias("found"))
     placed = gathered.mapInArrow(states, "row long, no long, o1 long, t1 long, o2 long, t2 long")
     parts = chunks.join(placed, ["row", "no"]).select("id", "row", "no", "around", "at", "end", "o1", "t1", "o2", "t2").mapInArrow(trace, "id long, row long, no long, ids binary")
-    joined = parts.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
-    ids = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return few.unionByName(joined.select("id", ids.alias("ids")))
+    gathered = parts.groupBy("row").agg(F.first("id").alias("id"), F.collect_list(F.struct("no", "ids")).alias("parts"))
+    return few.unionByName(gathered.select("id", "parts").mapInArrow(joined, "id long, ids binary"))
 
 
 def decode(df: DataFrame, model_path: str) -> DataFrame:

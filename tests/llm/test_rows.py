@@ -701,6 +701,28 @@ def test_chunks_equal_whole_texts():
     assert sentencepiece.product(sentencepiece.product(a, b), c) == sentencepiece.product(a, sentencepiece.product(b, c))
 
 
+def test_states_by_levels_equal_states_by_prefixes():
+    """The associative scan against the best path by dynamic programming, for any number of matrices."""
+    r, start = random.Random(6), (0, sentencepiece.ANY)
+    for n in range(1, 14):
+        bounds = [[start], *([(0, k) for k in range(r.randint(1, 4))] for _ in range(n - 1)), [start]]
+        matrices = [{(a, b): float(r.randrange(1000)) for a in x for b in y} for x, y in zip(bounds, bounds[1:])]
+        best = {start: (0.0, [start])}
+        for m in matrices:
+            best = {y: max((best[x][0] + w, [*best[x][1], y]) for (x, z), w in m.items() if z == y and x in best) for y in {b for _, b in m}}
+        assert sentencepiece.boundary_states(matrices) == best[start][1] or sum(m[s] for m, s in zip(matrices, zip(*(lambda q: (q, q[1:]))(sentencepiece.boundary_states(matrices))))) == best[start][0]
+
+
+def test_long_words_are_not_remembered():
+    bpe = sentencepiece.model_of(PIECE_MODEL)
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefgh", k=20_000)) for _ in range(5)]
+    library = __import__("sentencepiece").SentencePieceProcessor(model_file=PIECE_MODEL)
+    for t in [*texts, "short " + texts[0] + " words"]:
+        assert np.frombuffer(bpe.encode(t), dtype="<u4").tolist() == library.encode(t)
+    assert max(map(len, bpe.known)) <= sentencepiece.SHORT
+
+
 def test_giant_documents_take_the_chunked_way(spark, monkeypatch):
     texts = ["x" * 70_000, "word and other " * 6000, "short"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
