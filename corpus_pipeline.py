@@ -68,7 +68,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("toxicity", toxic), ("near_dedup", near_duplicates), ("secrets", secrets), ("packing", packing)]
-#: Statistical stages and packing can't be expressed in SQL; the tests compare with brute force.
+#: Statistical stages and packing can't be expressed in SQL; the tests compare their operators with brute force.
 ORACLE_SQL = None
 
 
