@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from symdiff.plans.tables import settled, table
 
-__all__ = ["Memory", "free_name", "in_small_batches", "release", "slices", "table", "written"]
+__all__ = ["Memory", "free_name", "in_small_batches", "release", "slices", "spread_join", "table", "written"]
 
 
 #: Rows and bytes of an Arrow batch between Spark and Python: whole texts may be long.
@@ -73,6 +74,26 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     return settled(df, *parts)
 
 
+#: Keys up to this many are sent to every executor.
+BROADCAST_KEYS = 500_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, block: int, heavy: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """rows joined with a table of one row for each key, where a key of many rows is dealt to a task for every `block` of them, each with a copy of
+    the key's row in the table. heavy: (key, count) of keys of more than `block` rows, if they are known; by: the column that rows are dealt by,
+    instead of all."""
+    if heavy is None:
+        heavy = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > block))
+    n = heavy.count()
+    if not n:
+        return rows.join(table, key)
+    parts = heavy.select(key, F.ceil(F.col("count") / block).cast("int").alias("parts_"))
+    parts = F.broadcast(parts) if n <= BROADCAST_KEYS else parts
+    dealt = rows.join(parts, key, "left").withColumn("part_", F.pmod(F.xxhash64(*([by] if by else rows.columns)), F.coalesce("parts_", F.lit(1))).cast("int")).drop("parts_")
+    copies = table.join(parts, key, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1))).drop("parts_")
+    return dealt.join(copies, [key, "part_"]).drop("part_")
+
+
 class Memory:
     """What was computed for at most about `most` keys: `new` holds all keys asked for last; when it is half full, it
     becomes the old generation, of which only keys that are asked for again live on."""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import written
+from symdiff.llm.common import spread_join, written
+
+#: Edges of a node that meet in one task.
+BLOCK = 512
 
 
 def priority(column) -> F.Column:
@@ -18,18 +21,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round, every node joins the first of its neighbours and itself by priority, edges are renamed to the joined
     nodes, and loops and copies of edges go. The order is random, so no numbering of ids makes long chains. A hub's
-    edges are aggregated before they are shuffled.
+    edges are aggregated before they are shuffled, and dealt to several tasks where they are renamed.
     """
     left = written(edges.select("a", "b").where("a <> b").distinct())
     steps = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(priority(F.col("b"))).alias("least"))
-        step = written(best.select(F.col("a").alias("id"), F.least("least", priority(F.col("a")))["v"].alias("to")))
-        ends = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
-        ends = ends.join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b").where("x <> y")
-        left = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        steps.append(step)
+        best = both.groupBy("a").agg(F.min(priority(F.col("b"))).alias("least"), F.count(F.lit(1)).alias("count"))
+        step = written(best.select(F.col("a").alias("id"), F.least("least", priority(F.col("a")))["v"].alias("to"), "count"))
+        heavy = written(step.where(F.col("count") > BLOCK).select("id", "count"))
+        ends = left
+        for side, to in (("a", "x"), ("b", "y")):
+            ends = spread_join(ends, step.select(F.col("id").alias(side), F.col("to").alias(to)), side, BLOCK, heavy.withColumnRenamed("id", side))
+        left = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        steps.append(step.drop("count"))
     if not steps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = steps[0]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import Memory, in_small_batches, slices, written
+from symdiff.llm.common import Memory, in_small_batches, slices, spread_join, written
 from symdiff.llm.components import components, extended, priority
 
 BINS = 240
@@ -169,7 +169,8 @@ def unpacked(packed: bytes) -> np.ndarray:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union; a is the hub, whose set is joined last."""
+    """The pairs (a, b) with 100 * intersection >= percent * union; a is the hub, whose set is joined last, and goes to as many
+    tasks as its pairs fill blocks."""
 
     def work(batches):
         for batch in batches:
@@ -189,7 +190,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("hashes").alias("y"))
     left = sets.select(F.col("id").alias("a"), "n", F.col("hashes").alias("x"))
-    near = pairs.join(right, "b").join(left, "a")
+    pairs = written(pairs)
+    heavy = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > BLOCK))
+    near = spread_join(pairs.join(right, "b"), left, "a", BLOCK, heavy, "b")
     return near.select("a", "b", "n", "m", "x", "y").mapInArrow(work, "a binary, b binary")
 
 

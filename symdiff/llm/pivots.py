@@ -36,7 +36,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symdiff.llm.common import in_small_batches, written
+from symdiff.llm.common import in_small_batches, spread_join, written
 from symdiff.llm.components import components, priority
 from symdiff.llm.minhash import stream
 
@@ -223,7 +223,9 @@ def links_of(vectors: DataFrame, threshold: float, nearest: int) -> tuple[DataFr
     pairs = met.groupBy("centre", "centre_b").agg(F.max(F.when(lone, 0).otherwise(1)).alias("many"))
     x = balls.select("centre", F.col("ball").alias("a"), F.col("radius").alias("ra"), F.col("weight").alias("wa"), F.col("n").alias("na"), F.col("unit").alias("x"))
     y = balls.select(F.col("centre").alias("centre_b"), F.col("ball").alias("b"), F.col("radius").alias("rb"), F.col("weight").alias("wb"), F.col("n").alias("nb"), F.col("unit").alias("y"))
-    judged = with_cosine(pairs.join(x, "centre").join(y, "centre_b"), ["a", "b", "ra", "rb", "wa", "wb", "na", "nb"])
+    pairs = written(pairs)
+    heavy = [written(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > BLOCK)) for c in ("centre", "centre_b")]
+    judged = with_cosine(spread_join(spread_join(pairs, x, "centre", BLOCK, heavy[0], "centre_b"), y, "centre_b", BLOCK, heavy[1], "centre"), ["a", "b", "ra", "rb", "wa", "wb", "na", "nb"])
     between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "cosine")))
     lone = (F.col("na") == 1) & (F.col("nb") == 1) & (F.col("ra") == 0) & (F.col("rb") == 0)
     whole = F.when(lone, F.col("cosine") >= threshold).otherwise(between + F.col("ra") + F.col("rb") <= angle - margin)

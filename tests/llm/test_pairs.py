@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from symdiff.llm import common, minhash, pivots
+from symdiff.llm import components as components_module
 from symdiff.llm.components import components, extended
 
 pytest.importorskip("public_tokenizers")
@@ -283,3 +284,19 @@ def test_pipeline_stages_on_edges_and_empty_tables(spark, tmp_path):
 def test_pipeline_without_languages_keeps_texts_with_letters(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "\u041f\u0440\u0438", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {1, 3}
+
+
+def test_joins_of_hot_keys_lose_nothing(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, 1), (1, 5), (1, 5)], "k long, v long")
+    table = spark.createDataFrame([(i, f"x{i}") for i in range(0, 300, 2)] + [(1, "hot")], "k long, name string")
+    want = sorted(tuple(r) for r in rows.join(table, "k").collect())
+    for block in (1, 7, 10_000):
+        joined = common.spread_join(rows, table, "k", block)
+        assert joined.columns == ["k", "v", "name"] and sorted(tuple(r) for r in joined.collect()) == want
+
+
+def test_components_of_large_stars(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "BLOCK", 3)
+    edges = [(0, i) for i in range(1, 40)] + [(i, 39) for i in range(40, 80)] + [(100, 101)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(80)}, 100: 100, 101: 100}
