@@ -81,13 +81,16 @@ def push_pull(state: DataFrame, chosen: DataFrame, round_: int) -> DataFrame:
 
 
 def run(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> tuple[DataFrame, int]:
-    """((node, origin, coefficient), rounds) when every node has something of every origin."""
+    """((node, origin, coefficient), rounds) when every node has something of every origin; an error if that takes too long, as in a
+    network that isn't connected."""
     n = nodes.count()
     state = settled(nodes.select("node", F.col("node").alias("origin"), F.lit(1).cast("long").alias("coefficient")))
     for k in range(most_rounds):
         if state.count() == n * n:
             return state, k
         state = settled(push_pull(state, neighbours(edges, k), k))
+    if state.count() < n * n:
+        raise ValueError(f"after {most_rounds} rounds not every node has heard of every other one")
     return state, most_rounds
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symdiff.functions.hashing import portable
-from symdiff.operators import iblt
+from symdiff.operators import iblt, strata
 from symdiff.plans.tables import settled
 
 LANE_BYTES = 4
+#: Small differences need more cells than twice their size.
+LEAST_CELLS = 80
 
 
 def number_of(key: Column) -> Column:
@@ -65,8 +67,10 @@ def decode(cells: DataFrame, spec: iblt.Spec, width: int) -> tuple[DataFrame, bo
         cells = settled(summed(cells.unionByName(signed_rows(new.withColumn("sign", -F.col("sign")), spec, width)), width))
 
 
-def reconcile(a: DataFrame, b: DataFrame, width: int, cells: int) -> DataFrame:
-    """(side, key) of two sets of strings; a table that fails is made again with twice the cells."""
+def reconcile(a: DataFrame, b: DataFrame, width: int, cells: int | None = None) -> DataFrame:
+    """(side, key) of two sets of strings, through a table sized by an estimate of their difference, or of so many cells; one that
+    fails is made again with twice the cells."""
+    cells = cells or max(2 * strata.estimate(a, b), LEAST_CELLS)
     keys = settled(a.select("key", F.lit(1).alias("sign")).unionByName(b.select("key", F.lit(-1).alias("sign"))))
     while True:
         spec = iblt.Spec(cells, 4)

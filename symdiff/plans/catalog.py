@@ -558,7 +558,7 @@ def string_decode(spark, sf_dir):
     """The different ones of two sets of 40-byte strings."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     keys = lambda rows: rows.select(F.encode(F.sha1(F.encode("text", "utf-8")), "utf-8").alias("key")).distinct()
-    found = strings.reconcile(keys(docs.where("n_chars < 1500")), keys(docs.where("n_chars > 1200")), 40, 400)
+    found = strings.reconcile(keys(docs.where("n_chars < 1500")), keys(docs.where("n_chars > 1200")), 40)
     return found.select("side", F.decode("key", "utf-8").alias("key"))
 
 
@@ -1078,6 +1078,28 @@ def json_extract(spark, sf_dir):
     )
 
 
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, event_id AS last, 2::BIGINT AS length, [0, 7] AS whole FROM events")
+def json_make(spark, sf_dir):
+    """Values put at paths that aren't there yet, and read again."""
+    events = table(spark, sf_dir, "events")
+    text = json.made(json.made(F.col("props"), "$.a.b[1]", F.col("event_id").cast("string")), "$.a.list", F.lit("[0, 7]"))
+    value = json.parse(text)
+    return events.select(
+        "event_id", json.get(value, "$.k", "long").alias("k"), json.get(value, "$.a.b[1]", "long").alias("last"), F.json_array_length(F.get_json_object(text, "$.a.b")).cast("long").alias("length"),
+        json.get(value, "$.a.list", "array<int>").alias("whole"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN json_valid(cut) THEN NULL ELSE length(cut) END::INT AS at FROM (SELECT event_id, left(props, (3 + event_id % 20)::INT) AS cut FROM events)")
+def json_problems(spark, sf_dir):
+    """Where texts that were cut off stop being JSON: at their ends, if a name, a number or a bracket is missing."""
+    cut = F.substring(F.col("props"), F.lit(1), (F.col("event_id") % 20 + 3).cast("int"))
+    found = table(spark, sf_dir, "events").select("event_id", cut.alias("cut"), json.problem(cut).alias("p"))
+    # an open text is reported where it begins
+    at = F.when(F.col("p.message").startswith("Unterminated string"), F.length("cut")).otherwise(F.col("p.at"))
+    return found.select("event_id", at.alias("at"))
+
+
 @query("SELECT event_id, unnest(json_keys(props)) AS key, (props->>'$.k')::BIGINT AS value FROM events")
 def json_iterate(spark, sf_dir):
     """The members of each object (they have one, k)."""

@@ -1,5 +1,6 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from symdiff.functions import json
@@ -99,3 +100,27 @@ def test_streamed_windows_decode(spark, tmp_path):
     while not seen and time.time() < deadline:
         time.sleep(0.2)
     assert ("2024-01-01 00:00:00", 1, 1) in seen and not any(k == 2 for _, k, _ in seen)
+
+
+def test_a_network_that_is_not_connected_is_an_error(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "node long")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (2, 3), (3, 2)], "src long, dst long")
+    with pytest.raises(ValueError, match="not every node"):
+        gossip.run(nodes, edges, 3)
+
+
+def test_values_at_paths(spark):
+    cases = [("{}", "$.a", "1", '{"a":1}'), ("null", "$[2].x", '"é"', '[null,null,{"x":"é"}]'), ('{"a":[1,2]}', "$.a[0]", "[]", '{"a":[[],2]}'), ('{"a":1}', "$.a.b", "1", None), ('{"a":1}', "$[0]", "1", None), ("{", "$.a", "1", None), (None, "$.a", "1", None), ("{}", "$.a", None, None), ('{"a":1}', "$", "2", "2")]
+    for text, path, value, want in cases:
+        df = spark.createDataFrame([(text, value)], "t string, v string")
+        assert df.select(json.made(F.col("t"), path, F.col("v")).alias("x")).first().x == want
+    for path in ("a", "$a", "$.a[", "$.a[x]", "$..a"):
+        with pytest.raises(ValueError):
+            json.steps(path)
+
+
+def test_problems_of_texts(spark):
+    cases = {"": (0, 1), '{"a": 1}': (None, None), '{"a": }': (6, 1), "[1,\n2": (5, 2), '{"a" 1}': (5, 1), "nul": (0, 1), "[1] x": (4, 1)}
+    rows = spark.createDataFrame([(t,) for t in cases] + [(None,), ("[NaN]",)], "t string").select("t", json.problem("t").alias("p")).collect()
+    assert {r.t: (r.p["at"], r.p["line"]) for r in rows if r.t in cases} == cases
+    assert all((r.p["message"] is None) == (r.t in (None, '{"a": 1}')) for r in rows)
