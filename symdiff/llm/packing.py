@@ -40,8 +40,8 @@ BUFFER = 1 << 21
 #: Documents that wait before packing starts, however short.
 DOCUMENTS = 1 << 16
 STEP_TOKENS = 1 << 18
-#: Letters of words whose ids a task remembers.
-CACHE = 1 << 19
+#: Words whose ids a task remembers, and their length at most.
+CACHE, SHORT = 1 << 18, 64
 #: Bytes of text that are split into words at once.
 SLICE = 1 << 21
 
@@ -55,9 +55,9 @@ class WordTokenizer:
     """Ids as little-endian 32-bit bytes, for tokenizers of lower-cased words with word ends that drop white space.
 
     What stands between spaces or line feeds never shares a token with its neighbours, so each distinct word of a slice
-    is looked up once and its ids are dealt to where it stands. A word is letters and marks after them, whose tokens
+    is looked up once and its ids are dealt to where it stands. A new word is letters and marks after them, whose tokens
     don't meet either, so these are remembered apart; letters of many words are encoded in one call and told apart by
-    their word ends. Whatever looks otherwise is encoded by itself.
+    their word ends. Whatever looks otherwise, or is long, is encoded by itself.
     """
 
     #: Lower-case letters up to U+024F and marks; or something else, which leaves both groups empty.
@@ -70,7 +70,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.letters, self.others = Memory(CACHE), Memory(CACHE // 4)
+        self.words, self.letters, self.others = Memory(CACHE), Memory(CACHE), Memory(CACHE // 4)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -96,6 +96,15 @@ class WordTokenizer:
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Of words without line feeds."""
+        long = [w for w in words if len(w) > SHORT]
+        alone = dict(zip(long, (x.tobytes() for x in self.ids(long)), strict=True))
+        new = list(self.words.missing(set(words).difference(alone)))
+        learned = zip(new, self.new_ids(new), strict=True)
+        known = self.words.new
+        known.update(learned)
+        return [alone[w] if len(w) > SHORT else known[w] for w in words] if long else list(map(known.__getitem__, words))
+
+    def new_ids(self, words: list[str]) -> list[bytes]:
         split = self.WORD.findall("\n".join(words).lower()) if words else []
         alone = [w for w, (core, marks) in zip(words, split, strict=True) if not core and not marks]
         self.learn({core for core, _ in split if core}, {marks for _, marks in split}.union(alone))
