@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -40,8 +41,8 @@ BUFFER = 1 << 21
 #: Documents that wait before packing starts, however short.
 DOCUMENTS = 1 << 16
 STEP_TOKENS = 1 << 18
-#: Words whose ids a task remembers, and their length at most.
-CACHE, SHORT = 1 << 18, 64
+#: Letters of words whose ids a task remembers.
+CACHE = 1 << 19
 #: Bytes of text that are split into words at once.
 SLICE = 1 << 21
 
@@ -55,9 +56,9 @@ class WordTokenizer:
     """Ids as little-endian 32-bit bytes, for tokenizers of lower-cased words with word ends that drop white space.
 
     What stands between spaces or line feeds never shares a token with its neighbours, so each distinct word of a slice
-    is looked up once and its ids are dealt to where it stands. A new word is letters and marks after them, whose tokens
+    is looked up once and its ids are dealt to where it stands. A word is letters and marks after them, whose tokens
     don't meet either, so these are remembered apart; letters of many words are encoded in one call and told apart by
-    their word ends. Whatever looks otherwise, or is long, is encoded by itself.
+    their word ends. Whatever looks otherwise is encoded by itself.
     """
 
     #: Lower-case letters up to U+024F and marks; or something else, which leaves both groups empty.
@@ -70,7 +71,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.words, self.letters, self.others = Memory(CACHE), Memory(CACHE), Memory(CACHE // 4)
+        self.letters, self.others = Memory(CACHE), Memory(CACHE // 4)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -94,29 +95,27 @@ class WordTokenizer:
                 some = words[at : at + 4096]
                 into.update((w, x.tobytes()) for w, x in zip(some, self.ids(some), strict=True))
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
+    def ids_of(self, words: pa.Array) -> list[bytes]:
         """Of words without line feeds."""
-        long = [w for w in words if len(w) > SHORT]
-        alone = dict(zip(long, (x.tobytes() for x in self.ids(long)), strict=True))
-        new = list(self.words.missing(set(words).difference(alone)))
-        learned = zip(new, self.new_ids(new), strict=True)
-        known = self.words.new
-        known.update(learned)
-        return [alone[w] if len(w) > SHORT else known[w] for w in words] if long else list(map(known.__getitem__, words))
-
-    def new_ids(self, words: list[str]) -> list[bytes]:
-        split = self.WORD.findall("\n".join(words).lower()) if words else []
-        alone = [w for w, (core, marks) in zip(words, split, strict=True) if not core and not marks]
-        self.learn({core for core, _ in split if core}, {marks for _, marks in split}.union(alone))
+        if not len(words):
+            return []
+        lines = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar("\n", words.type))[0].as_py()
+        split = self.WORD.findall(lines.lower())
+        other = [i for i, (core, marks) in enumerate(split) if not core and not marks]
+        alone = words.take(pa.array(other, pa.int64())).to_pylist()
+        self.learn({core for core, _ in split if core}, {marks for _, marks in split if marks}.union(alone))
         letters, others = self.letters.new, self.others.new
-        return [letters[core] + others[marks] if core and marks else letters[core] if core else others[marks or w] for w, (core, marks) in zip(words, split, strict=True)]
+        out = [letters[core] + others[marks] if core and marks else letters[core] if core else others[marks] if marks else b"" for core, marks in split]
+        for i, w in zip(other, alone, strict=True):
+            out[i] = others[w]
+        return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         texts = pa.compute.replace_substring(pa.compute.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
         split = pa.compute.split_pattern(texts, " ")
         ends, words, n = split.offsets.to_numpy(), pa.compute.dictionary_encode(split.flatten()), len(texts)
         del texts, split
-        found = pa.array(self.ids_of(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        found = pa.array(self.ids_of(words.dictionary), pa.large_binary()).take(words.indices)
         _, offsets, data = found.buffers()
         if data is None:
             return [b""] * n
@@ -124,6 +123,12 @@ class WordTokenizer:
         return [data[a:b].to_pybytes() for a, b in zip(at, at[1:], strict=False)]
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for all tasks of a worker: what it remembers is bounded."""
+    return WordTokenizer(path)
+
+
 def tier_of(length: int) -> int:
     return max(SHORTEST, 1 << (length - 1).bit_length())
 
@@ -249,7 +254,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
-        tokenizer, packer = WordTokenizer(tokenizer_path), Packer(partition << 40)
+        tokenizer, packer = tokenizer_of(tokenizer_path), Packer(partition << 40)
         end, rows, groups = np.array([END_ID], dtype="<u4").tobytes(), [], partition << 40
 
         def out() -> pa.RecordBatch:
