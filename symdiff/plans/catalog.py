@@ -315,7 +315,20 @@ SELECT p_partkey, xor(h, h >> 47)::DECIMAL(20,0) AS h FROM h3
 """
 
 
-@query()
+BYTES_AT = lambda at, n: " + ".join(f"CASE WHEN {i} < {n} THEN ('0x' || substr(x, (2 * ({at} + {i}) + 1)::INT, 2))::HUGEINT * {1 << 8 * i} ELSE 0 END" for i in range(4))
+#: Of texts of up to 15 bytes.
+MURMUR32_TEXT_SQL = f"""
+WITH d AS (SELECT p_partkey, hex(encode(p_name)) || '00000000' AS x, octet_length(encode(p_name)) AS n FROM part),
+w AS (SELECT p_partkey, n, {", ".join(f"CASE WHEN n >= {4 * i + 4} THEN {BYTES_AT(4 * i, 4)} END AS w{i}" for i in range(3))}, {BYTES_AT("n - n % 4", "n % 4")} AS t FROM d),
+k AS (SELECT *, {", ".join(f"{MULTIPLIED(f'w{i}')} AS m{i}" for i in range(3))}, n::HUGEINT AS h FROM w),
+l AS (SELECT *, {", ".join(f"{MULTIPLIED(f'xor(m{i}, m{i} >> 24)')} AS k{i}" for i in range(3))} FROM k),
+h1 AS (SELECT * REPLACE (CASE WHEN n >= 4 THEN xor({MULTIPLIED("h")}, k0) ELSE h END AS h) FROM l), h2 AS (SELECT * REPLACE (CASE WHEN n >= 8 THEN xor({MULTIPLIED("h")}, k1) ELSE h END AS h) FROM h1),
+h3 AS (SELECT * REPLACE (CASE WHEN n >= 12 THEN xor({MULTIPLIED("h")}, k2) ELSE h END AS h) FROM h2), h4 AS (SELECT * REPLACE (CASE WHEN n % 4 > 0 THEN {MULTIPLIED("xor(h, t)")} ELSE h END AS h) FROM h3),
+h5 AS (SELECT p_partkey, {MULTIPLIED("xor(h, h >> 13)")} AS h FROM h4) SELECT p_partkey, xor(h, h >> 15)::BIGINT AS h FROM h5
+"""
+
+
+@query(MURMUR32_TEXT_SQL)
 def murmur2_32_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", hashing.murmur32_binary(F.encode("p_name", "utf-8")).alias("h"))
 
